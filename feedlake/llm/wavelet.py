@@ -12,6 +12,7 @@ and any Hadoop file system will do.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
@@ -30,7 +31,7 @@ BLOCK = 512
 #: Tokens after which a task closes a shard and begins another (a longer document fills its own).
 SHARD_TOKENS = 1 << 21
 #: Distinct words whose ids a worker remembers; beyond it only words seen again stay. Results are the same.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 END_ID = 1
 
 
@@ -126,7 +127,10 @@ class WaveletMatrix:
 
 #: Marks that a stem of letters may carry at its end; each run of them is one piece of the pattern.
 TAIL = ",.!?;:%*$&#|"
-ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Lower-cases A-Z, and makes a line feed a blank.
+ASCII_LOWER = bytes(range(10)) + b" " + bytes(range(11, 65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: A lone mark between a letter and a blank is a piece of its own.
+COMMA = re.compile(rb"(?<=[a-z])([,.!?])(?= |$)")
 
 
 class WordEncoder:
@@ -172,16 +176,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # A special token's text is matched before lower-casing, so such texts keep their case.
-        low = [t if "<|" in t else t.encode().translate(ASCII_LOWER).decode() for t in texts]
-        split = [t.replace("\n", " ").split(" ") for t in low]
+        low = [t if "<|" in t else COMMA.sub(rb" \1", t.encode().translate(ASCII_LOWER)).decode() for t in texts]
+        split = [t.split(" ") for t in low]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.old, self.known = self.known, {}
             new = set().union(*split)
         if self.old:
-            back = new.intersection(self.old)
-            self.known.update(zip(back, map(self.old.__getitem__, back), strict=True))
-            new -= back
+            back = {w: self.old[w] for w in new if w in self.old}
+            self.known.update(back)
+            new.difference_update(back)
         self._learn(new)
         end = np.array([END_ID], self.kind).tobytes()
         return [b"".join(map(self.known.__getitem__, s)) + end for s in split]
