@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import wavelet
+from . import langid, mixing, secrets, wavelet
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_language_id": langid.op4_language_id,
     "op10_token_output": wavelet.op10_token_output,
 }
 
