@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, secrets, wavelet
+from . import langid, mixing, neighbours, quality, secrets, wavelet
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_language_id": langid.op4_language_id,
+    "op5_quality": quality.op5_quality,
+    "op6_nearest_neighbours": neighbours.op6_nearest_neighbours,
     "op10_token_output": wavelet.op10_token_output,
 }
 
