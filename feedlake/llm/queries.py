@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, neighbours, quality, secrets, wavelet
+from . import langid, mixing, neighbours, pages, quality, secrets, wavelet
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_quality": quality.op5_quality,
     "op6_nearest_neighbours": neighbours.op6_nearest_neighbours,
+    "op7_main_text": pages.op7_main_text,
     "op10_token_output": wavelet.op10_token_output,
 }
 
