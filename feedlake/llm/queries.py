@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, neighbours, pages, quality, secrets, wavelet
+from . import decontaminate, langid, mixing, neighbours, pages, quality, secrets, wavelet
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_nearest_neighbours": neighbours.op6_nearest_neighbours,
     "op7_main_text": pages.op7_main_text,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_token_output": wavelet.op10_token_output,
 }
 
