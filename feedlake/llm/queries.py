@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, neighbours, pages, quality, secrets, wavelet
+from . import decontaminate, langid, mixing, neighbours, pages, quality, repeats, secrets, wavelet
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_nearest_neighbours": neighbours.op6_nearest_neighbours,
     "op7_main_text": pages.op7_main_text,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_remove_repeats": repeats.op9_remove_repeats,
     "op10_token_output": wavelet.op10_token_output,
 }
 
