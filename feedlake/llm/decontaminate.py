@@ -97,14 +97,15 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, covera
         return docs.sparkSession.createDataFrame([], FOUND)
     rows = _tokens(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")])
     hits = _windows(rows, ["doc_id", "text_hash"], lengths).join(F.broadcast(w) if n <= BROADCAST_ROWS else w, ["h", "length"])
-    hits = hits.withColumn("doc_raw", F.slice("raw", F.col("pos") + 1, F.col("length"))).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    # Only slices are taken here: a lambda in what follows the join would leave generated code before it.
+    hits = hits.select("doc_id", "text_hash", "item_id", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "template", "item_raw", F.slice("raw", F.col("pos") + 1, F.col("length")).alias("doc_raw"))
+    hits = staged(hits, "hits")
     # The joined templates are compared, so a shared hash alone is no match.
     hits = hits.filter(F.transform("doc_raw", template_word) == F.col("template"))
-    slot = F.filter(F.arrays_zip("template", "item_raw", "doc_raw"), lambda s: s["template"].startswith("#"))
-    hits = staged(hits.select("doc_id", "text_hash", "item_id", "item_windows", "item_pos", "shift", slot.alias("slots")), "hits")
+    slots = F.filter(F.arrays_zip("template", "item_raw", "doc_raw"), lambda s: s["template"].startswith("#"))
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "text_hash", "item_id"]
     names = ["k", "text_hash", "item_id"]
-    bound = hits.select(*key, "shift", F.explode("slots").alias("s")).select(*names, "shift", "s.template", F.lower("s.item_raw").alias("item_value"), F.lower("s.doc_raw").alias("doc_value"))
+    bound = hits.select(*key, "shift", F.explode(slots).alias("s")).select(*names, "shift", "s.template", F.lower("s.item_raw").alias("item_value"), F.lower("s.doc_raw").alias("doc_value"))
     # One value of the text for a value of the item; the other way round two names may share a substitute.
     bound = bound.groupBy(*names, "shift", "template", "item_value").agg((F.min("doc_value") == F.max("doc_value")).cast("long").alias("one"))
     bound = bound.groupBy(*names, "shift").agg(F.count("*").alias("slots"), F.sum("one").alias("consistent_slots"))
