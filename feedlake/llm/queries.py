@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, neighbours, pages, quality, repeats, secrets, wavelet
+from . import decontaminate, langid, mixing, neighbours, pages, quality, repeats, secrets, similar, wavelet
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_jaccard_join": similar.op2_jaccard_join,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_language_id": langid.op4_language_id,
     "op5_quality": quality.op5_quality,

@@ -288,3 +288,8 @@ def write_and_read(docs: DataFrame, tokenizer: str | None = None, shard_tokens:
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids, written as shards and read back."""
+    return write_and_read(docs)
