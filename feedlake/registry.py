@@ -1,5 +1,18 @@
-"""All queries of the library's own operators: name -> (function of (spark, sf_dir), DuckDB SQL or None)."""
+"""All queries of the library's own operators: name -> (function of (spark, sf_dir), DuckDB SQL)."""
 
 from __future__ import annotations
 
-REGISTRY: dict = {}
+from .plans import extensions, library_queries, parsing
+
+
+def _utc(query):
+    """Dates without an offset are UTC, so the session's zone is."""
+
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf_dir)
+
+    return run
+
+
+REGISTRY = {name: (_utc(f), sql) for module in (parsing, library_queries, extensions) for name, (f, sql) in module.QUERIES.items()}
