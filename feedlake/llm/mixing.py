@@ -101,8 +101,9 @@ def plan(docs: DataFrame, entropy: float = ENTROPY, passes: float = PASSES, budg
     return sources.select("source", F.col("tokens").alias("source_tokens"), weight.alias("weight"), F.greatest(F.round(weight * F.lit(budget)), F.lit(0)).cast("long").alias("budget_tokens"))
 
 
-#: A source's name as a key that null can't break.
-KEY = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+def _key() -> Column:
+    """A source's name as a key that null can't break."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
@@ -118,13 +119,13 @@ def cutoffs(slim: DataFrame, entropy: float = ENTROPY, passes: float = PASSES, b
     The end is found from sums of tokens per block, then inside the one block that holds it, so no task
     holds a source.
     """
-    p = plan(slim, entropy, passes, budget).withColumn("skey", KEY).drop("source")
+    p = plan(slim, entropy, passes, budget).withColumn("skey", _key()).drop("source")
     live = F.greatest(F.col("source_tokens"), F.lit(1))
     some = F.col("source_tokens") > 0
     p = p.withColumn("whole", F.when(some, F.floor(F.col("budget_tokens") / live)).otherwise(F.lit(1)).cast("long"))
     p = p.withColumn("rest", F.when(some, F.col("budget_tokens") - F.col("whole") * live).otherwise(F.lit(0)))
     p = staged(p.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_tokens") / F.lit(block_tokens))).cast("long")), "plan")
-    rows = _ordered(slim.withColumn("skey", KEY).join(p.select("skey", "whole", "n_blocks"), "skey"))
+    rows = _ordered(slim.withColumn("skey", _key()).join(p.select("skey", "whole", "n_blocks"), "skey"))
     blocks = rows.groupBy("skey", "turn").agg(F.sum("tokens").alias("n"))
     # Tokens before a block: sums over groups of blocks (by leading bits of the turn), then inside a group.
     blocks = staged(blocks.withColumn("group", F.shiftright("turn", 52)), "blocks")
@@ -149,7 +150,7 @@ def schedule(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     alike in doc_id and text are dealt alike. Rows without a token are dealt like others; a source
     without any token is passed over once. An empty table gives an empty schedule.
     """
-    out = _ordered(rows.withColumn("skey", KEY).join(cuts, "skey"))
+    out = _ordered(rows.withColumn("skey", _key()).join(cuts, "skey"))
     more = (F.col("turn") < F.col("cut_turn")) | ((F.col("turn") == F.col("cut_turn")) & (F.col("row_turn") <= F.col("cut_row")))
     out = out.withColumn("copies", F.col("whole") + F.coalesce(more, F.lit(False)).cast("long"))
     return out.drop("skey", "whole", "n_blocks", "turn", "row_turn", "cut_turn", "cut_row")
