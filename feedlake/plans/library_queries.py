@@ -16,7 +16,9 @@ from ..streaming import ingest
 from . import bindings as B
 
 NTZ = "timestamp_ntz"
-NOW = F.lit("2026-01-01 00:00:00").cast(NTZ)
+def _now():
+    return F.lit("2026-01-01 00:00:00").cast(NTZ)
+
 
 
 def _stored_orders(spark, d, status: str = "F"):
@@ -141,7 +143,7 @@ def feed_upsert(spark, d):
     url = F.concat(F.lit("https://f/"), k).alias("rss_url")
     old = c.filter(k % 2 == 0).select(url, F.concat(F.lit("id"), k).alias("feed_id"), F.concat(F.lit("old"), k).alias("title"), F.lit("a").alias("author"), F.lit("").alias("description"), F.lit(None).cast("string").alias("image_url"), F.col("c_mktsegment").alias("category"), F.lit("e0").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast(NTZ).alias("last_fetched_at"), F.lit("pending").alias("sync_status"))
     new = c.filter(k % 5 != 0).select(url, F.when(k % 3 == 0, F.lit("")).otherwise(F.col("c_name")).alias("title"), F.lit("").alias("author"), F.lit("d").alias("description"), F.when(k % 4 == 0, F.lit("i")).alias("image_url"), F.lit("").alias("category"), F.when(k % 7 == 0, F.lit("e1")).alias("etag"), F.lit("m").alias("last_modified"), (k % 11 == 0).alias("is_not_modified"))
-    return U.upsert_feeds(old, new, NOW).drop("feed_id")
+    return U.upsert_feeds(old, new, _now()).drop("feed_id")
 
 
 FEED_UPSERT = """with o as (select c_custkey as k, 'old' || c_custkey as title, 'a' as author, '' as description, cast(null as varchar) as image_url, c_mktsegment as category, 'e0' as etag from customer where c_custkey % 2 = 0),
@@ -156,7 +158,7 @@ case when fetched then timestamp '2026-01-01' end as last_fetched_at, case when
 
 
 def episode_append(spark, d):
-    rows = U.episode_rows(_parsed_orders(spark, d, _stored_orders(spark, d)), NOW)
+    rows = U.episode_rows(_parsed_orders(spark, d, _stored_orders(spark, d)), _now())
     return rows.select("episode_id", "feed_id", "guid", "title", "audio_url", "duration", "processed")
 
 
@@ -171,7 +173,7 @@ def ingest_twice(spark, d):
     out = None
     for run in (1, 2):
         stored = known if run == 1 else known.unionByName(spark.read.parquet(f"{root}/episodes").select("feed_id", "guid"))
-        rows = staged(U.episode_rows(_parsed_orders(spark, d, stored), NOW), "new")
+        rows = staged(U.episode_rows(_parsed_orders(spark, d, stored), _now()), "new")
         feeds = rows.select("feed_id").distinct()
         U.publish(spark, rows, feeds, root, str(run))
         added = rows.groupBy("feed_id").agg(F.count("*").alias("n")).withColumn("run", F.lit(run))
@@ -309,7 +311,7 @@ def fetch_to_feeds(spark, d):
     same = log.filter("outcome = 'not_modified'").select("feed_id", "etag", "last_modified", F.lit("").alias("title"), F.lit(True).alias("is_not_modified"))
     new = meta.select("feed_id", "title", *U.GROUP, "etag", "last_modified", "is_not_modified").unionByName(same, allowMissingColumns=True).withColumnRenamed("feed_id", "rss_url")
     old = B.table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("rss_url"), F.lit("x").alias("feed_id"), F.lit("t").alias("title"), *(F.lit(None).cast("string").alias(c) for c in (*U.GROUP, "etag", "last_modified", "sync_status")), F.lit(None).cast(NTZ).alias("last_fetched_at"))
-    return U.upsert_feeds(old, new, NOW).select(F.col("rss_url").alias("feed_key"), "title", "category", "last_modified", "sync_status")
+    return U.upsert_feeds(old, new, _now()).select(F.col("rss_url").alias("feed_key"), "title", "category", "last_modified", "sync_status")
 
 
 FETCH_TO_FEEDS = """with c as (select c_custkey as k, c_name, c_mktsegment, case when c_custkey not in (select o_custkey from orders) then 'none' when c_custkey % 3 = 0 then 'same' when c_custkey % 7 = 0 then 'bad' else 'new' end as s, c_custkey % 2 = 0 as known from customer)
