@@ -78,11 +78,12 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
     taken = _Intervals([(a, b - 1) for a, b, _ in base])
     weak = [(a, b, k) for a, b, k in weak if not taken.near(a, b - 1)]
     parts = {role: _Intervals([(a, b) for a, b, k in base + weak if ROLE[k] == role]) for role in NEEDS}
-    breaks = [m.start() for m in _BREAK.finditer(text)]
+    breaks = [m.span() for m in _BREAK.finditer(text)]
+    begins = [b for b, _ in breaks]
 
     def scope(a: int, b: int) -> tuple[int, int]:
-        i, j = bisect_right(breaks, a), bisect_left(breaks, b)
-        return max(a - reach, breaks[i - 1] if i else 0), min(b + reach, breaks[j] if j < len(breaks) else len(text))
+        i, j = bisect_right(begins, a), bisect_left(begins, b)
+        return max(a - reach, breaks[i - 1][1] if i else 0), min(b + reach, begins[j] if j < len(breaks) else len(text))
 
     return [(a, b, k) for a, b, k in weak if all(parts[r].near(*scope(a, b)) for r in NEEDS[ROLE[k]])]
 
