@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,21 +55,36 @@ def duration_number(c: Column) -> Column:
     return F.bround(c.cast("double"), 0).try_cast("int")
 
 
-def published_utc(c: Column) -> Column:
-    """The instant of a mail or ISO 8601 date; without an offset it is UTC; null if unparsable or partial.
+def held(*cols: Column) -> Column:
+    """A generator of one struct of cols: a barrier, after which they are plain columns. Without it the optimizer
+    copies a long expression into each of its uses."""
+    return F.explode(F.array(F.struct(*cols)))
+
 
-    The weekday is dropped unread: feeds get it wrong.
+def date_text(c: Column) -> Column:
+    """A mail or ISO 8601 date with an offset, a four-digit year and seconds; null for anything else.
+
+    The weekday is dropped unread: feeds get it wrong. A date without an offset is UTC.
     """
     t = F.regexp_replace(trim_ws(c), r"^\w+,\s*", "")
-    zone = F.regexp_extract(t, r"([A-Za-z]+)$", 1)
-    offset = reduce(lambda w, z: w.when(F.upper(zone) == z, F.lit(ZONES[z])), list(ZONES)[1:], F.when(F.upper(zone) == "GMT", F.lit(ZONES["GMT"])))
-    mail = F.when(t.rlike(r"^\d{1,2} \w{3} \d{2}(\d{2})? \d{1,2}:\d{2}"), t)
-    mail = F.when(mail.rlike(r"[+-]\d{4}$"), mail).when(offset.isNotNull(), F.concat(F.regexp_replace(mail, r"\s*[A-Za-z]+$", ""), F.lit(" "), offset)).when(zone == "", F.concat(mail, F.lit(" +0000")))
-    four = mail.rlike(r"^\d{1,2} \w{3} \d{4} ")
-    tries = [F.when(four if "yyyy" in p else ~four, F.try_to_timestamp(mail, F.lit(p))) for y in ("yyyy", "yy") for p in (f"d MMM {y} H:mm:ss Z", f"d MMM {y} H:mm Z")]
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d|$)"), t)
-    iso = F.when(iso.rlike(r"([zZ]|[+-]\d{2}:?\d{2})$") & iso.rlike(r"\d:\d"), iso).when(iso.rlike(r"\d:\d"), F.concat(iso, F.lit("Z"))).otherwise(F.concat(iso, F.lit("T00:00:00Z")))
-    return F.coalesce(*tries, F.try_to_timestamp(F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")))
+    zones = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
+    zone = F.regexp_extract(t, r"([A-Za-z]*)$", 1)
+    bare = F.regexp_replace(t, r"\s*[A-Za-z]*$", "")
+    offset = F.when(zone == "", F.when(bare.rlike(r"[+-]\d{4}$"), "").otherwise(" +0000")).otherwise(F.concat(F.lit(" "), F.try_element_at(zones, F.upper(zone))))
+    mail = F.concat(F.regexp_replace(F.regexp_replace(bare, r"^(\d{1,2} \w{3}) (\d{2}) ", "$1 20$2 "), r"( \d{1,2}:\d{2})( [+-]\d{4})?$", "$1:00$2"), offset)
+    iso = F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    iso = F.when(t.rlike(r"\d:\d.*([zZ]|[+-]\d{2}:?\d{2})$"), iso).when(t.rlike(r"\d:\d"), F.concat(t, F.lit("Z"))).otherwise(F.concat(t, F.lit("T00:00:00Z")))
+    return F.when(t.rlike(r"^\d{1,2} \w{3} \d{2}(\d{2})? \d{1,2}:\d{2}"), mail).when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d|$)"), iso)
+
+
+def date_value(text: Column) -> Column:
+    """The instant of a date_text; null if there is no such day or time."""
+    return F.coalesce(F.when(text.contains(" +") | text.contains(" -"), F.try_to_timestamp(text, F.lit("d MMM yyyy H:mm:ss Z"))), F.try_to_timestamp(F.when(text.startswith("1") | text.startswith("2"), text)))
+
+
+def published_utc(c: Column) -> Column:
+    """The instant of a mail or ISO 8601 date; without an offset it is UTC; null if unparsable or partial."""
+    return date_value(date_text(c))
 
 
 def key_of(*cols: Column) -> Column:

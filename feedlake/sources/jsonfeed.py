@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import duration_number, duration_seconds, first_truthy, published_utc, trim_ws
+from ..functions.normalize import date_text, date_value, duration_number, duration_seconds, first_truthy, held, trim_ws
 
 
 def _get(v: Column | str, path: str, kind: str = "string") -> Column:
@@ -88,7 +88,7 @@ def duration_of(v: Column) -> Column:
 
 def identified(rows: DataFrame, *keep: str) -> DataFrame:
     """rows with audio and guid (id, guid, audio URL or url; numbers as text); rows with none go."""
-    rows = rows.withColumn("audio", attachment_choice(F.col("item")))
+    rows = rows.select("*", held(attachment_choice(F.col("item")).alias("audio")).alias("_h")).select(*rows.columns, "_h.audio")
     guid = first_truthy(_get("item", "$.id"), _get("item", "$.guid"), F.col("audio.url"), _get("item", "$.url"))
     return rows.withColumn("guid", guid).filter(F.col("guid").isNotNull())
 
@@ -96,13 +96,14 @@ def identified(rows: DataFrame, *keep: str) -> DataFrame:
 def episodes(rows: DataFrame, *keep: str) -> DataFrame:
     """The episode columns of identified items. The first date text that is not empty counts, parsable or not."""
     date = first_truthy(*(_text("item", f"$.{n}") for n in ("date_published", "published_at", "published")))
+    rows = rows.select("*", held(date_text(date).alias("published")).alias("_t"))
     return rows.select(
         *keep,
         "guid",
         trim_ws(F.coalesce(_get("item", "$.title"), F.lit("Untitled Episode"))).alias("title"),
         F.coalesce("audio.url", F.lit("")).alias("audio_url"),
         duration_of(F.col("audio.duration")).alias("duration"),
-        published_utc(date).alias("published_at"),
+        date_value(F.col("_t.published")).alias("published_at"),
         first_truthy(_get("item", "$.summary"), _get("item", "$.content_text"), _get("item", "$.content_html")).alias("summary"),
         _get("item", "$.url").alias("link"),
         F.col("audio.type").alias("enclosure_type"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import duration_seconds, first_truthy, published_utc, trim_ws
+from ..functions.normalize import date_text, date_value, duration_seconds, first_truthy, held, trim_ws
 
 _LINK = "array<struct<_rel:string,_href:string,_url:string,_type:string,_VALUE:string>>"
 _ITEM = f"""struct<guid:array<string>,id:array<string>,title:array<string>,link:array<string>,description:array<string>,
@@ -115,7 +115,7 @@ def identified(rows: DataFrame, *keep: str) -> DataFrame:
     Only what the test against known items needs; dates and durations come after it.
     """
     first = lambda n: _first(F.col(f"item.`{n}`"))
-    rows = rows.withColumn("audio", enclosure_choice(F.col("item")))
+    rows = rows.select("*", held(enclosure_choice(F.col("item")).alias("audio")).alias("_h")).select(*rows.columns, "_h.audio")
     guid = first_truthy(first("id"), first("guid"), F.col("audio.url"), first("link"))
     return rows.withColumn("guid", guid).filter(F.col("guid").isNotNull())
 
@@ -123,13 +123,19 @@ def identified(rows: DataFrame, *keep: str) -> DataFrame:
 def episodes(rows: DataFrame, *keep: str) -> DataFrame:
     """The episode columns of identified items."""
     first = lambda n: _first(F.col(f"item.`{n}`"))
-    when = F.coalesce(published_utc(first_truthy(first("pubDate"), first("published"))), published_utc(first("updated")))
+    texts = held(
+        date_text(first_truthy(first("pubDate"), first("published"))).alias("published"),
+        date_text(first("updated")).alias("updated"),
+        first_truthy(first("itunes:duration"), first("duration")).alias("duration"),
+    )
+    rows = rows.select("*", texts.alias("_t"))
+    when = F.coalesce(date_value(F.col("_t.published")), date_value(F.col("_t.updated")))
     return rows.select(
         *keep,
         "guid",
         trim_ws(F.coalesce(first("title"), F.lit("Untitled Episode"))).alias("title"),
         F.coalesce("audio.url", F.lit("")).alias("audio_url"),
-        duration_seconds(first_truthy(first("itunes:duration"), first("duration"))).alias("duration"),
+        duration_seconds(F.col("_t.duration")).alias("duration"),
         when.alias("published_at"),
         first_truthy(first("description"), first("itunes:summary"), first("itunes:subtitle")).alias("summary"),
         first("link").alias("link"),
