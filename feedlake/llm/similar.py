@@ -28,13 +28,15 @@ from .common import LOWER, U64, cut, mix64, prefix_hash, span_hash, staged, tabl
 
 WORDS, PERCENT = 4, 85
 #: Counters of the sketch that orders shingles by rarity.
-SKETCH = 1 << 20
+SKETCH = 1 << 21
 #: Candidates in a block.
 BLOCK = 256
 #: DivideSkip's weight of a merged element against a search.
 MU = 0.0085
 #: Bits of the map of the classes whose sets are fetched.
 MAP_BITS = 25
+#: Bins of a class's histogram, and the count that stands for any larger one.
+BINS, FULL = 256, 255
 _MIX = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5)]
 
 
@@ -132,6 +134,34 @@ def divide_skip(query: np.ndarray, cands: list[np.ndarray], need: list[int]) ->
     return {c: n for c, n in zip(left.tolist(), have.tolist(), strict=True) if n >= need[c]}
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """How many members of a set fall into each of BINS bins."""
+    n = np.bincount((s >> U64(40)).astype(np.int64) & (BINS - 1), minlength=BINS)
+    return np.minimum(n, FULL).astype(np.uint8).tobytes()
+
+
+def _may_reach(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the overlap of sets of n members together may reach the required one, by their histograms."""
+    least = np.minimum(x, y)
+    return (least == FULL).any(1) | (least.sum(1, dtype=np.int64) * (100 + percent) >= percent * n)
+
+
+def plausible(pairs: DataFrame, hist: DataFrame, percent: int) -> DataFrame:
+    """pairs (p, c) whose overlap may reach the one required: two sets can't share more than the sum over all
+    bins of the lesser count. Exact: it only drops pairs that can't be similar enough, and needs no sets."""
+    def bound(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                r = batch.slice(lo, 4096)
+                x, y = (np.frombuffer(b"".join(r.column(n).to_pylist()), np.uint8).reshape(-1, BINS) for n in ("hp", "hc"))
+                keep = _may_reach(x, y, r.column("np").to_numpy() + r.column("nc").to_numpy(), percent)
+                yield r.select(["p", "c"]).filter(pa.array(keep))
+
+    both = pairs.join(hist.select(F.col("cid").alias("p"), F.col("n").alias("np"), F.col("hist").alias("hp")), "p").join(hist.select(F.col("cid").alias("c"), F.col("n").alias("nc"), F.col("hist").alias("hc")), "c")
+    fits = (F.col("np") * 100 >= F.col("nc") * percent) & (F.col("nc") * 100 >= F.col("np") * percent)
+    return both.filter(fits).select("p", "c", "np", "nc", "hp", "hc").mapInArrow(bound, "p long, c long")
+
+
 def search(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """pairs (p, c) with shared, np, nc, of those whose Jaccard is at least percent / 100; members: cid, s."""
     spread = pairs.groupBy("p").agg(F.count("*").alias("size"))
@@ -183,7 +213,7 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
         for r, data, offs in text_chunks(batches):
             found = sets(data, offs, k)
             ids = pa.array([class_id(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("th"), ids, pa.array([len(s) for s in found], pa.int64())], names=["doc_id", "th", "cid", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("th"), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([histogram(s) for s in found], pa.binary())], names=["doc_id", "th", "cid", "n_shingles", "hist"])
 
     def post(batches):
         seen: set[int] = set()
@@ -219,29 +249,29 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["sig", "c", "n", "p", "near"])
 
-    rows_of = staged(rows.mapInArrow(measure, "doc_id long, th long, cid long, n_shingles long"), "sets")
+    rows_of = staged(rows.mapInArrow(measure, "doc_id long, th long, cid long, n_shingles long, hist binary"), "sets")
     lists = rows.select("text").mapInArrow(post, "sig long, cid long, n long").repartition("sig").sortWithinPartitions("sig", "n", "cid")
     star = staged(lists.mapInArrow(stars, "sig long, c long, n long, p long, near boolean"), "stars")
-    pairs = staged(star.filter("near").select("p", "c").distinct(), "pairs")
-    members = _members(rows, star, k)
     # Searched down to twice the distance of a link, for what follows from it about other pairs.
     wide = max(1, 2 * percent - 100)
-    near = staged(search(pairs, members, wide), "near")
+    hist = staged(rows_of.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("hist").alias("hist")), "histograms")
+    pairs = staged(plausible(star.filter("near").select("p", "c").distinct(), hist, wide), "pairs")
+    near = staged(search(pairs, _members(rows, pairs, k), wide), "near")
     link = (F.col("shared") * 100 >= F.lit(percent) * (F.col("np") + F.col("nc") - F.col("shared"))).alias("link")
     links = near.filter(link).select(F.col("p").alias("a"), F.col("c").alias("b"))
     roots = components(links)
-    more = staged(_rest(star, near.select("p", "c", link), roots, percent), "rest")
+    more = staged(_rest(star, near.select("p", "c", link), roots, hist, percent), "rest")
     if not more.isEmpty():
-        again = search(more, members, percent).select(F.col("p").alias("a"), F.col("c").alias("b"))
+        again = search(more, _members(rows, more, k), percent).select(F.col("p").alias("a"), F.col("c").alias("b"))
         roots = components(staged(links.union(again), "links"))
-    placed = rows_of.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    placed = rows_of.drop("hist").join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "root", "left")
     return out.select("doc_id", "th", "cid", "root", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _members(rows: DataFrame, star: DataFrame, k: int) -> DataFrame:
-    """(cid, s): the sets of the classes in star, as bytes. A map of fixed size picks them in a scan of the texts."""
+def _members(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(cid, s): the sets of the classes in pairs, as bytes. A map of fixed size picks them in a scan of the texts."""
     part = 1 << 16
     kind = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
     place = lambda c: (mix64(c.view(U64)) & U64((1 << MAP_BITS) - 1)).astype(np.int64)
@@ -265,7 +295,7 @@ def _members(rows: DataFrame, star: DataFrame, k: int) -> DataFrame:
         yield from rows_out(bits)
 
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for r in star.select("p", "c").mapInArrow(fill, "part int, bits binary").repartition("part").mapInArrow(merge, "part int, bits binary").toLocalIterator():
+    for r in pairs.select("p", "c").mapInArrow(fill, "part int, bits binary").repartition("part").mapInArrow(merge, "part int, bits binary").toLocalIterator():
         bits[r["part"] * part : (r["part"] + 1) * part] |= np.frombuffer(bytes(r["bits"]), np.uint8)
 
     def fetch(batches):
@@ -286,27 +316,66 @@ def _members(rows: DataFrame, star: DataFrame, k: int) -> DataFrame:
     return staged(got.groupBy("cid").agg(F.first("s").alias("s")), "members")
 
 
-def _rest(star: DataFrame, near: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+#: Pairs of a list compared at once.
+AT_ONCE = 1 << 15
+
+
+def _rest(star: DataFrame, near: DataFrame, roots: DataFrame, hist: DataFrame, percent: int) -> DataFrame:
     """Pairs (p, c) that share a list, are in different classes so far and could still be linked.
 
     Members of a list meet under the pivot they were searched for. A member linked with the pivot and one
-    farther from it than two links can't be linked. A list whose members are in one class needs nothing.
+    farther from it than two links can't be linked. A list whose members are in one class needs nothing, nor
+    does one of two members, which were searched for each other. The rest of a list is compared in a task by
+    sizes and histograms, a bounded number of pairs at once, and only what may be linked leaves it.
     """
     state = near.select("p", "c", F.when(F.col("link"), 0).otherwise(1).alias("far"))
     root = roots.select(F.col("v").alias("c"), "root")
-    own = star.join(state, ["p", "c"], "left").select("sig", "p", "c", "n", F.coalesce("far", F.lit(2)).alias("far"))
-    heads = star.select("sig", F.col("p").alias("c")).distinct()
-    sizes = star.select("c", "n").distinct()
-    heads = heads.join(sizes, "c", "left").select("sig", F.col("c").alias("p"), "c", "n", F.lit(0).alias("far"))
+    heads = star.select("sig", F.col("p").alias("c"), F.col("p")).distinct().withColumn("far", F.lit(0))
+    own = star.join(state, ["p", "c"], "left").select("sig", "c", "p", F.coalesce("far", F.lit(2)).alias("far"))
+    # A member that is both searched and a pivot of larger ones has a row of each kind.
     every = own.unionByName(heads).join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    lists = Window.partitionBy("sig")
-    every = every.withColumn("lo", F.min("root").over(lists)).withColumn("hi", F.max("root").over(lists)).filter("lo < hi").select("sig", "p", "c", "n", "far", "root")
-    every = staged(every.distinct(), "open")
-    a, b = every.alias("a"), every.alias("b")
-    size = (F.col("a.n").isNull() | F.col("b.n").isNull()) | ((F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent))
-    apart = (F.col("a.p") == F.col("b.p")) & (F.col("a.far") + F.col("b.far") == 2) & (F.col("a.far") != F.col("b.far"))
-    tried = (F.col("a.p") == F.col("b.c")) | (F.col("b.p") == F.col("a.c"))
-    return a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.root") != F.col("b.root")) & size & ~apart & ~tried).select(F.col("a.c").alias("p"), F.col("b.c").alias("c")).distinct()
+    lists = every.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min("p").alias("a"), F.max("p").alias("b"))
+    lists = lists.filter((F.col("lo") < F.col("hi")) & ((F.col("k") > 2) | (F.col("a") != F.col("b")))).select("sig")
+    every = every.join(lists, "sig", "left_semi").join(hist.select(F.col("cid").alias("c"), "n", "hist"), "c")
+    every = every.select("sig", "c", "p", "far", "root", "n", "hist").repartition("sig").sortWithinPartitions("sig", "n", "c")
+
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            sig = batch.column(0).to_numpy()
+            edge = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if held and held[-1].column(0)[0].as_py() != sig[a]:
+                    yield from one(held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from one(held)
+
+    def one(parts):
+        t = pa.Table.from_batches(parts)
+        c, p, far, root, n = (t.column(i).to_numpy() for i in range(1, 6))
+        h = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, BINS)
+        last = np.searchsorted(n, n * 100 // percent, "right")  # sizes rise: those after it are too large
+        count = np.maximum(last - np.arange(len(c)) - 1, 0)
+        total = np.cumsum(count)
+        i = 0
+        while i < len(c):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + AT_ONCE, "right")))
+            own = count[i:j]
+            x = np.repeat(np.arange(i, j), own)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
+            apart = (p[x] == p[y]) & (far[x] + far[y] == 2) & (far[x] != far[y])
+            ok = (c[x] != c[y]) & (root[x] != root[y]) & ~apart & (p[x] != c[y]) & (p[y] != c[x])
+            x, y = x[ok], y[ok]
+            ok = _may_reach(h[x], h[y], n[x] + n[y], percent)
+            x, y = x[ok], y[ok]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[x], c[y])), pa.array(np.maximum(c[x], c[y]))], names=["p", "c"])
+            i = j
+
+    return every.mapInArrow(compare, "p long, c long").distinct()
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
