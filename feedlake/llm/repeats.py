@@ -27,8 +27,8 @@ SIDE = (DEPTH - GRAM) // 2
 #: Longest piece of a text looked at at once; pieces overlap by DEPTH - 1 bytes.
 PIECE = 1 << 22
 POSITION_BITS = 24
-#: Segments that a task gathers before it sends them on, in BUCKETS parts by anchor.
-FLUSH, BUCKETS = 1 << 19, 256
+#: Segments that a task gathers before it sends them on, in parts by anchor: at least BUCKETS, at most MOST_BUCKETS.
+FLUSH, BUCKETS, MOST_BUCKETS = 1 << 19, 256, 1 << 16
 #: Bits of the map of anchors whose windows are fetched. More anchors set more bits, and more are fetched.
 MAP_BITS = 25
 
@@ -134,7 +134,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _KIND, strict=True)], schema=_KIND)
 
 
-def _spans(docs, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, mark: int) -> list[tuple]:
+def n_buckets(spark: SparkSession) -> int:
+    """A power of two that gives each shuffle partition four buckets and more."""
+    n = BUCKETS
+    while n < min(MOST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        n *= 2
+    return n
+
+
+def _spans(docs, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, mark: int, buckets: int = 1) -> list[tuple]:
     """Rows of removed byte ranges, one per document: pairs (lo, hi) as bytes; ranges that meet are joined."""
     out = []
     order = np.lexsort((lo, doc))
@@ -142,7 +150,7 @@ def _spans(docs, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, mark: int) ->
     for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
         if len(part):
             a, b = joined(lo[part], hi[part])
-            out.append((mark if mark >= 0 else int(a[0]) % BUCKETS, *docs[doc[part[0]]], np.stack((a, b), 1).astype("<u4").tobytes()))
+            out.append((mark if mark >= 0 else int(a[0]) % buckets, *docs[doc[part[0]]], np.stack((a, b), 1).astype("<u4").tobytes()))
     return out
 
 
@@ -156,11 +164,11 @@ def joined(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bit(anchor: np.ndarray, bucket) -> np.ndarray:
-    return (mix64(anchor.astype(U64) * U64(BUCKETS) + U64(bucket)) & U64((1 << MAP_BITS) - 1)).astype(np.int64)
+    return (mix64(anchor.astype(U64) * U64(MOST_BUCKETS) + U64(bucket)) & U64((1 << MAP_BITS) - 1)).astype(np.int64)
 
 
-def _short(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (anchor >> U64(32)).astype(np.uint32), (anchor & U64(BUCKETS - 1)).astype(np.int64)
+def _short(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    return (anchor >> U64(32)).astype(np.uint32), (anchor & U64(buckets - 1)).astype(np.int64)
 
 
 def _rows(docs: DataFrame, *more: str) -> DataFrame:
@@ -171,11 +179,13 @@ def _rows(docs: DataFrame, *more: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """Removed byte ranges: (d, th, body), possibly several rows per document."""
 
+    buckets = n_buckets(docs.sparkSession)
+
     def post(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for ids, lead, rest in _flushes(batches, depth, gram):
-            out = _spans(ids, rest["doc"], rest["lo"], rest["hi"] + depth - 1, -1)
-            short, bucket = _short(lead["anchor"])
+            out = _spans(ids, rest["doc"], rest["lo"], rest["hi"] + depth - 1, -1, buckets)
+            short, bucket = _short(lead["anchor"], buckets)
             rows = np.empty(len(short), POSTING)
             rows["anchor"], rows["seg"], rows["left"], rows["right"] = short, lead["seg"], lead["left"] & U64(0xFFFF), lead["right"] & U64(0xFFFF)
             rows["doc"], rows["lo"], rows["len"] = lead["doc"], lead["lo"], lead["hi"] - lead["lo"]
@@ -186,7 +196,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
                 own = rows[part]
                 own["doc"] = doc
                 columns = b"".join(own[f].tobytes() for f in POSTING.names)
-                out.append((int(bucket[part[0]]) + BUCKETS, len(used), len(part), squeeze.compress(names[used].tobytes() + columns)))
+                out.append((int(bucket[part[0]]) + buckets, len(used), len(part), squeeze.compress(names[used].tobytes() + columns)))
             for at in range(0, len(out), 512):
                 yield _batch(out[at : at + 512])
 
@@ -195,10 +205,10 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
         held: dict[int, list] = {}
         for batch in batches:
             for b, d, th, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b < BUCKETS:
+                if b < buckets:
                     yield _batch([(0, d, th, body)])
                 else:
-                    held.setdefault(b - BUCKETS, []).append((d, th, body))
+                    held.setdefault(b - buckets, []).append((d, th, body))
         for b in list(held):
             names, posts, n = [], [], 0
             for used, size, body in held.pop(b):
@@ -235,7 +245,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
             return
 
         def wanted(anchor):
-            short, bucket = _short(anchor)
+            short, bucket = _short(anchor, buckets)
             at = _bit(short, bucket)
             return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
 
