@@ -334,12 +334,28 @@ def _rest(star: DataFrame, near: DataFrame, roots: DataFrame, hist: DataFrame, p
     own = star.join(state, ["p", "c"], "left").select("sig", "c", "p", F.coalesce("far", F.lit(2)).alias("far"))
     # A member that is both searched and a pivot of larger ones has a row of each kind.
     every = own.unionByName(heads).join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    lists = every.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min("p").alias("a"), F.max("p").alias("b"))
-    lists = lists.filter((F.col("lo") < F.col("hi")) & ((F.col("k") > 2) | (F.col("a") != F.col("b")))).select("sig")
+    lists = every.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min("p").alias("a"), F.max("p").alias("b"), F.bit_xor(F.xxhash64("c", "p", "far")).alias("alike"))
+    lists = lists.filter((F.col("lo") < F.col("hi")) & ((F.col("k") > 2) | (F.col("a") != F.col("b"))))
+    # Of lists with the same members one is enough.
+    lists = staged(lists.groupBy("alike", "k", "lo", "hi", "a", "b").agg(F.min("sig").alias("sig")).select("sig"), "lists")
     every = every.join(lists, "sig", "left_semi").join(hist.select(F.col("cid").alias("c"), "n", "hist"), "c")
     every = every.select("sig", "c", "p", "far", "root", "n", "hist").repartition("sig").sortWithinPartitions("sig", "n", "c")
 
     def compare(batches):
+        told: set[tuple[int, int]] = set()  # pairs sent; forgetting some costs only repeats
+
+        def fresh(pairs):
+            new = [x for x in zip(*(c.to_pylist() for c in pairs.columns), strict=True) if x not in told]
+            if len(told) > 500_000:
+                told.clear()
+            told.update(new)
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*new, strict=True)], names=["p", "c"])
+
+        for pairs in every_pair(batches):
+            yield from fresh(pairs)
+
+    def every_pair(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             sig = batch.column(0).to_numpy()
