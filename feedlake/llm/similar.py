@@ -331,7 +331,8 @@ def _rest(star: DataFrame, near: DataFrame, roots: DataFrame, hist: DataFrame, p
     state = near.select("p", "c", F.when(F.col("link"), 0).otherwise(1).alias("far"))
     root = roots.select(F.col("v").alias("c"), "root")
     heads = star.select("sig", F.col("p").alias("c"), F.col("p")).distinct().withColumn("far", F.lit(0))
-    own = star.join(state, ["p", "c"], "left").select("sig", "c", "p", F.coalesce("far", F.lit(2)).alias("far"))
+    # Only what was searched for and not found is far; a member too large for its pivot was never measured.
+    own = star.join(state, ["p", "c"], "left").select("sig", "c", "p", F.coalesce("far", F.when(F.col("near"), 2).otherwise(1)).alias("far"))
     # A member that is both searched and a pivot of larger ones has a row of each kind.
     every = own.unionByName(heads).join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
     lists = every.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min("p").alias("a"), F.max("p").alias("b"), F.bit_xor(F.xxhash64("c", "p", "far")).alias("alike"))

@@ -86,6 +86,23 @@ def test_op2_stage_keeps_one_of_each_class(spark):
     assert len(rows) == len(classes) + empty
 
 
+def roots_of(rows):
+    """For each text, the classes it got."""
+    out = {}
+    for r in rows:
+        out.setdefault(r.doc_id, set()).add(r.root)
+    return out
+
+
+def test_op2_member_too_large_for_its_pivot(spark):
+    """p < a < c share all short lists; c is too large for the pivot p, and only a links the two."""
+    w = lambda name, n: [f"{name}{i}" for i in range(n)]
+    p, e, f = w("p", 100), w("e", 9), w("f", 7)
+    texts = [(1, p), (2, p + e + ["x"]), (3, p + e + f + w("y", 2))] + [(10 + i, e + f + w(f"z{i}_", 300)) for i in range(6)]
+    got = roots_of(similar.linked(docs_of(spark, [(d, " ".join(t)) for d, t in texts]), k=1).collect())
+    assert got[1] == got[2] == got[3] and len(set.union(*got.values())) == 7
+
+
 def test_divide_skip_equals_counting():
     r = np.random.RandomState(1)
     for _ in range(40):
