@@ -233,14 +233,15 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
 
     def stars(batches):
         """Of each list, sorted by size: members with their pivot, the first that may be linked with them."""
-        sig, pivot, size = None, None, 0
+        sig, pivot, size, was = None, None, 0, None
         for batch in batches:
             out = []
             for g, c, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if g == sig and c == was:  # a copy posted by another task
+                    continue
+                was = c
                 if g != sig:
                     sig, pivot, size = g, c, n
-                elif c == pivot:
-                    continue
                 elif 100 * size < percent * n:  # too large for this pivot
                     out.append((g, c, n, pivot, False))
                     pivot, size = c, n
@@ -337,7 +338,7 @@ def _rest(star: DataFrame, near: DataFrame, roots: DataFrame, hist: DataFrame, p
     every = own.unionByName(heads).join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
     lists = every.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min("p").alias("a"), F.max("p").alias("b"), F.bit_xor(F.xxhash64("c", "p", "far")).alias("alike"))
     lists = lists.filter((F.col("lo") < F.col("hi")) & ((F.col("k") > 2) | (F.col("a") != F.col("b"))))
-    # Of lists with the same members one is enough.
+    # Of lists with the same members one is enough; every member is one row, so none cancels another in alike.
     lists = staged(lists.groupBy("alike", "k", "lo", "hi", "a", "b").agg(F.min("sig").alias("sig")).select("sig"), "lists")
     every = every.join(lists, "sig", "left_semi").join(hist.select(F.col("cid").alias("c"), "n", "hist"), "c")
     every = every.select("sig", "c", "p", "far", "root", "n", "hist").repartition("sig").sortWithinPartitions("sig", "n", "c")

@@ -103,6 +103,22 @@ def test_op2_member_too_large_for_its_pivot(spark):
     assert got[1] == got[2] == got[3] and len(set.union(*got.values())) == 7
 
 
+@pytest.mark.parametrize("copies", [2, 4])
+def test_op2_copies_in_several_partitions(spark, copies):
+    """Twelve groups p - x - z - y of links; p, x, z share lists and p, x, y share others, and x and z no list alone."""
+    first, more = [], []
+    for g in range(12):
+        w = lambda name, n: [f"{name}{i}_{g}" for i in range(n)]  # noqa: E731,B023
+        c, u, v, z = w("c", 84), w("u", 8), w("v", 7), w("z", 8)
+        first.append((10 * g, " ".join(c[:82] + u + v + ["shared"])))
+        more += [(10 * g + i + 1, " ".join(t)) for i, t in enumerate((c + u + v + w("x", 1), c + u + z, c + z + v + w("y", 1)))]
+    sc = spark.sparkContext
+    docs = spark.createDataFrame(sc.union([sc.parallelize(first, 1), *(sc.parallelize(more, 1) for _ in range(copies))]), "doc_id long, text string")
+    assert docs.rdd.getNumPartitions() == 1 + copies
+    got = roots_of(similar.linked(docs, k=1).collect())
+    assert all(len(set.union(*(got[10 * g + i] for i in range(4)))) == 1 for g in range(12)) and len(set.union(*got.values())) == 12
+
+
 def test_divide_skip_equals_counting():
     r = np.random.RandomState(1)
     for _ in range(40):
