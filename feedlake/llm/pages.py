@@ -22,6 +22,7 @@ from .common import table
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("script style head title noscript template textarea select svg math iframe object canvas".split())
+FOREIGN = frozenset("svg math".split())  # may be closed in the tag itself
 RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 #: tag -> tags of open elements that it ends, and the tags beyond which it does not look.
@@ -35,7 +36,10 @@ CLOSES = {
     "th": ({"td", "th", "p"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>)""")
+#: A quote opens a value only after "=", and where it is not closed, it is a character as any other.
+TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+)>)""")
+#: For a tag whose closed quotes hold all ">" that are left.
+TAG_TO_NEXT = re.compile(r"<()()(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTR = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[a-z]+")
 ROOT_TAG = re.compile(r"^<(\w+)")
@@ -88,7 +92,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if lt < 0:
             text(at, n)
             break
-        m = TAG.match(page, lt)
+        m = TAG.match(page, lt) or TAG_TO_NEXT.match(page, lt)
         if not m:
             if lt + 1 < n and (page[lt + 1].isalpha() or page[lt + 1] == "/" and lt + 2 < n and page[lt + 2].isalpha()):
                 text(at, lt)  # a tag that the page's end cuts off
@@ -141,7 +145,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             end = page.find(">", close.end()) if close else -1
             at = n if end < 0 else end + 1
             continue
-        if not attrs.endswith("/") or block:
+        if not attrs.endswith("/") or block and tag not in FOREIGN:
             stack.append((tag, k, hidden))
             links += tag == "a"
     return nodes, pieces

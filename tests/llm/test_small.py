@@ -283,6 +283,19 @@ def test_op7_main_text(spark):
     assert got == [(1, text, len(text))] * 2 + [(2, "", 0), (3, "", 0), (4, "plain & simple", 14), (5, "", 0)]
 
 
+def test_op7_stray_quotes_and_closed_foreign_elements():
+    words = "Main words of the page that go on and on. " * 8
+    text = lambda page: pages.default_model().text(page)
+    for tag in ("""<p title="5" tall">""", "<p title='5' o'clock>", """<p title="5>""", """<p title='it's'>""", "<p data-x=5\">"):
+        assert text(f"<article>{tag}{words}</p><p>more</p></article>") == (words + "more"), tag
+    assert text(f'<article><p title="5" tall">{words}</p><p class="x">more "quoted"</p></article>') == words + 'more "quoted"'
+    assert text(f"""<article><p>{words}</p><p title="5>said "yes" at last</article>""").endswith("last") is False  # ends at the next >
+    assert text(f"""<article><p title=">">{words}</p><p title="a > b">more</p><p cut="a""") == words + "more"
+    for tag in ('<svg class="i" />', "<math/>"):
+        assert text(f"<article>{tag}<p>{words}</p><p>{tag}more</p></article>") == words + "more", tag
+    assert text(f"<article><p>{words}</p><svg><text>no</text><path/></svg><p>more</p></article>") == words + "more"
+
+
 def test_op7_messages_are_exact():
     model = pages.default_model()
     nodes, _ = pages.parse("<body><div><p>some text here</p></div><nav><ul><li>x</li></ul></nav></body>")
