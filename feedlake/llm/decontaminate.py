@@ -3,8 +3,10 @@
 A text becomes its words; numbers, names (a capital, then small letters) and units become typed
 placeholders, so a question asked again with other numbers or names has the same template. Windows of
 WINDOW template words are joined by hash with those of the benchmark. For each alignment of an item with
-a text the slots must be consistent: one value of the item stands for one value of the text. A text
-is contaminated by an item of whose windows at least COVERAGE lie in consistent alignments.
+a text the slots must be consistent: one value of the item stands for one value of the text. Windows with
+too few words that are no placeholder, and items too short to have others, are joined by all their words in
+small letters instead, and must agree in every one. A text is contaminated by an item of whose windows at
+least COVERAGE lie in consistent alignments; one of exact windows alone is always consistent.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 WINDOW = 8
-#: Words in a window that must be no placeholder; shorter items can't be told from others.
+#: Words in a window that must be no placeholder for a match by template; windows of fewer are matched word for word.
 LITERALS = 5
 COVERAGE = 0.2
 #: Share of an alignment's slot values that must be bound to one value of the text.
@@ -39,48 +41,53 @@ def template_word(w: Column) -> Column:
     return F.when((w >= "0") & (w < ":"), F.lit("#number")).when(low.isin(*UNITS), F.lit("#unit")).when(name, F.lit("#name")).otherwise(low)
 
 
-def _hash_from(n: int):
-    return lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(n)))
+def _hash_from(n: int, hashes: str):
+    return lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(n)))
 
 
-def _windows(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
-    """rows (keys, raw, hashes) with one row per window of each length: pos, h, and raw."""
-    each = None
-    for n in lengths:
-        starts = F.when(F.size("hashes") >= n, F.sequence(F.lit(0), F.size("hashes") - n))
-        # Hashes in a projection of their own: the generator then runs in generated code and does not copy raw.
-        # The outer form keeps the optimizer from filtering on a copy of the expression; the join drops its nulls.
-        part = rows.withColumn("windows", F.transform(starts, _hash_from(n)))
-        part = part.select(*keys, "raw", F.lit(n).alias("length"), F.posexplode_outer("windows").alias("pos", "h"))
-        each = part if each is None else each.unionByName(part)
-    return each
+def _windows(rows: DataFrame, keys: list[str], n: int, exact: bool) -> DataFrame:
+    """rows (keys, raw, hashes, plain) with one row per window of n words: length, exact, pos, h, and raw."""
+    hashes = "plain" if exact else "hashes"  # used twice at least, so the optimizer does not copy it into the lambda
+    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n))
+    # Hashes in a projection of their own: the generator then runs in generated code and does not copy raw.
+    # The outer form keeps the optimizer from filtering on a copy of the expression; the join drops its nulls.
+    part = rows.withColumn("windows", F.transform(starts, _hash_from(n, hashes)))
+    return part.select(*keys, "raw", F.lit(n).alias("length"), F.lit(exact).alias("exact"), F.posexplode_outer("windows").alias("pos", "h"))
 
 
 def _tokens(df: DataFrame, keys: list[Column]) -> DataFrame:
     raw = df.select(*keys, words(F.col("text")).alias("raw"))
-    return raw.withColumn("hashes", F.transform("raw", lambda w: F.xxhash64(template_word(w))))
+    return raw.withColumn("hashes", F.transform("raw", lambda w: F.xxhash64(template_word(w)))).withColumn("plain", F.transform("raw", lambda w: F.xxhash64(F.lower(w))))
 
 
-def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int], int]:
-    """Windows of the items with LITERALS words that are no placeholder, their lengths, and their number.
+def _compared(words_of: str) -> Column:
+    """The words by which a window is compared: all in small letters, or its template."""
+    return F.when(F.col("exact"), F.transform(words_of, F.lower)).otherwise(F.transform(words_of, template_word))
 
-    An item of fewer words than window has itself as its one window.
+
+def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[tuple[int, bool]], int]:
+    """Windows of all items that have a word, their kinds (length, exact), and their number.
+
+    An item of fewer words than window has itself as its one window. Windows of fewer than LITERALS words
+    that are no placeholder are exact. item_windows counts all of an item's windows, item_templates the others.
     """
     items = _tokens(bench, [F.col("item_id")]).distinct()
-    lengths = [r[0] for r in items.select(F.least(F.size("raw"), F.lit(window)).alias("n")).filter(F.col("n") >= LITERALS).distinct().collect()]
+    lengths = [r[0] for r in items.select(F.least(F.size("raw"), F.lit(window)).alias("n")).filter(F.col("n") > 0).distinct().collect()]
     if not lengths:
         return None, [], 0
     w = None
     for n in sorted(lengths):  # window at most different values
         own = items.filter(F.size("raw") >= n if n == window else F.size("raw") == n)
-        part = _windows(own, ["item_id"], [n])
+        part = _windows(own, ["item_id"], n, False).unionByName(_windows(own, ["item_id"], n, True))
         w = part if w is None else w.unionByName(part)
     slots = lambda c: F.slice(c, F.col("pos") + 1, F.col("length"))
-    w = w.select("item_id", "length", "h", F.col("pos").alias("item_pos"), slots("raw").alias("item_raw"), F.transform(slots("raw"), template_word).alias("template"))
-    w = w.filter(F.size(F.filter("template", lambda x: ~x.startswith("#"))) >= LITERALS)
-    n_windows = w.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    literals = F.size(F.filter(F.transform(slots("raw"), template_word), lambda x: ~x.startswith("#")))
+    w = w.filter((literals < LITERALS) == F.col("exact"))
+    w = w.select("item_id", "length", "exact", "h", F.col("pos").alias("item_pos"), slots("raw").alias("item_raw"))
+    w = w.withColumn("template", _compared("item_raw"))
+    n_windows = w.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.count_if(~F.col("exact")).alias("item_templates"))
     w = staged(w.join(n_windows, "item_id"), "benchmark")
-    return w, sorted(lengths), w.count()
+    return w, sorted((r[0], r[1]) for r in w.select("length", "exact").distinct().collect()), w.count()
 
 
 FOUND = "doc_id long, text_hash long, item_id long, windows long, item_windows long, coverage double, slots long, consistent_slots long"
@@ -90,29 +97,38 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, covera
     """One row per document and item found in it: FOUND. text_hash tells documents of one doc_id apart.
 
     Null or empty texts hold nothing; repeated rows of either table count once; other columns are not
-    read. An empty benchmark, or one of short items only, gives no rows.
+    read. An empty benchmark gives no rows. Coverage is the share of an item's windows that are found, or of its
+    windows matched by template alone where that is larger; windows and item_windows are the two numbers of it.
     """
-    w, lengths, n = benchmark_windows(bench, window)
+    w, kinds, n = benchmark_windows(bench, window)
     if not n:
         return docs.sparkSession.createDataFrame([], FOUND)
     rows = _tokens(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")])
-    hits = _windows(rows, ["doc_id", "text_hash"], lengths).join(F.broadcast(w) if n <= BROADCAST_ROWS else w, ["h", "length"])
-    # Only slices are taken here: a lambda in what follows the join would leave generated code before it.
-    hits = hits.select("doc_id", "text_hash", "item_id", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "template", "item_raw", F.slice("raw", F.col("pos") + 1, F.col("length")).alias("doc_raw"))
+    hits = None
+    for length, exact in kinds:  # joined one by one: a union before the join would copy raw for every window
+        own = w.filter((F.col("length") == length) & (F.col("exact") == exact))
+        part = _windows(rows, ["doc_id", "text_hash"], length, exact).join(F.broadcast(own) if n <= BROADCAST_ROWS else own, ["h", "length", "exact"])
+        # Only slices are taken here: a lambda in what follows the join would leave generated code before it.
+        part = part.select("doc_id", "text_hash", "item_id", "item_windows", "item_templates", "exact", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "template", "item_raw", F.slice("raw", F.col("pos") + 1, F.col("length")).alias("doc_raw"))
+        hits = part if hits is None else hits.unionByName(part)
     hits = staged(hits, "hits")
     # The joined templates are compared, so a shared hash alone is no match.
-    hits = hits.filter(F.transform("doc_raw", template_word) == F.col("template"))
+    hits = hits.filter(_compared("doc_raw") == F.col("template"))
     slots = F.filter(F.arrays_zip("template", "item_raw", "doc_raw"), lambda s: s["template"].startswith("#"))
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "text_hash", "item_id"]
     names = ["k", "text_hash", "item_id"]
-    bound = hits.select(*key, "shift", F.explode(slots).alias("s")).select(*names, "shift", "s.template", F.lower("s.item_raw").alias("item_value"), F.lower("s.doc_raw").alias("doc_value"))
+    bound = hits.filter("not exact").select(*key, "shift", F.explode(slots).alias("s")).select(*names, "shift", "s.template", F.lower("s.item_raw").alias("item_value"), F.lower("s.doc_raw").alias("doc_value"))
     # One value of the text for a value of the item; the other way round two names may share a substitute.
     bound = bound.groupBy(*names, "shift", "template", "item_value").agg((F.min("doc_value") == F.max("doc_value")).cast("long").alias("one"))
     bound = bound.groupBy(*names, "shift").agg(F.count("*").alias("slots"), F.sum("one").alias("consistent_slots"))
-    seen = hits.select("doc_id", *key, "item_windows", "item_pos", "shift").distinct()
+    seen = hits.select("doc_id", *key, "item_windows", "item_templates", "exact", "item_pos", "shift").distinct()
     good = seen.join(bound, [*names, "shift"], "left").fillna(0, ["slots", "consistent_slots"]).filter(F.col("consistent_slots") >= F.lit(consistent) * F.col("slots"))
-    found = good.groupBy(*names, "item_pos").agg(F.first("doc_id").alias("doc_id"), F.first("item_windows").alias("item_windows"), F.max("slots").alias("slots"), F.max("consistent_slots").alias("consistent_slots"))
-    found = found.groupBy(*names).agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("windows"), F.first("item_windows").alias("item_windows"), F.max("slots").alias("slots"), F.max("consistent_slots").alias("consistent_slots"))
+    once = [F.first(c).alias(c) for c in ("doc_id", "item_windows", "item_templates")]
+    most = [F.max(c).alias(c) for c in ("slots", "consistent_slots")]
+    found = good.groupBy(*names, "item_pos", "exact").agg(*once, *most)
+    found = found.groupBy(*names).agg(*once, *most, F.count("*").alias("windows"), F.count_if(~F.col("exact")).alias("templates"))
+    alone = (F.col("item_templates") > 0) & (F.col("templates") * F.col("item_windows") > F.col("windows") * F.col("item_templates"))
+    found = found.withColumn("windows", F.when(alone, F.col("templates")).otherwise(F.col("windows"))).withColumn("item_windows", F.when(alone, F.col("item_templates")).otherwise(F.col("item_windows")))
     found = found.withColumn("coverage", F.col("windows") / F.col("item_windows")).filter(F.col("coverage") >= coverage)
     return found.select("doc_id", "text_hash", "item_id", "windows", "item_windows", "coverage", "slots", "consistent_slots")
 

@@ -327,6 +327,19 @@ def test_op8_finds_copies_and_other_slots(spark):
     assert {3, 5, None} <= kept
 
 
+def test_op8_windows_of_few_literals_and_short_items(spark):
+    """Items that have no window for a match by template are found word for word, and only so."""
+    dense, short, titles = "Tom has 5 apples, Ann has 7 pears", "Who wrote Faust?", "The Old Man And The Sea By Ernest Hemingway In Cuba"
+    mixed = "Then the old train carries some coal over the hill. Tom 5 Ann 7 Bob 9 Eve 3 Kim 4 Joe 6"
+    texts = [(1, f"before {dense} after"), (2, f"so: {short.lower()} yes"), (3, f"a {titles} b"), (4, dense.replace("5", "6")), (5, "who wrote it"), (6, mixed.replace("5", "8")), (7, "Tom 5 Ann 7 Bob 9 Eve 3 Kim 4 Joe 6")] + ODD
+    bench = spark.createDataFrame([(1, dense), (2, short), (3, titles), (4, mixed), (5, None), (6, "")], "item_id long, text string")
+    rows = decontaminate.contaminated(docs_of(spark, texts), bench).collect()
+    got = {(r.doc_id, r.item_id): r for r in rows}
+    assert sorted(got) == [(1, 1), (2, 2), (3, 3), (6, 4), (7, 4)] and len(rows) == 5
+    assert all(got[k].coverage == 1 and got[k].windows == got[k].item_windows for k in ((1, 1), (2, 2), (3, 3)))
+    assert got[6, 4].coverage == 1 and got[7, 4].coverage < 1
+
+
 def test_op1_budgets(spark):
     rows = [(i, "w " * (1 + i % 9), "en", "hot" if i % 3 else f"s{i % 4}", 1) for i in range(600)] + [(None, "a b", "en", None, 1), (900, None, "en", "void", 0), (5, "w " * 6, "en", "hot", 1)]
     slim = mixing.measured(frame(spark, rows))
