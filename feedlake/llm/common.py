@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -135,5 +136,71 @@ def cut(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
 
 
-def blobs(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
+#: Spans up to this many bytes are hashed eight bytes at a time, longer ones by BLAKE2.
+LONG = 64
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span [start, end). Every eight bytes are mixed before the next are added, so unlike
+    a polynomial modulo 2**64 it has no known pairs of equal hash."""
+    n = end - start
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    h = n.astype(U64) * U64(0x94D049BB133111EB)
+    for k in range(0, min(LONG, int(n.max(initial=0))), 8):
+        live = np.flatnonzero((n > k) & (n <= LONG))
+        own = eight[start[live] + k] & _BYTES[np.minimum(n[live] - k, 8)]
+        h[live] = mix64(h[live] ^ own)
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores as keep them apart from df's columns, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of a map at most, and its parts.
+MOST_BITS, PARTS = 28, 256
+
+
+class Bits:
+    """A bit map of 64-bit hashes, asked by their low bits."""
+
+    def __init__(self, power: int):
+        self.power, self.bits = power, np.zeros((1 << power) // 8, np.uint8)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h.astype(np.int64) & ((1 << self.power) - 1)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap(keys: DataFrame) -> Bits:
+    """A bit map of the one column of keys, 64-bit hashes: 16 bits for each row and 2**MOST_BITS (32 MB) at most.
+    Beyond that more hashes are taken for keys; the caller joins with the keys after it, so results are the same."""
+    out = Bits(min(MOST_BITS, max(16, (16 * keys.count()).bit_length())))
+    per = (1 << out.power) // PARTS
+    at = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << out.power) - 1).cast("long"))
+    spread = keys.select((at / per).cast("int").alias("part"), (at % per).cast("int").alias("at")).repartition("part")
+
+    def fill(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, at = (batch.column(i).to_numpy() for i in (0, 1))
+            for p in np.unique(part).tolist():
+                own = at[part == p]
+                np.bitwise_or.at(held.setdefault(p, np.zeros(per // 8, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
+        for p, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
+
+    for r in spread.mapInArrow(fill, "part int, bits binary").toLocalIterator():  # PARTS rows
+        out.bits[r["part"] * (per // 8) : (r["part"] + 1) * (per // 8)] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out

@@ -1,16 +1,18 @@
 """N-gram Jaccard self-join by T-occurrence search, and the classes that its links form.
 
-A text's shingles are ordered from rare to common by a count sketch of fixed size. Two sets of Jaccard t
-share one of their rarest n - ceil(t n) + 1 shingles: these are the short inverted lists, and Spark merges
-them by sorting. Their common members are candidates. A task takes one query and a block of candidates and
-runs DivideSkip: the L longest of the query's lists are set aside, the short rest is heap-merged, and a
-candidate that has T - L occurrences there is looked up in the long lists by binary search until it reaches
-its required overlap T or can't any more.
-
-Sets that are equal form one class first. In a list the smallest set is the query (pivot) for the others, so
-a group of near copies costs one search for each member, not one for each pair. The Jaccard distance is a
-metric, so of the remaining pairs in a list, those whose members already belong together, or lie too far
-apart by their distances from the pivot, need no search; every other pair is searched in a second round.
+Texts of equal shingle sets form one class first. A set's shingles are ordered from rare to common by a count
+sketch of fixed size. Two sets of Jaccard t share one of their rarest n - ceil(t n) + 1 shingles: these are the
+short inverted lists, and Spark brings the members of each together.
+
+First round: the member whose lists are longest, so the most typical text of a group of near copies, is each
+list's query (pivot) for its other members; a group costs about one search for each member, not one for each
+pair. Second round: of a list whose members are not all of one component by now, every pair from different
+components is compared by histograms, an exact upper bound of the overlap, in blocks of members, and what may
+be linked is searched too. So no link between components is lost.
+
+A search takes a query and a block of candidates and runs DivideSkip: the L longest of the query's lists over
+the block are set aside, the short rest is heap-merged, and a candidate that has T - L occurrences there is
+looked up in the long lists by binary search until it reaches its required overlap T or can't any more.
 """
 
 from __future__ import annotations
@@ -19,24 +21,27 @@ import heapq
 from math import ceil, log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, cut, mix64, prefix_hash, span_hash, staged, table, text_chunks, words
+from .common import LOWER, U64, bitmap, cut, free_names, mix64, staged, table, text_chunks, word_hash, words
 
 WORDS, PERCENT = 4, 85
+#: Words of a shingle and least similarity where the pipeline looks for near duplicates.
+STAGE_WORDS, STAGE_PERCENT = 5, 80
 #: Counters of the sketch that orders shingles by rarity.
 SKETCH = 1 << 21
-#: Candidates in a block.
-BLOCK = 256
+#: A shingle whose counter is beyond this is dealt by itself and its member together, as its list may be very long.
+HOT_LIST = 1 << 20
+#: Candidates in a block of a search, and members in a block of a list.
+BLOCK, LIST_BLOCK = 256, 2048
 #: DivideSkip's weight of a merged element against a search.
 MU = 0.0085
-#: Bits of the map of the classes whose sets are fetched.
-MAP_BITS = 25
 #: Bins of a class's histogram, and the count that stands for any larger one.
 BINS, FULL = 256, 255
+#: Classes that a task remembers to pass over copies; forgetting some costs only repeats.
+SEEN = 100_000
 _MIX = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5)]
 
 
@@ -44,27 +49,33 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int = WORDS):
     """Hashes of all runs of k words of each text (of all its words, where fewer), and their bounds by text."""
     data = LOWER[data]
     start, end, first = words(data, offs)
-    w = span_hash(prefix_hash(data), start, end)
+    w = word_hash(data, start, end)
     count = np.diff(first)
     n = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
     bounds = np.concatenate(([0], np.cumsum(n)))
     text = np.repeat(np.arange(len(n)), n)
     at = first[:-1][text] + np.arange(bounds[-1]) - bounds[:-1][text]
     h = np.zeros(len(at), U64)
-    for j in range(k):
+    for j in range(k if len(w) else 0):
         there = j < count[text]
-        h += np.where(there, w[np.minimum(at + j, max(len(w) - 1, 0))] * _MIX[j % 4] * U64(2 * (j // 4) + 1), U64(0)) if len(w) else U64(0)
+        h += np.where(there, w[np.minimum(at + j, len(w) - 1)] * _MIX[j % 4] * U64(2 * (j // 4) + 1), U64(0))
     return mix64(h + np.minimum(count, k)[text].astype(U64)), bounds
 
 
-def sets(data: np.ndarray, offs: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
+def sets(data: np.ndarray, offs: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of all texts, their bounds by text, and one number for each set (0: empty)."""
     h, bounds = shingles(data, offs, k)
-    return [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-
-
-def class_id(s: np.ndarray) -> int:
-    """One number for equal sets."""
-    return int(mix64(np.array([mix64(s).sum(dtype=U64) + U64(len(s))]))[0].view(np.int64))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        h[a:b].sort()
+    first = np.zeros(len(h) + 1, bool)
+    first[bounds] = True
+    keep = first[:-1].copy()
+    keep[1:] |= h[1:] != h[:-1]
+    at = np.concatenate(([0], np.cumsum(keep)))[bounds]
+    h = h[keep]
+    total = np.concatenate((np.zeros(1, U64), np.cumsum(mix64(h), dtype=U64)))
+    n = np.diff(at)
+    return h, at, np.where(n > 0, mix64(total[at[1:]] - total[at[:-1]] + n.astype(U64)).view(np.int64), 0)
 
 
 def rarity(docs: DataFrame, k: int = WORDS) -> np.ndarray:
@@ -95,11 +106,37 @@ def rarity(docs: DataFrame, k: int = WORDS) -> np.ndarray:
     return out
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest n - ceil(percent n / 100) + 1 members."""
-    size = len(s) + (-percent * len(s)) // 100 + 1
-    order = np.lexsort((s, counts[(s & U64(SKETCH - 1)).astype(np.int64)]))
-    return s[order[:size]]
+def prefix_size(n, percent: int):
+    return n + (-percent * n) // 100 + 1
+
+
+def prefix(s: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the rarest members of a sorted set, by their counts; ties by the hash."""
+    return np.argsort(count, kind="stable")[: prefix_size(len(s), percent)]
+
+
+def histograms(s: np.ndarray, at: np.ndarray, rows: np.ndarray) -> list[bytes]:
+    """Of the sets in rows: how many members fall into each of BINS bins."""
+    out = []
+    for lo in range(0, len(rows), 1024):
+        own = rows[lo : lo + 1024]
+        size = at[own + 1] - at[own]
+        place = np.repeat(at[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        bins = np.repeat(np.arange(len(own)), size) * BINS + ((s[place] >> U64(40)).astype(np.int64) & (BINS - 1))
+        n = np.minimum(np.bincount(bins, minlength=len(own) * BINS), FULL).astype(np.uint8).reshape(-1, BINS)
+        out += [x.tobytes() for x in n]
+    return out
+
+
+def _may_reach(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the overlap of sets of n members together may reach the required one, by their histograms."""
+    least = np.minimum(x, y)
+    return (least == FULL).any(1) | (least.sum(1, dtype=np.int64) * (100 + percent) >= percent * n)
+
+
+def _fits(a: Column, b: Column, percent: int) -> Column:
+    """Sets of such sizes may be linked."""
+    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
 def divide_skip(query: np.ndarray, cands: list[np.ndarray], need: list[int]) -> dict[int, int]:
@@ -134,21 +171,84 @@ def divide_skip(query: np.ndarray, cands: list[np.ndarray], need: list[int]) ->
     return {c: n for c, n in zip(left.tolist(), have.tolist(), strict=True) if n >= need[c]}
 
 
-def histogram(s: np.ndarray) -> bytes:
-    """How many members of a set fall into each of BINS bins."""
-    n = np.bincount((s >> U64(40)).astype(np.int64) & (BINS - 1), minlength=BINS)
-    return np.minimum(n, FULL).astype(np.uint8).tobytes()
+def measured(docs: DataFrame, counts: np.ndarray, k: int, percent: int, hot_list: int = HOT_LIST) -> DataFrame:
+    """(doc_id, th, cid, n_shingles, hist, sigs, hot) of each row. th: hash of its text; cid: its class, null for
+    empty sets; hist and the signatures only where a task first meets a class; hot: those of long lists."""
 
+    def measure(batches):
+        seen: set[int] = set()
+        for r, data, offs in text_chunks(batches):
+            s, at, cids = sets(data, offs, k)
+            fresh = []
+            for i, c in enumerate(cids.tolist()):
+                if c and c not in seen:
+                    seen.add(c)
+                    fresh.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            count = counts[(s & U64(SKETCH - 1)).astype(np.int64)]
+            places = [at[i] + prefix(s[at[i] : at[i + 1]], count[at[i] : at[i + 1]], percent) for i in fresh]
+            size = np.zeros(len(cids), np.int64)
+            size[fresh] = [len(p) for p in places]
+            place = np.concatenate(places) if places else np.zeros(0, np.int64)
+            hot = count[place] > hot_list
+            ends, whose = np.concatenate(([0], np.cumsum(size))), np.repeat(np.arange(len(cids)), size)
+            many = np.concatenate(([0], np.cumsum(np.bincount(whose[hot], minlength=len(cids)))))
+            hist = np.full(len(cids), None, object)
+            hist[fresh] = histograms(s, at, np.array(fresh, np.int64))
+            signs = s.view(np.int64)[place]
+            yield pa.RecordBatch.from_arrays(
+                [r.column("doc_id"), r.column("th"), pa.array(cids, mask=cids == 0), pa.array(np.diff(at)), pa.array(hist, pa.binary()), cut(signs[~hot], ends - many, pa.int64()), cut(signs[hot], many, pa.int64())],
+                names=["doc_id", "th", "cid", "n_shingles", "hist", "sigs", "hot"],
+            )
 
-def _may_reach(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the overlap of sets of n members together may reach the required one, by their histograms."""
-    least = np.minimum(x, y)
-    return (least == FULL).any(1) | (least.sum(1, dtype=np.int64) * (100 + percent) >= percent * n)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(measure, "doc_id long, th long, cid long, n_shingles long, hist binary, sigs array<long>, hot array<long>")
 
 
-def plausible(pairs: DataFrame, hist: DataFrame, percent: int) -> DataFrame:
+def _shared(batches):
+    """Of rows (sig, c, n) sorted by sig and c: those of lists with two members and more, each once."""
+    held = None  # the last row, and whether its list is known to have two members
+    for batch in batches:
+        sig, c, n = (batch.column(i).to_numpy() for i in range(3))
+        told = False
+        if held:
+            sig, c, n = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], c)), np.concatenate(([held[2]], n))
+            told = held[3]
+        if not len(sig):
+            continue
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])))
+        sig, c, n = sig[new], c[new], n[new]
+        edge = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
+        size = np.diff(edge)
+        size[0] += told
+        many = np.repeat(size > 1, np.diff(edge))
+        held = (sig[-1], c[-1], n[-1], bool(size[-1] > 1))
+        many[0] &= not told  # it left with the batch before
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (sig, c, n)], names=["sig", "c", "n"])
+    # A row that is alone in its list by the end was held and never left.
+
+
+def lists_of(rows: DataFrame) -> DataFrame:
+    """(sig, c, n): the members of all lists of two members and more; long lists may hold fewer."""
+    post = lambda name: rows.filter(F.size(name) > 0).select(F.explode(name).alias("sig"), F.col("cid").alias("c"), F.col("n_shingles").alias("n"))
+    some = post("sigs").repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(_shared, "sig long, c long, n long")
+    return some.unionByName(post("hot").distinct())
+
+
+def with_pivots(lists: DataFrame) -> DataFrame:
+    """(sig, c, n, p, np): the members with their list's pivot p, the one whose own lists are longest for its size."""
+    size = lists.groupBy("sig").agg(F.count("*").alias("size"))
+    typical = lists.join(size, "sig").groupBy("c").agg((F.sum("size") / F.first("n")).alias("typical"))
+    best = lists.join(typical, "c").groupBy("sig").agg(F.max(F.struct("typical", "c", "n")).alias("best"))
+    return lists.join(best, "sig").select("sig", "c", "n", F.col("best.c").alias("p"), F.col("best.n").alias("np"))
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """pairs (p, c) whose overlap may reach the one required: two sets can't share more than the sum over all
     bins of the lesser count. Exact: it only drops pairs that can't be similar enough, and needs no sets."""
+
     def bound(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
@@ -157,31 +257,59 @@ def plausible(pairs: DataFrame, hist: DataFrame, percent: int) -> DataFrame:
                 keep = _may_reach(x, y, r.column("np").to_numpy() + r.column("nc").to_numpy(), percent)
                 yield r.select(["p", "c"]).filter(pa.array(keep))
 
-    both = pairs.join(hist.select(F.col("cid").alias("p"), F.col("n").alias("np"), F.col("hist").alias("hp")), "p").join(hist.select(F.col("cid").alias("c"), F.col("n").alias("nc"), F.col("hist").alias("hc")), "c")
-    fits = (F.col("np") * 100 >= F.col("nc") * percent) & (F.col("nc") * 100 >= F.col("np") * percent)
-    return both.filter(fits).select("p", "c", "np", "nc", "hp", "hc").mapInArrow(bound, "p long, c long")
+    side = lambda a: classes.select(F.col("cid").alias(a), F.col("n").alias(f"n{a}"), F.col("hist").alias(f"h{a}"))
+    both = pairs.join(side("p"), "p").join(side("c"), "c")
+    return both.select("p", "c", "np", "nc", "hp", "hc").mapInArrow(bound, "p long, c long")
 
 
-def search(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """pairs (p, c) with shared, np, nc, of those whose Jaccard is at least percent / 100; members: cid, s."""
+def search(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (p, c) whose Jaccard is at least percent / 100. The sets come from one text of each class, found
+    again in a scan by a bit map; each goes to the blocks of the searches that ask for it, and nowhere else."""
     spread = pairs.groupBy("p").agg(F.count("*").alias("size"))
-    blocks = pairs.join(spread, "p").withColumn("block", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / F.lit(BLOCK)))).select("p", "block", "c")
-    cands = blocks.join(members.select(F.col("cid").alias("c"), "s"), "c").select("p", "block", "c", "s")
-    asks = blocks.select("p", "block").distinct().join(members.select(F.col("cid").alias("p"), "s"), "p").select("p", "block", F.lit(None).cast("long").alias("c"), "s")
+    blocks = pairs.join(spread, "p").select("p", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / F.lit(BLOCK))).alias("block"), "c")
+    asks = blocks.select("p", "block").distinct().select("p", "block", F.lit(None).cast("long").alias("c"), F.col("p").alias("cid"))
+    targets = asks.unionByName(blocks.withColumn("cid", F.col("c"))).join(classes.select("cid", "key"), "cid")
+    targets = staged(targets.select("p", "block", "c", "key"), "targets")
+    bits = bitmap(targets.select("key"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ask = rows["c"].isna()
-        q = np.frombuffer(rows["s"][ask].iloc[0], U64)
-        own = rows[~ask]
-        cs = [np.frombuffer(b, U64) for b in own["s"]]
-        need = [ceil(percent * (len(q) + len(c)) / (100 + percent)) for c in cs]
-        got = divide_skip(q, cs, need)
-        ids = own["c"].to_numpy(np.int64)
-        return pd.DataFrame({"p": np.full(len(got), key[0]), "c": ids[list(got)], "shared": list(got.values()), "np": np.full(len(got), len(q)), "nc": [len(cs[i]) for i in got]}, columns=["p", "c", "shared", "np", "nc"])
+    def fetch(batches):
+        for batch in batches:
+            wanted = bits.has(batch.column("key").to_numpy())
+            for r, data, offs in text_chunks([batch.filter(pa.array(wanted))]):
+                s, at, _ = sets(data, offs, k)
+                body = [s[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([r.column("key"), pa.array(body, pa.binary())], names=["key", "s"])
 
-    # Missing ids would turn whole numbers into floats; text keeps them exact.
-    rows = asks.unionByName(cands).withColumn("c", F.col("c").cast("string"))
-    return rows.groupBy("p", "block").applyInPandas(run, "p long, c long, shared long, np long, nc long")
+    def run(batches):
+        asked, q, was, ids, cs, size = None, None, None, [], [], 0
+
+        def found():
+            got = divide_skip(q, cs, [ceil(percent * (len(q) + len(c)) / (100 + percent)) for c in cs])
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([asked[0]] * len(got), pa.int64()), pa.array([ids[i] for i in got], pa.int64())], names=["p", "c"])
+
+        for batch in batches:
+            for p, block, c, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c is None:
+                    if asked == (p, block):  # a repeated row
+                        continue
+                    if cs:
+                        yield from found()
+                    asked, q, was, ids, cs, size = (p, block), np.frombuffer(s, U64), None, [], [], 0
+                elif c != was:
+                    was = c
+                    ids.append(c)
+                    cs.append(np.frombuffer(s, U64))
+                    size += len(cs[-1])
+                    if size > 1 << 20:
+                        yield from found()
+                        ids, cs, size = [], [], 0
+        if cs:
+            yield from found()
+
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text").mapInArrow(fetch, "key long, s binary")
+    rows = rows.join(targets, "key").select("p", "block", "c", "s").repartition("p", "block").sortWithinPartitions("p", "block", F.col("c").asc_nulls_first())
+    return rows.mapInArrow(run, "p long, c long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,222 +327,135 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, th, cid, n_shingles, component_id) of each row; th: hash of its text; cid: null for empty sets.
+def crossing(stars: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, block: int = LIST_BLOCK) -> DataFrame:
+    """Pairs (p, c) that share a list, are in different components so far, don't hold the list's pivot, and may be
+    linked by sizes and histograms. stars: sig, c, p. Lists with the same members are looked at once.
+
+    A list is dealt in blocks of its members, and every two blocks of it meet in a task.
+    """
+    root = roots.select(F.col("v").alias("c"), "root")
+    every = stars.select("sig", "c", "p").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    lists = every.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("alike"))
+    lists = lists.filter("lo < hi and k > 2")  # of two members one was the other's pivot
+    lists = lists.groupBy("alike", "k", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("k") / F.lit(block)).alias("blocks"))
+    rows = every.join(staged(lists, "lists"), "sig").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    rows = rows.join(classes.select(F.col("cid").alias("c"), "n", "hist"), "c")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "c", "p", "root", "n", "hist")
+
+    def meet(batches):
+        told: set[tuple[int, int]] = set()  # pairs sent; forgetting some costs only repeats
+        for parts in _groups(batches, 3):
+            for a, b in _pairs_between(pa.Table.from_batches(parts), percent):
+                new = [x for x in zip(a.tolist(), b.tolist(), strict=True) if x not in told]
+                if len(told) > SEEN:
+                    told.clear()
+                told.update(new)
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*new, strict=True)], names=["p", "c"])
+
+    return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(meet, "p long, c long").distinct()
+
+
+def _groups(batches, width: int):
+    """Runs of rows that agree in the first columns, as lists of slices."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(width)], 1)
+        edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if held and key != keys[a].tolist():
+                yield held
+                held = []
+            key = keys[a].tolist()
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
+#: Pairs of a block compared at once.
+AT_ONCE = 1 << 15
+
+
+def _pairs_between(t: pa.Table, percent: int):
+    """Of the members of one or two blocks of a list: pairs from different components that may be linked."""
+    x, y, mine, c, p, root, n = (t.column(i).to_numpy() for i in range(1, 8))
+    if root.min() == root.max():
+        return
+    order = np.argsort(n, kind="stable")
+    h = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(-1, BINS)[order]
+    across = x[0] != y[0]
+    mine, c, p, root, n = (v[order] for v in (mine, c, p, root, n))
+    last = np.searchsorted(n, n * 100 // percent, "right")  # sizes rise: those after it are too large
+    count = np.maximum(last - np.arange(len(c)) - 1, 0)
+    total = np.cumsum(count)
+    i = 0
+    while i < len(c):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + AT_ONCE, "right")))
+        own = count[i:j]
+        a = np.repeat(np.arange(i, j), own)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
+        ok = (root[a] != root[b]) & (c[a] != p[a]) & (c[b] != p[b])
+        if across:
+            ok &= mine[a] != mine[b]
+        a, b = a[ok], b[ok]
+        ok = _may_reach(h[a], h[b], n[a] + n[b], percent)
+        if ok.any():
+            yield np.minimum(c[a[ok]], c[b[ok]]), np.maximum(c[a[ok]], c[b[ok]])
+        i = j
+
+
+def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot_list: int = HOT_LIST, list_block: int = LIST_BLOCK) -> DataFrame:
+    """(doc_id, th, cid, root, n_shingles, component_id) of each row; th: hash of its text; cid: its class, null for empty sets.
 
     Null text, or text without words, is an empty set: no links, its own doc_id. A null doc_id is passed
     over as a smallest id, and stays null where a class has no other. Repeated rows are rows of one
     class, unless empty. Empty tables give no rows; other columns are not read.
     """
-    counts = rarity(docs, k)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-
-    def measure(batches):
-        for r, data, offs in text_chunks(batches):
-            found = sets(data, offs, k)
-            ids = pa.array([class_id(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("th"), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([histogram(s) for s in found], pa.binary())], names=["doc_id", "th", "cid", "n_shingles", "hist"])
-
-    def post(batches):
-        seen: set[int] = set()
-        for _, data, offs in text_chunks(batches):
-            found = [(class_id(s), s) for s in sets(data, offs, k) if len(s)]
-            fresh = []
-            for cid, s in found:
-                if cid not in seen:  # a copy's lists are the same; forgetting some costs only repeats
-                    seen.add(cid)
-                    fresh.append((cid, len(s), prefix(s, counts, percent)))
-            if len(seen) > 200_000:
-                seen.clear()
-            if fresh:
-                n = [len(p) for _, _, p in fresh]
-                sig = np.concatenate([p for _, _, p in fresh]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat([c for c, _, _ in fresh], n)), pa.array(np.repeat([m for _, m, _ in fresh], n))], names=["sig", "cid", "n"])
-
-    def stars(batches):
-        """Of each list, sorted by size: members with their pivot, the first that may be linked with them."""
-        sig, pivot, size, was = None, None, 0, None
-        for batch in batches:
-            out = []
-            for g, c, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if g == sig and c == was:  # a copy posted by another task
-                    continue
-                was = c
-                if g != sig:
-                    sig, pivot, size = g, c, n
-                elif 100 * size < percent * n:  # too large for this pivot
-                    out.append((g, c, n, pivot, False))
-                    pivot, size = c, n
-                else:
-                    out.append((g, c, n, pivot, True))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["sig", "c", "n", "p", "near"])
-
-    rows_of = staged(rows.mapInArrow(measure, "doc_id long, th long, cid long, n_shingles long, hist binary"), "sets")
-    lists = rows.select("text").mapInArrow(post, "sig long, cid long, n long").repartition("sig").sortWithinPartitions("sig", "n", "cid")
-    star = staged(lists.mapInArrow(stars, "sig long, c long, n long, p long, near boolean"), "stars")
-    # Searched down to twice the distance of a link, for what follows from it about other pairs.
-    wide = max(1, 2 * percent - 100)
-    hist = staged(rows_of.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("hist").alias("hist")), "histograms")
-    pairs = staged(plausible(star.filter("near").select("p", "c").distinct(), hist, wide), "pairs")
-    near = staged(search(pairs, _members(rows, pairs, k), wide), "near")
-    link = (F.col("shared") * 100 >= F.lit(percent) * (F.col("np") + F.col("nc") - F.col("shared"))).alias("link")
-    links = near.filter(link).select(F.col("p").alias("a"), F.col("c").alias("b"))
+    rows = staged(measured(docs, rarity(docs, k), k, percent, hot_list), "sets")
+    classes = rows.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.max("hist").alias("hist"), F.min(F.xxhash64("doc_id", "th")).alias("key"))
+    classes = staged(classes, "classes")
+    stars = staged(with_pivots(staged(lists_of(rows), "members")), "stars")
+    first = stars.filter((F.col("c") != F.col("p")) & _fits(F.col("n"), F.col("np"), percent)).select("p", "c").distinct()
+    first = staged(plausible(first, classes, percent), "pairs")
+    links = staged(search(first, docs, classes, k, percent).select(F.col("p").alias("a"), F.col("c").alias("b")), "links")
     roots = components(links)
-    more = staged(_rest(star, near.select("p", "c", link), roots, hist, percent), "rest")
+    more = crossing(stars, roots, classes, percent, list_block)
+    more = staged(more.join(first.select(F.least("p", "c").alias("p"), F.greatest("p", "c").alias("c")), ["p", "c"], "left_anti"), "more")
     if not more.isEmpty():
-        again = search(more, _members(rows, more, k), percent).select(F.col("p").alias("a"), F.col("c").alias("b"))
+        again = search(more, docs, classes, k, percent).select(F.col("p").alias("a"), F.col("c").alias("b"))
         roots = components(staged(links.union(again), "links"))
-    placed = rows_of.drop("hist").join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "root", "left")
+    of = roots.withColumnRenamed("v", "cid").join(classes.select("cid", "least"), "cid")
+    of = of.join(of.groupBy("root").agg(F.min("least").alias("first")), "root").select("cid", "root", "first")
+    verdict = staged(classes.select("cid", "least").join(of, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("first")).alias("least")), "verdict")
+    out = rows.select("doc_id", "th", "cid", "n_shingles").join(verdict, "cid", "left")
     return out.select("doc_id", "th", "cid", "root", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _members(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(cid, s): the sets of the classes in pairs, as bytes. A map of fixed size picks them in a scan of the texts."""
-    part = 1 << 16
-    kind = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
-    place = lambda c: (mix64(c.view(U64)) & U64((1 << MAP_BITS) - 1)).astype(np.int64)
-
-    def rows_out(bits):
-        for p in np.flatnonzero(bits.reshape(-1, part).any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([bits[p * part : (p + 1) * part].tobytes()], pa.binary())], schema=kind)
-
-    def fill(batches):
-        bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-        for batch in batches:
-            at = place(np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()])))
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield from rows_out(bits)
-
-    def merge(batches):
-        bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-        for batch in batches:
-            for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                bits[p * part : (p + 1) * part] |= np.frombuffer(body, np.uint8)
-        yield from rows_out(bits)
-
-    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for r in pairs.select("p", "c").mapInArrow(fill, "part int, bits binary").repartition("part").mapInArrow(merge, "part int, bits binary").toLocalIterator():
-        bits[r["part"] * part : (r["part"] + 1) * part] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-
-    def fetch(batches):
-        seen: set[int] = set()
-        for _, data, offs in text_chunks(batches):
-            found = [(class_id(s), s) for s in sets(data, offs, k) if len(s)]
-            if found:
-                at = place(np.array([c for c, _ in found], np.int64))
-                keep = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
-                out = {c: s for (c, s), y in zip(found, keep.tolist(), strict=True) if y and c not in seen}
-                seen.update(out)
-                if len(seen) > 200_000:
-                    seen.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([s.tobytes() for s in out.values()], pa.binary())], names=["cid", "s"])
-
-    got = rows.select("text").mapInArrow(fetch, "cid long, s binary")
-    return staged(got.groupBy("cid").agg(F.first("s").alias("s")), "members")
-
-
-#: Pairs of a list compared at once.
-AT_ONCE = 1 << 15
-
-
-def _rest(star: DataFrame, near: DataFrame, roots: DataFrame, hist: DataFrame, percent: int) -> DataFrame:
-    """Pairs (p, c) that share a list, are in different classes so far and could still be linked.
-
-    Members of a list meet under the pivot they were searched for. A member linked with the pivot and one
-    farther from it than two links can't be linked. A list whose members are in one class needs nothing, nor
-    does one of two members, which were searched for each other. The rest of a list is compared in a task by
-    sizes and histograms, a bounded number of pairs at once, and only what may be linked leaves it.
-    """
-    state = near.select("p", "c", F.when(F.col("link"), 0).otherwise(1).alias("far"))
-    root = roots.select(F.col("v").alias("c"), "root")
-    heads = star.select("sig", F.col("p").alias("c"), F.col("p")).distinct().withColumn("far", F.lit(0))
-    # Only what was searched for and not found is far; a member too large for its pivot was never measured.
-    own = star.join(state, ["p", "c"], "left").select("sig", "c", "p", F.coalesce("far", F.when(F.col("near"), 2).otherwise(1)).alias("far"))
-    # A member that is both searched and a pivot of larger ones has a row of each kind.
-    every = own.unionByName(heads).join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    lists = every.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min("p").alias("a"), F.max("p").alias("b"), F.bit_xor(F.xxhash64("c", "p", "far")).alias("alike"))
-    lists = lists.filter((F.col("lo") < F.col("hi")) & ((F.col("k") > 2) | (F.col("a") != F.col("b"))))
-    # Of lists with the same members one is enough; every member is one row, so none cancels another in alike.
-    lists = staged(lists.groupBy("alike", "k", "lo", "hi", "a", "b").agg(F.min("sig").alias("sig")).select("sig"), "lists")
-    every = every.join(lists, "sig", "left_semi").join(hist.select(F.col("cid").alias("c"), "n", "hist"), "c")
-    every = every.select("sig", "c", "p", "far", "root", "n", "hist").repartition("sig").sortWithinPartitions("sig", "n", "c")
-
-    def compare(batches):
-        told: set[tuple[int, int]] = set()  # pairs sent; forgetting some costs only repeats
-
-        def fresh(pairs):
-            new = [x for x in zip(*(c.to_pylist() for c in pairs.columns), strict=True) if x not in told]
-            if len(told) > 500_000:
-                told.clear()
-            told.update(new)
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*new, strict=True)], names=["p", "c"])
-
-        for pairs in every_pair(batches):
-            yield from fresh(pairs)
-
-    def every_pair(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            sig = batch.column(0).to_numpy()
-            edge = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if held and held[-1].column(0)[0].as_py() != sig[a]:
-                    yield from one(held)
-                    held = []
-                if b > a:
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield from one(held)
-
-    def one(parts):
-        t = pa.Table.from_batches(parts)
-        c, p, far, root, n = (t.column(i).to_numpy() for i in range(1, 6))
-        h = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, BINS)
-        last = np.searchsorted(n, n * 100 // percent, "right")  # sizes rise: those after it are too large
-        count = np.maximum(last - np.arange(len(c)) - 1, 0)
-        total = np.cumsum(count)
-        i = 0
-        while i < len(c):
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + AT_ONCE, "right")))
-            own = count[i:j]
-            x = np.repeat(np.arange(i, j), own)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
-            apart = (p[x] == p[y]) & (far[x] + far[y] == 2) & (far[x] != far[y])
-            ok = (c[x] != c[y]) & (root[x] != root[y]) & ~apart & (p[x] != c[y]) & (p[y] != c[x])
-            x, y = x[ok], y[ok]
-            ok = _may_reach(h[x], h[y], n[x] + n[y], percent)
-            x, y = x[ok], y[ok]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[x], c[y])), pa.array(np.maximum(c[x], c[y]))], names=["p", "c"])
-            i = j
-
-    return every.mapInArrow(compare, "p long, c long").distinct()
-
-
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class the row of the smallest doc_id (by text hash where ids tie), and every empty text."""
-    found = staged(linked(docs).select("doc_id", "th", "cid", "root"), "linked").filter(F.col("cid").isNotNull())
+    """Keeps of each class (five words, similarity of 0.8) the row of the smallest doc_id, by text hash where ids
+    tie and null after all numbers, and every empty text. Columns of any names are kept."""
+    found = staged(linked(docs, STAGE_WORDS, STAGE_PERCENT).select("doc_id", "th", "cid", "root"), "linked").filter(F.col("cid").isNotNull())
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     first = found.groupBy("root").agg(F.min(place).alias("first"))
-    gone = found.join(first, "root").filter(place != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    again = staged(found.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).count().filter("count > 1").select("_id", "_th"), "again")
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    h, i, t = free_names(docs, "hash", "id", "th")
+    gone = found.join(first, "root").filter(place != F.col("first")).select(F.col("doc_id").alias(i), F.col("th").alias(t)).distinct()
+    again = staged(found.groupBy(F.col("doc_id").alias(i), F.col("th").alias(t)).count().filter("count > 1").select(i, t), "again")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
 
     def on(x: DataFrame):
-        return keyed["doc_id"].cast("long").eqNullSafe(x["_id"]) & (keyed["_hash"] == x["_th"])
+        return keyed["doc_id"].cast("long").eqNullSafe(x[i]) & (keyed[h] == x[t])
 
     gone = staged(gone, "gone")
     kept = keyed.join(gone, on(gone), "left_anti")
     if not again.isEmpty():  # rows that are alike in id and text
-        one = keyed.join(gone, on(gone), "left_anti").join(again, on(again), "left_semi").dropDuplicates(["doc_id", "_hash"])
+        one = keyed.join(gone, on(gone), "left_anti").join(again, on(again), "left_semi").dropDuplicates(["doc_id", h])
         kept = kept.join(again, on(again), "left_anti").unionByName(one)
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedlake.llm import decontaminate, langid, mixing, neighbours, pages, quality, repeats, secrets, similar, wavelet
+from feedlake.llm import common, decontaminate, langid, mixing, neighbours, pages, quality, repeats, secrets, similar, wavelet
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,7 +21,7 @@ def frame(spark, rows, schema=DOCS, parts=3):
 def docs_of(spark, texts, parts=3):
     """texts: (doc_id, text); lang and source alternate; one more column clashes with operators' names."""
     rows = [(d, t, ("en", "fr")[i % 2], f"s{i % 3}" if i % 7 else None, len(t or "")) for i, (d, t) in enumerate(texts)]
-    return frame(spark, rows, parts=parts).withColumn("score", F.lit("mine")).withColumn("row", F.lit(1))
+    return frame(spark, rows, parts=parts).withColumn("Score", F.lit("mine")).withColumn("_Hash", F.lit(7)).withColumn("row", F.lit(1))
 
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (None, "a b c d e f"), (4, "x " * 40_000), (4, "same"), (4, "same"), (5, "é" * 70), (6, "a\x1cb c")]
@@ -32,8 +32,8 @@ def shingle_set(t, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute_roots(docs, percent=85):
-    sets, up = [shingle_set(t) for _, t in docs], list(range(len(docs)))
+def brute_roots(docs, percent=85, k=4):
+    sets, up = [shingle_set(t, k) for _, t in docs], list(range(len(docs)))
 
     def top(x):
         while up[x] != x:
@@ -78,7 +78,7 @@ def test_op2_classes_equal_brute_force(spark):
 def test_op2_stage_keeps_one_of_each_class(spark):
     texts = mutated(4, 40) + ODD
     kept = similar.stage(spark, docs_of(spark, texts), "")
-    sets, root = brute_roots(texts)
+    sets, root = brute_roots(texts, 80, 5)
     classes = {r for r, s in zip(root, sets, strict=True) if s}
     empty = sum(not s for s in sets)
     assert kept.columns == docs_of(spark, texts).columns
@@ -119,6 +119,42 @@ def test_op2_copies_in_several_partitions(spark, copies):
     assert all(len(set.union(*(got[10 * g + i] for i in range(4)))) == 1 for g in range(12)) and len(set.union(*got.values())) == 12
 
 
+def test_op2_long_lists_and_small_blocks(spark):
+    """Every list dealt by member, and lists compared in blocks of two, give the same classes."""
+    texts = mutated(8, 70)
+    got = similar.linked(docs_of(spark, texts), hot_list=0, list_block=2).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_classes(texts)
+
+
+def test_op2_second_round_finds_what_pivots_miss(spark):
+    """x and y are linked by their own, but neither with the pivot of the lists that they share."""
+    w = lambda name, n: [f"{name}{i}" for i in range(n)]
+    base = w("b", 100)
+    texts = [(i, base + w(f"t{i}", 1)) for i in range(6)] + [(10, base + w("x", 20)), (11, base + w("x", 20) + ["y"])]
+    lists = spark.createDataFrame([(1, c, n, 5, 101) for c, n in ((5, 101), (7, 120), (8, 121))], "sig long, c long, n long, p long, np long")
+    hist = lambda n: bytes([n] + [0] * 255)
+    classes = spark.createDataFrame([(5, 101, hist(101)), (7, 120, hist(120)), (8, 121, hist(121))], "cid long, n long, hist binary")
+    none = spark.createDataFrame([], "v long, root long")
+    assert [tuple(r) for r in similar.crossing(lists, none, classes, 85).collect()] == [(7, 8)]
+    got = roots_of(similar.linked(docs_of(spark, [(d, " ".join(t)) for d, t in texts]), k=1).collect())
+    assert got[10] == got[11] and got[0] == got[5]
+
+
+def test_op2_empty_table(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert similar.linked(none).count() == 0 and similar.stage(spark, none, "").count() == 0
+
+
+def test_op2_long_words_of_equal_polynomial():
+    """Thue-Morse words over two letters collide under any polynomial modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((a + " " + b + " " + a[:40] + " " + b[:40] + " " + a[:40]).encode(), np.uint8)
+    start, end, _ = common.words(data, np.array([0, len(data)]))
+    h = common.word_hash(data, start, end).tolist()
+    assert h[2] == h[4] and len(set(h)) == 4
+
+
 def test_divide_skip_equals_counting():
     r = np.random.RandomState(1)
     for _ in range(40):
