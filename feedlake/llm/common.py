@@ -136,6 +136,11 @@ def cut(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
 
 
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array: the bytes between consecutive ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
 #: Spans up to this many bytes are hashed eight bytes at a time, longer ones by BLAKE2.
 LONG = 64
 _BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)

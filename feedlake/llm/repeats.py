@@ -3,10 +3,13 @@
 Suffixes need ordering only through their first DEPTH bytes: those equal so far are a repeated window.
 The most significant digit is the window's anchor, the least hash of its GRAM-byte strings, which equal
 windows share wherever they are; windows of one anchor are neighbours and form a segment. A task meets
-all segments of its anchors. Segments equal as a whole give their windows at once. Where segments of one
-anchor differ but agree on one side of it, the windows' bytes are fetched and sorted by further digits
-of eight bytes, most significant first, keeping only groups of two and more; what is equal at the last
-digit is a repeated window. Every group removes its windows from all documents but the smallest doc_id.
+all segments of its anchors. Segments equal as a whole give their windows at once. Of different segments of
+one anchor that agree on one side of it, those of the smallest documents are asked for: their bytes go to
+tasks by anchor and are sorted by further digits of eight bytes, most significant first, keeping only groups
+of two and more; what is equal at the last digit is a repeated window. An anchor of very many segments is
+split by the next digits: its windows are dealt one by one, by their place about the anchor and their first
+eight bytes, and equal ones of a task go as one. Every group removes its windows from all documents but the
+smallest doc_id.
 """
 
 from __future__ import annotations
@@ -15,11 +18,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, prefix_hash, span_hash, staged, table, text_chunks
+from .common import U64, binaries, mix64, prefix_hash, span_hash, staged, table, text_chunks
 
 DEPTH, GRAM = 50, 16
 #: A window has at least this many bytes before or after its anchor's gram.
@@ -28,11 +32,15 @@ SIDE = (DEPTH - GRAM) // 2
 PIECE = 1 << 22
 POSITION_BITS = 24
 #: Segments that a task gathers before it sends them on, in parts by anchor: at least BUCKETS, at most MOST_BUCKETS.
-FLUSH, BUCKETS, MOST_BUCKETS = 1 << 19, 256, 1 << 16
-#: Bits of the map of anchors whose windows are fetched. More anchors set more bits, and more are fetched.
-MAP_BITS = 25
+FLUSH, BUCKETS, MOST_BUCKETS = 1 << 19, 256, 1 << 20
+#: An anchor of more different segments than this is split by the next digits.
+HOT = 1 << 14
+#: Windows compared at once.
+AT_ONCE = 1 << 18
 
-POSTING = np.dtype([("anchor", "<u4"), ("seg", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<u4"), ("lo", "<u4"), ("len", "u1")])
+POSTING = np.dtype([("anchor", "<u4"), ("seg", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<u4"), ("lo", "<u4"), ("len", "u1"), ("off", "u1")])
+#: A segment whose bytes are asked for: its anchor's key, first window, number of windows, place of the anchor.
+ASK = np.dtype([("key", "<u8"), ("lo", "<u4"), ("len", "u1"), ("off", "u1"), ("hot", "u1")])
 
 
 def segments(data: np.ndarray, offs: np.ndarray, depth: int = DEPTH, gram: int = GRAM):
@@ -86,72 +94,70 @@ def _segments(data, base, ends, rows, depth, gram):
     return rows[piece], lo + zero, hi + zero, a + zero, ahash, seg, left, right
 
 
-def _flushes(batches, depth, gram, keep=None):
+def _flushes(batches, depth, gram):
     """Gathers segments over a task's documents and yields them in flushes of one posting per anchor,
     segment and least document: (docs as (d, th), fields, followers). followers are segments of documents that
-    also hold a smaller one's: all their windows are repeated. keep: takes anchor hashes, tells which count."""
-    docs, held, size = [], [], 0
+    also hold a smaller one's: all their windows are repeated."""
+    docs, held, size, count = [], [], 0, 0
 
     def flush():
-        doc, lo, hi, a, ah, seg, left, right, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((np.array([d for d, _ in docs])[doc], seg, ah))
-        ids = np.array([d for d, _ in docs])[doc[order]]
+        doc, lo, hi, a, ah, seg, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+        names = np.concatenate(docs)
+        ids = names[doc, 0]
+        order = np.lexsort((ids, seg, ah))
         new = np.concatenate(([True], (seg[order][1:] != seg[order][:-1]) | (ah[order][1:] != ah[order][:-1])))
+        ids = ids[order]
         least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         lead = np.sort(order[ids == least])
         rest = np.sort(order[ids != least])
-        fields = {"doc": doc, "lo": lo, "hi": hi, "a": a, "anchor": ah, "seg": seg, "left": left, "right": right, "ctx": ctx}
-        return docs, {k: v[lead] for k, v in fields.items()}, {k: fields[k][rest] for k in ("doc", "lo", "hi")}
+        fields = {"doc": doc, "lo": lo, "hi": hi, "a": a, "anchor": ah, "seg": seg, "left": left, "right": right}
+        return names, {k: v[lead] for k, v in fields.items()}, {k: fields[k][rest] for k in ("doc", "lo", "hi")}
 
     for rows, data, offs in text_chunks(batches):
         found = segments(data, offs, depth, gram)
         if found is None:
             continue
         row, lo, hi, a, ah, seg, left, right = found
-        ids = list(zip(rows.column("d").to_pylist(), rows.column("th").to_pylist(), strict=True))
-        if keep is None:
-            ctx = np.zeros(len(lo), object)
-        else:
-            own = np.flatnonzero(keep(ah))
-            row, lo, hi, a, ah, seg, left, right = (x[own] for x in (row, lo, hi, a, ah, seg, left, right))
-            ctx = np.empty(len(lo), object)
-            ctx[:] = [data[x:y].tobytes() for x, y in zip(lo.tolist(), (hi + depth - 1).tolist(), strict=True)]
-        held.append((row + len(docs), lo - offs[row], hi - offs[row], a - offs[row], ah, seg, left, right, ctx))
-        docs += ids
+        held.append((row + count, lo - offs[row], hi - offs[row], a - offs[row], ah, seg, left, right))
+        docs.append(np.stack((rows.column("d").to_numpy(), rows.column("th").to_numpy()), 1))
+        count += len(offs) - 1
         size += len(lo)
         if size >= FLUSH:
             yield flush()
-            docs, held, size = [], [], 0
+            docs, held, size, count = [], [], 0, 0
     if size:
         yield flush()
 
 
-_KIND = pa.schema([("bucket", pa.int32()), ("d", pa.int64()), ("th", pa.int64()), ("body", pa.binary())])
-SPANS = "bucket int, d long, th long, body binary"
+#: Rows that tasks exchange. kind: a posting's bucket, or what body holds.
+ROWS = "kind int, d long, th long, body binary"
+SPAN, ASKS = -1, -2
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _KIND, strict=True)], schema=_KIND)
+def _rows_of(kind: int, names: np.ndarray, doc: np.ndarray, items: np.ndarray):
+    """Rows of one document each, with its items as bytes; doc rises."""
+    if not len(doc):
+        return
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    ends = np.concatenate((first, [len(doc)]))
+    for lo in range(0, len(first), 4096):
+        own = first[lo : lo + 4096]
+        ids = names[doc[own]]
+        part = ends[lo : lo + len(own) + 1]
+        body = binaries(items[part[0] : part[-1]].view(np.uint8).ravel(), (part - part[0]) * items.itemsize * (items.size // len(items)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(ids[:, 0]), pa.array(ids[:, 1]), body], names=["kind", "d", "th", "body"])
 
 
-def n_buckets(spark: SparkSession) -> int:
-    """A power of two that gives each shuffle partition four buckets and more."""
-    n = BUCKETS
-    while n < min(MOST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))):
-        n *= 2
-    return n
-
-
-def _spans(docs, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, mark: int, buckets: int = 1) -> list[tuple]:
-    """Rows of removed byte ranges, one per document: pairs (lo, hi) as bytes; ranges that meet are joined."""
-    out = []
+def _spans(names: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """Rows of removed byte ranges: pairs (lo, hi); ranges of a document that meet are joined."""
+    if not len(doc):
+        return
     order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
-        if len(part):
-            a, b = joined(lo[part], hi[part])
-            out.append((mark if mark >= 0 else int(a[0]) % buckets, *docs[doc[part[0]]], np.stack((a, b), 1).astype("<u4").tobytes()))
-    return out
+    doc, lo, hi = doc[order].astype(np.int64), lo[order].astype(np.int64), hi[order].astype(np.int64)
+    base = doc << 33  # beyond any place in a text, so documents stay apart
+    a, b = joined(base + lo, base + hi)
+    doc = a >> 33
+    yield from _rows_of(SPAN, names, doc, np.stack((a - (doc << 33), b - (doc << 33)), 1).astype("<u4"))
 
 
 def joined(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,12 +169,12 @@ def joined(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], reach[np.concatenate((np.flatnonzero(new)[1:], [len(lo)])) - 1]
 
 
-def _bit(anchor: np.ndarray, bucket) -> np.ndarray:
-    return (mix64(anchor.astype(U64) * U64(MOST_BUCKETS) + U64(bucket)) & U64((1 << MAP_BITS) - 1)).astype(np.int64)
-
-
-def _short(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return (anchor >> U64(32)).astype(np.uint32), (anchor & U64(buckets - 1)).astype(np.int64)
+def n_buckets(spark: SparkSession) -> int:
+    """A power of two that gives each shuffle partition four buckets and more."""
+    n = BUCKETS
+    while n < min(MOST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        n *= 2
+    return n
 
 
 def _rows(docs: DataFrame, *more: str) -> DataFrame:
@@ -176,39 +182,40 @@ def _rows(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("th"), "text", *more)
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Removed byte ranges: (d, th, body), possibly several rows per document."""
 
     buckets = n_buckets(docs.sparkSession)
 
     def post(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for ids, lead, rest in _flushes(batches, depth, gram):
-            out = _spans(ids, rest["doc"], rest["lo"], rest["hi"] + depth - 1, -1, buckets)
-            short, bucket = _short(lead["anchor"], buckets)
-            rows = np.empty(len(short), POSTING)
-            rows["anchor"], rows["seg"], rows["left"], rows["right"] = short, lead["seg"], lead["left"] & U64(0xFFFF), lead["right"] & U64(0xFFFF)
-            rows["doc"], rows["lo"], rows["len"] = lead["doc"], lead["lo"], lead["hi"] - lead["lo"]
-            names = np.array(ids, "<i8")
+        for names, lead, rest in _flushes(batches, depth, gram):
+            yield from _spans(names, rest["doc"], rest["lo"], rest["hi"] + depth - 1)
+            bucket = (lead["anchor"] & U64(buckets - 1)).astype(np.int64)
+            rows = np.empty(len(bucket), POSTING)
+            rows["anchor"], rows["seg"], rows["left"], rows["right"] = lead["anchor"] >> U64(32), lead["seg"], lead["left"] & U64(0xFFFF), lead["right"] & U64(0xFFFF)
+            rows["doc"], rows["lo"], rows["len"], rows["off"] = lead["doc"], lead["lo"], lead["hi"] - lead["lo"], lead["a"] - lead["lo"]
             order = np.argsort(bucket, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                used, doc = np.unique(rows["doc"][part], return_inverse=True)
-                own = rows[part]
+            rows, bucket = rows[order], bucket[order]
+            out = []
+            for own in np.split(rows, np.flatnonzero(np.diff(bucket)) + 1):
+                used, doc = np.unique(own["doc"], return_inverse=True)
                 own["doc"] = doc
-                columns = b"".join(own[f].tobytes() for f in POSTING.names)
-                out.append((int(bucket[part[0]]) + buckets, len(used), len(part), squeeze.compress(names[used].tobytes() + columns)))
-            for at in range(0, len(out), 512):
-                yield _batch(out[at : at + 512])
+                out.append((len(used), len(own), squeeze.compress(names[used].tobytes() + b"".join(own[f].tobytes() for f in POSTING.names))))
+            at = np.unique(bucket).astype(np.int32)
+            for k in range(0, len(out), 512):
+                used, size, body = zip(*out[k : k + 512], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 512]), pa.array(used, pa.int64()), pa.array(size, pa.int64()), pa.array(body, pa.binary())], names=["kind", "d", "th", "body"])
 
     def meet(batches):
         grow = zstandard.ZstdDecompressor()
         held: dict[int, list] = {}
         for batch in batches:
-            for b, d, th, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b < buckets:
-                    yield _batch([(0, d, th, body)])
-                else:
-                    held.setdefault(b - buckets, []).append((d, th, body))
+            spans = pc.equal(batch.column(0), SPAN)
+            if (own := batch.filter(spans)).num_rows:
+                yield own
+            for b, used, size, body in zip(*(c.to_pylist() for c in batch.filter(pc.invert(spans)).columns), strict=True):
+                held.setdefault(b, []).append((used, size, body))
         for b in list(held):
             names, posts, n = [], [], 0
             for used, size, body in held.pop(b):
@@ -221,130 +228,152 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
                 rows["doc"] += n
                 n += used
                 posts.append(rows)
-            ids, p = np.concatenate(names), np.concatenate(posts)
-            d = ids[p["doc"], 0]
+            names, p = np.concatenate(names), np.concatenate(posts)
+            d = names[p["doc"], 0]
             order = np.lexsort((d, p["seg"], p["anchor"]))
             p, d = p[order], d[order]
             new = np.concatenate(([True], (p["seg"][1:] != p["seg"][:-1]) | (p["anchor"][1:] != p["anchor"][:-1])))
-            least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            gone = np.flatnonzero(d > least)
-            out = _spans([tuple(x) for x in ids.tolist()], p["doc"][gone].astype(np.int64), p["lo"][gone].astype(np.int64), p["lo"][gone].astype(np.int64) + p["len"][gone] + depth - 1, 0)
-            one = p[np.flatnonzero(new)]  # one of each different segment
-            need = np.unique(np.concatenate([_agree(one["anchor"], one[side]) for side in ("left", "right")]))
-            if len(need):
-                out.append((1, b, 0, need.astype("<u4").tobytes()))
-            for at in range(0, len(out), 512):
-                yield _batch(out[at : at + 512])
+            at, of = np.flatnonzero(new), np.cumsum(new) - 1
+            follows = d > d[at][of]
+            gone = p[follows]
+            lo = gone["lo"].astype(np.int64)
+            yield from _spans(names, gone["doc"], lo, lo + gone["len"] + depth - 1)
+            one = p[at]  # one of each different segment
+            ask = _agree(one["anchor"], one["left"]) | _agree(one["anchor"], one["right"])
+            _, first, many = np.unique(one["anchor"], return_index=True, return_counts=True)
+            lead = ~follows & ask[of]
+            p, asks = p[lead], np.zeros(lead.sum(), ASK)
+            asks["key"] = p["anchor"].astype(np.uint64) << U64(32) | U64(b)
+            asks["hot"] = np.repeat(many > hot, many)[of][lead]
+            for f in ("lo", "len", "off"):
+                asks[f] = p[f]
+            order = np.argsort(p["doc"], kind="stable")
+            yield from _rows_of(ASKS, names, p["doc"][order].astype(np.int64), asks[order])
 
     rows = _rows(docs)
-    found = staged(rows.mapInArrow(post, SPANS).repartition("bucket").mapInArrow(meet, SPANS), "spans")
-    bits = anchor_map(found.filter("bucket = 1"))
+    spread = F.when(F.col("kind") == SPAN, F.pmod(F.xxhash64("d", "th"), F.lit(buckets)).cast("int")).otherwise(F.col("kind"))
+    found = staged(rows.mapInArrow(post, ROWS).repartition(spread).mapInArrow(meet, ROWS), "spans")
+    asks = found.filter(F.col("kind") == ASKS).groupBy("d", "th").agg(F.collect_list("body").alias("asks"))
 
     def fetch(batches):
-        if not bits.any():
-            return
-
-        def wanted(anchor):
-            short, bucket = _short(anchor, buckets)
-            at = _bit(short, bucket)
-            return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
-
-        for ids, lead, _ in _flushes(batches, depth, gram, wanted):
-            names = np.array(ids, np.int64)[lead["doc"]] if len(lead["doc"]) else np.zeros((0, 2), np.int64)
-            for lo in range(0, len(names), 1 << 14):
-                s = slice(lo, lo + (1 << 14))
-                yield pa.RecordBatch.from_arrays([pa.array(lead["anchor"][s].view(np.int64)), pa.array(names[s, 0]), pa.array(names[s, 1]), pa.array(lead["lo"][s]), pa.array(lead["a"][s] - lead["lo"][s]), pa.array(lead["ctx"][s], pa.binary())], names=["anchor", "d", "th", "lo", "off", "ctx"])
+        for rows, data, offs in text_chunks(batches):
+            bodies = [b"".join(x) for x in rows.column("asks").to_pylist()]
+            ask = np.frombuffer(b"".join(bodies), ASK)
+            row = np.repeat(np.arange(len(bodies)), [len(b) // ASK.itemsize for b in bodies])
+            ids = np.stack((rows.column("d").to_numpy(), rows.column("th").to_numpy()), 1)[row]
+            start, size = offs[row] + ask["lo"], ask["len"].astype(np.int64) + depth - 1
+            key = ask["key"].view(np.int64)
+            own = np.flatnonzero(ask["hot"] == 0)
+            for lo in range(0, len(own), 1 << 13):
+                s = own[lo : lo + (1 << 13)]
+                ends = np.concatenate(([0], np.cumsum(size[s])))
+                place = np.repeat(start[s] - ends[:-1], size[s]) + np.arange(ends[-1])
+                yield _contexts(key[s], ids[s], ask["lo"][s], ask["off"][s], binaries(data[place], ends))
+            own = np.flatnonzero(ask["hot"])
+            if len(own):
+                yield from _single(data, key[own], ids[own], start[own], ask[own], depth)
 
     def sort(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        anchor, d, th, lo, off = (t.column(i).to_numpy() for i in range(5))
-        ctx = t.column(5).to_pylist()
-        order = np.argsort(anchor, kind="stable")
-        count = np.array([len(c) - depth + 1 for c in ctx], np.int64)
-        total = np.cumsum(count[order])
-        at = 0
-        while at < len(order):  # whole anchors, some hundred thousand windows at a time
-            end = int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18), "right"))
-            end = max(end, at + 1)
-            while end < len(order) and anchor[order[end]] == anchor[order[end - 1]]:
-                end += 1
-            own = order[at:end]
-            at = end
-            row, place = repeated_windows(anchor[own], d[own], off[own], [ctx[i] for i in own], depth)
-            if len(row):
-                ids, of = np.unique(np.stack((d[own][row], th[own][row]), 1), axis=0, return_inverse=True)
-                start = lo[own][row] + place
-                out = _spans([tuple(x) for x in ids.tolist()], of.ravel(), start, start + depth, 0)
-                for k in range(0, len(out), 512):
-                    yield _batch(out[k : k + 512])
-
-    more = rows.mapInArrow(fetch, "anchor long, d long, th long, lo long, off long, ctx binary").repartition("anchor").mapInArrow(sort, SPANS)
-    return found.filter("bucket = 0").unionByName(more).select("d", "th", "body")
+        held, size = [], 0
+        for batch in batches:
+            told = batch.filter(pc.is_null(batch.column(5)))
+            if told.num_rows:
+                names, lo = np.stack((told.column(1).to_numpy(), told.column(2).to_numpy()), 1), told.column(3).to_numpy()
+                names, doc = np.unique(names, axis=0, return_inverse=True)
+                yield from _spans(names, doc.ravel(), lo, lo + depth)
+            batch = batch.filter(pc.is_valid(batch.column(5)))
+            while batch.num_rows:
+                key = batch.column(0).to_numpy()
+                if size > AT_ONCE:  # whole anchors only
+                    n = int(np.searchsorted(key, held[-1].column(0)[-1].as_py(), "right"))
+                    if n:
+                        held.append(batch.slice(0, n))
+                    if n == batch.num_rows:
+                        break
+                    yield from _sorted(pa.Table.from_batches(held), depth)
+                    held, size, batch = [], 0, batch.slice(n)
+                    continue
+                held.append(batch.slice(0, 1 << 12))
+                size += 20 * held[-1].num_rows
+                batch = batch.slice(1 << 12)
+        if held:
+            yield from _sorted(pa.Table.from_batches(held), depth)
+
+    texts = rows.join(asks, ["d", "th"]).select("d", "th", "text", "asks")
+    fetched = texts.mapInArrow(fetch, "key long, d long, th long, lo long, off long, ctx binary")
+    more = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(sort, ROWS)
+    return found.filter(F.col("kind") == SPAN).unionByName(more).select("d", "th", "body")
+
+
+def _contexts(key, ids, lo, off, ctx) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(lo.astype(np.int64)), pa.array(off.astype(np.int64)), ctx], names=["key", "d", "th", "lo", "off", "ctx"])
+
+
+def _single(data, key, ids, start, ask, depth):
+    """The windows of hot anchors, each by itself: of equal ones those of the smallest document go on, keyed by the
+    anchor, their place about it and their first eight bytes; the others are removed here (ctx is null)."""
+    n = ask["len"].astype(np.int64)
+    row = np.repeat(np.arange(len(ask)), n)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    for lo in range(0, len(row), 1 << 15):
+        r, k = row[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+        window = data[(start[r] + k)[:, None] + np.arange(depth)]
+        about = (ask["off"][r].astype(np.int64) - k).astype(U64)
+        digit = mix64(key[r].view(U64) ^ mix64(np.ascontiguousarray(window[:, :8]).view("<u8").ravel() + about))
+        _, group = np.unique(np.ascontiguousarray(np.concatenate((about[:, None].view(np.uint8).reshape(len(r), -1), window), 1)).view(f"V{depth + 8}").ravel(), return_inverse=True)
+        _, group = np.unique(np.stack((group.ravel(), key[r]), 1), axis=0, return_inverse=True)
+        group = group.ravel()
+        least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, ids[r, 0])
+        first = ids[r, 0] == least[group]
+        ctx = binaries(window.ravel(), np.arange(len(r) + 1) * depth)
+        yield _contexts(digit.view(np.int64), ids[r], ask["lo"][r] + k, np.zeros(len(r)), pc.if_else(pa.array(first), ctx, pa.scalar(None, pa.binary())))
+
+
+def _sorted(t: pa.Table, depth: int):
+    """Spans of the windows of some whole anchors that also start in a smaller document."""
+    key, d, th, lo, off = (t.column(i).to_numpy() for i in range(5))
+    ctx = t.column(5).combine_chunks()
+    ctx = ctx.chunk(0) if isinstance(ctx, pa.ChunkedArray) else ctx
+    ends = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
+    flat = np.frombuffer(ctx.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    row, place = repeated_windows(key, d, off, flat, ends - ends[0], depth)
+    if len(row):
+        names, doc = np.unique(np.stack((d[row], th[row]), 1), axis=0, return_inverse=True)
+        start = lo[row] + place
+        yield from _spans(names, doc.ravel(), start, start + depth)
 
 
 def _agree(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Anchors of which two different segments agree on a side."""
+    """Which segments agree on a side with a different one of their anchor."""
     order = np.lexsort((side, anchor))
     a, s = anchor[order], side[order]
-    return a[1:][(a[1:] == a[:-1]) & (s[1:] == s[:-1])]
-
-
-def anchor_map(edges: DataFrame) -> np.ndarray:
-    """A bit map of fixed size of the anchors in edges (bucket in d); its parts are merged as they stream in."""
-    part = 1 << 16  # bytes
-    kind = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
-
-    def rows(bits):
-        for p in np.flatnonzero(bits.reshape(-1, part).any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([bits[p * part : (p + 1) * part].tobytes()], pa.binary())], schema=kind)
-
-    def fill(batches):
-        bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-        for batch in batches:
-            for b, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = _bit(np.frombuffer(body, "<u4"), b)
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield from rows(bits)
-
-    def merge(batches):
-        bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-        for batch in batches:
-            for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                bits[p * part : (p + 1) * part] |= np.frombuffer(body, np.uint8)
-        yield from rows(bits)
-
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    got = edges.select("d", "body").mapInArrow(fill, "part int, bits binary").repartition("part").mapInArrow(merge, "part int, bits binary")
-    for r in got.toLocalIterator():
-        out[r["part"] * part : (r["part"] + 1) * part] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    same = np.concatenate(([False], (a[1:] == a[:-1]) & (s[1:] == s[:-1]), [False]))
+    out = np.zeros(len(a), bool)
+    out[order] = same[1:] | same[:-1]
     return out
 
 
-def repeated_windows(anchor, d, off, ctx: list[bytes], depth: int):
-    """(row, place) of every window of the contexts that also starts in a smaller d, by radix passes."""
-    lens = np.array([len(c) for c in ctx])
-    flat = np.frombuffer(b"".join(ctx) + bytes(8), np.uint8)
-    base = np.cumsum(lens) - lens
-    count = lens - depth + 1
-    row = np.repeat(np.arange(len(ctx)), count)
+def repeated_windows(anchor, d, off, flat: np.ndarray, ends: np.ndarray, depth: int):
+    """(row, place) of every window of the contexts that also starts in a smaller d, by radix passes.
+    Rows are sorted by anchor; a row's context is flat[ends[row] : ends[row + 1]]."""
+    count = np.diff(ends) - depth + 1
+    row = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = base[row] + place
+    start = ends[row] + place
     # First digit: the anchor and the window's place about it.
-    _, group = np.unique(np.stack((anchor[row], place - off[row]), 1), axis=0, return_inverse=True)
-    group = group.ravel()
-    words = np.lib.stride_tricks.sliding_window_view(flat, 8)
+    run = np.cumsum(np.concatenate(([False], anchor[1:] != anchor[:-1])))
+    group = run[row] * (4 * depth) + (place - off[row] + 2 * depth)
+    _, group = np.unique(group, return_inverse=True)
+    words = np.ndarray(len(flat) + 1, "<u8", np.concatenate((flat, np.zeros(8, np.uint8))), strides=(1,))
     for k in range(0, depth, 8):
-        n = np.bincount(group)
-        live = n[group] > 1
+        live = np.bincount(group)[group] > 1
         row, place, start, group = row[live], place[live], start[live], group[live]
         if not len(row):
             return row, place
-        digit = np.ascontiguousarray(words[start + k]).view(">u8").ravel()
+        digit = words[start + k]
         if depth - k < 8:
-            digit = digit >> np.uint64(8 * (8 - (depth - k)))
+            digit = digit & U64((1 << 8 * (depth - k)) - 1)
         order = np.lexsort((digit, group))
         g, x = group[order], digit[order]
         new = np.concatenate(([0], np.cumsum((g[1:] != g[:-1]) | (x[1:] != x[:-1]))))
@@ -356,13 +385,13 @@ def repeated_windows(anchor, d, off, ctx: list[bytes], depth: int):
     return row[gone], place[gone]
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
     Null text is empty. A null doc_id comes before all numbers; rows of one doc_id do not remove from each
     other, so repeated rows give repeated results. Empty tables give no rows; other columns are not read.
     """
-    spans = repeated_spans(docs, depth, gram).groupBy("d", "th").agg(F.collect_list("body").alias("bodies"))
+    spans = repeated_spans(docs, depth, gram, hot).groupBy("d", "th").agg(F.collect_list("body").alias("bodies"))
     rows = _rows(docs, "doc_id")
 
     def finish(batches):

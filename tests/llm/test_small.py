@@ -184,7 +184,8 @@ def brute_repeats(docs, n=50):
     return sorted(out, key=repr)
 
 
-def test_op9_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [repeats.HOT, 0])
+def test_op9_equals_brute_force(spark, hot):
     r = random.Random(5)
     passages = ["".join(r.choice("abcdé \n") for _ in range(r.randint(20, 200))) for _ in range(10)]
     texts = []
@@ -195,10 +196,14 @@ def test_op9_equals_brute_force(spark):
             t = t[:k] + "Q" + t[k + 1 :]
         texts.append((r.choice([i, i, i // 2]), t))
     texts += [(None, passages[0] + passages[1]), (500, None), (501, ""), (502, "ing " * 100), (503, "ing " * 70), (504, "a" * 300), (505, "a" * 60), texts[3]]
-    got = repeats.remove_repeats(docs_of(spark, texts)).drop("kept").collect()
+    got = repeats.remove_repeats(docs_of(spark, texts), hot=hot).drop("kept").collect()
     assert sorted((tuple(x) for x in got), key=repr) == brute_repeats(texts)
 
 
+def test_op9_empty_table(spark):
+    assert repeats.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_op9_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 64)
     data = np.frombuffer(bytes(random.Random(1).choices(b"ab", k=400)), np.uint8)
