@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return given.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="feedlake-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -173,6 +175,12 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """df without columns of these names, in whatever case."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
+
+
 #: Bits of a map at most, and its parts.
 MOST_BITS, PARTS = 28, 256
 
