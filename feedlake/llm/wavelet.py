@@ -1,9 +1,10 @@
 """Token-ID output: whole texts as token ids in one wavelet-matrix file image per shard.
 
-A shard image starts with a fixed header (magic, bits, documents, tokens), then the document starts,
-then one zstd-compressed bit plane per bit of an id, highest bit first, each with its count of zeros
-and the running count of ones at every 512th position. Token access, counting and occurrence lookup
-walk the planes by rank and select and need no decoded copy of the ids.
+A shard image starts with a fixed header (magic, bits, documents, tokens), then the document starts, then one
+bit plane per bit of an id, highest bit first. A plane is its count of zeros and a directory, which holds for
+each chunk of CHUNK bits the number of ones before it and where its zstd-compressed bytes end, and the chunks.
+Token access, counting and occurrence lookup walk the planes by rank and select: rank reads a number of the
+directory and opens one chunk, select searches the directory and opens one chunk.
 
 Spark writes the images as rows of Parquet files, so the output committer deals with lost executors
 and any Hadoop file system will do.
@@ -11,6 +12,7 @@ and any Hadoop file system will do.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -19,15 +21,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, table
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 HEAD = struct.Struct("<4sBxxxIQ")
-PLANE = struct.Struct("<QI")
-BLOCK = 512
+#: A plane's zeros, chunks, and bytes of all its chunks.
+PLANE = struct.Struct("<QIQ")
+CHUNK = 1 << 16
 #: Tokens after which a task closes a shard and begins another (a longer document fills its own).
 SHARD_TOKENS = 1 << 21
 #: Distinct words whose ids a worker remembers; beyond it only words seen again stay. Results are the same.
@@ -43,9 +47,11 @@ def pack(ids: np.ndarray, starts: np.ndarray, bits: int) -> bytes:
     out.insert(1, struct.pack("<I", len(body)))
     for b in range(bits - 1, -1, -1):
         one = ((ids >> ids.dtype.type(b)) & ids.dtype.type(1)).astype(bool)
-        body = squeeze.compress(np.packbits(one, bitorder="little").tobytes())
+        chunks = [squeeze.compress(np.packbits(one[lo : lo + CHUNK], bitorder="little").tobytes()) for lo in range(0, len(one), CHUNK)]
+        ones = np.cumsum([0, *(int(one[lo : lo + CHUNK].sum()) for lo in range(0, len(one), CHUNK))])[:-1]
+        ends = np.cumsum([len(c) for c in chunks], dtype=np.int64)
         low, high = ids[~one], ids[one]
-        out += [PLANE.pack(len(low), len(body)), body]
+        out += [PLANE.pack(len(low), len(chunks), int(ends[-1]) if len(ends) else 0), ones.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *chunks]
         ids = np.concatenate((low, high))
     return b"".join(out)
 
@@ -58,25 +64,39 @@ class WaveletMatrix:
         if magic != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
         at = HEAD.size
-        grow = zstandard.ZstdDecompressor()
+        self.grow, self.image, self.open = zstandard.ZstdDecompressor(), image, {}
         (size,) = struct.unpack_from("<I", image, at)
         at += 4
-        self.starts = np.frombuffer(grow.decompress(image[at : at + size]), "<u8").astype(np.int64)
+        self.starts = np.frombuffer(self.grow.decompress(image[at : at + size]), "<u8").astype(np.int64)
         at += size
-        self.zeros, self.planes, self._ranks = [], [], None
+        self.zeros, self.ones, self.ends, self.base = [], [], [], []
         for _ in range(self.bits):
-            z, size = PLANE.unpack_from(image, at)
+            z, chunks, size = PLANE.unpack_from(image, at)
             at += PLANE.size
-            self.planes.append(np.frombuffer(grow.decompress(image[at : at + size]), np.uint8))
             self.zeros.append(z)
-            at += size
+            self.ones.append(np.frombuffer(image, "<u8", chunks, at).astype(np.int64))
+            self.ends.append(np.frombuffer(image, "<u8", chunks, at + 8 * chunks).astype(np.int64))
+            self.base.append(at + 16 * chunks)
+            at += 16 * chunks + size
+
+    def _chunk(self, level: int, c: int) -> np.ndarray:
+        """The bits of one chunk; the last few that were opened are kept."""
+        got = self.open.get((level, c))
+        if got is None:
+            ends, base = self.ends[level], self.base[level]
+            body = self.grow.decompress(self.image[base + (ends[c - 1] if c else 0) : base + ends[c]])
+            got = np.unpackbits(np.frombuffer(body, np.uint8), count=min(CHUNK, self.n - c * CHUNK), bitorder="little")
+            if len(self.open) >= 4 * self.bits:
+                self.open.pop(next(iter(self.open)))
+            self.open[level, c] = got
+        return got
 
     def decode(self) -> np.ndarray:
         """All ids: each stable partition is undone from the lowest plane upwards."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         ids = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            one = np.concatenate([self._chunk(level, c) for c in range(len(self.ends[level]))] or [np.zeros(0, np.uint8)]).view(bool)
             z, up = self.zeros[level], np.empty(self.n, kind)
             up[~one] = ids[:z]
             up[one] = ids[z:] | kind(1 << (self.bits - 1 - level))
@@ -84,13 +104,17 @@ class WaveletMatrix:
         return ids
 
     def _rank1(self, level: int, i: int) -> int:
-        if self._ranks is None:
-            ones = np.array([bin(x).count("1") for x in range(256)], np.uint8)
-            self._ranks = [np.concatenate(([0], np.cumsum(np.add.reduceat(ones[p], np.arange(0, len(p), BLOCK // 8), dtype=np.int64)))) if len(p) else np.zeros(1, np.int64) for p in self.planes]
-        block = i // BLOCK
-        lo = block * BLOCK // 8
-        tail = np.unpackbits(self.planes[level][lo : (i + 7) // 8], bitorder="little")[: i - block * BLOCK]
-        return int(self._ranks[level][block]) + int(tail.sum())
+        """Ones of a plane before position i."""
+        c, rest = divmod(i, CHUNK)
+        if not rest:
+            return int(self.ones[level][c]) if c < len(self.ones[level]) else self.n - self.zeros[level]
+        return int(self.ones[level][c]) + int(self._chunk(level, c)[:rest].sum())
+
+    def _select(self, level: int, bit: int, k: int) -> int:
+        """Position of a plane's k-th one, or zero."""
+        before = self.ones[level] if bit else np.arange(len(self.ones[level])) * CHUNK - self.ones[level]
+        c = int(np.searchsorted(before, k, "right")) - 1
+        return c * CHUNK + int(np.flatnonzero(self._chunk(level, c) == bit)[k - before[c]])
 
     def access(self, i: int) -> int:
         value = 0
@@ -115,20 +139,28 @@ class WaveletMatrix:
         return self.rank(token, self.n)
 
     def select(self, token: int, k: int) -> int:
-        """Position of the k-th occurrence of token, -1 if there are fewer."""
+        """Position of the k-th occurrence of token, -1 if there are fewer: down to where its occurrences begin on
+        the last plane, and up again from the k-th of them."""
         if not 0 <= k < self.count(token):
             return -1
-        lo, hi = 0, self.n
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if self.rank(token, mid) <= k else (lo, mid)
-        return lo
+        at = 0
+        for level in range(self.bits):
+            a = self._rank1(level, at)
+            at = self.zeros[level] + a if token >> (self.bits - 1 - level) & 1 else at - a
+        at += k
+        for level in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - level) & 1
+            at = self._select(level, bit, at - self.zeros[level] if bit else at)
+        return at
 
 
 #: Marks that a stem of letters may carry at its end; each run of them is one piece of the pattern.
 TAIL = ",.!?;:%*$&#|"
 #: Lower-cases A-Z, and makes a line feed a blank.
 ASCII_LOWER = bytes(range(10)) + b" " + bytes(range(11, 65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: The one way of splitting and normalising for which pieces may be encoded one by one.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+NORMAL = ["NFC", "Replace", "Lowercase"]
 #: A lone mark between a letter and a blank is a piece of its own.
 COMMA = re.compile(rb"(?<=[a-z])([,.!?])(?= |$)")
 
@@ -138,7 +170,9 @@ class WordEncoder:
 
     The tokenizer's own pattern never matches across a blank or a line feed, nor across the end of a run
     of letters, and it lower-cases; so the ids of a text are those of its pieces, one after the other.
-    Stems of letters are sent many at a time, with a mark between them that no stem contains.
+    Stems of letters are sent many at a time, with a mark between them that no stem contains. Only stems of
+    ASCII letters are parted from the marks after them: others may change and join a mark when lower-cased.
+    A tokenizer that splits or normalises in another way gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -149,6 +183,10 @@ class WordEncoder:
         self.bits = max(1, (self.tok.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.mark = self.tok.encode("|", add_special_tokens=False).ids
+        how = json.loads(self.tok.to_str())
+        normal = [x["type"] for x in (how["normalizer"] or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex") for x in (how["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.pieces = normal == NORMAL and split[:1] == [SPLIT] and how["post_processor"] is None
 
     def _each(self, pieces: list[str]) -> None:
         for w, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
@@ -167,7 +205,7 @@ class WordEncoder:
 
     def _learn(self, new: set[str]) -> None:
         whole = {w: w.rstrip(TAIL) for w in new}
-        made = {w: s for w, s in whole.items() if s.isalpha()}
+        made = {w: s for w, s in whole.items() if s.isascii() and s.isalpha()}
         need = {*made.values(), *(w[len(s) :] for w, s in made.items())}.difference(self.known)
         self._each([w for w in new if w not in made] + [w for w in need if not w.isalpha()])
         self._stems([w for w in need if w.isalpha()])
@@ -175,6 +213,9 @@ class WordEncoder:
             self.known[w] = self.known[s] + self.known[w[len(s) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        end = np.array([END_ID], self.kind).tobytes()
+        if not self.pieces:
+            return [np.array(e.ids, self.kind).tobytes() + end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         # A special token's text is matched before lower-casing, so such texts keep their case.
         low = [t if "<|" in t else COMMA.sub(rb" \1", t.encode().translate(ASCII_LOWER)).decode() for t in texts]
         split = [t.split(" ") for t in low]
@@ -187,7 +228,6 @@ class WordEncoder:
             self.known.update(back)
             new.difference_update(back)
         self._learn(new)
-        end = np.array([END_ID], self.kind).tobytes()
         return [b"".join(map(self.known.__getitem__, s)) + end for s in split]
 
 
@@ -200,17 +240,18 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-SHARD_SCHEMA = "first_doc long, n_tokens long, n_docs long, doc_ids binary, nulls binary, image binary"
+SHARD_SCHEMA = "part int, seq int, n_tokens long, n_docs long, doc_ids binary, nulls binary, image binary"
 
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes documents in ascending doc_id order (null first, ties by text) and writes shard images.
 
-    Range partitions keep equal ids together; each task closes a shard after shard_tokens ids.
+    Range partitions by doc_id and the beginning of the text, so that rows of one id may be many; part and seq
+    are a shard's place in the order. Each task closes a shard after shard_tokens ids.
     """
 
     def shards(batches):
-        enc = _encoder(tokenizer)
+        enc, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, parts, size = [], [], 0
 
         def image():
@@ -218,31 +259,31 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, shard_tokens: int =
             keys = np.array([x or 0 for x in ids], "<i8")
             null = np.array([x is None for x in ids], bool)
             body = pack(np.frombuffer(b"".join(parts), enc.kind), ends, enc.bits)
-            return pa.RecordBatch.from_pylist([{"first_doc": ids[0], "n_tokens": int(ends[-1]), "n_docs": len(ids), "doc_ids": keys.tobytes(), "nulls": np.packbits(null).tobytes(), "image": body}], schema=kind)
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_tokens": int(ends[-1]), "n_docs": len(ids), "doc_ids": keys.tobytes(), "nulls": np.packbits(null).tobytes(), "image": body}], schema=kind)
 
-        kind = pa.schema([("first_doc", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("image", pa.binary())])
+        kind = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("image", pa.binary())])
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows = batch.slice(lo, 256).to_pydict()
-                for doc, part in zip(rows["doc_id"], enc.encode(rows["text"]), strict=True):
+                for doc, own in zip(rows["doc_id"], enc.encode(rows["text"]), strict=True):
                     ids.append(doc)
-                    parts.append(part)
-                    size += len(part) // enc.kind.itemsize
+                    parts.append(own)
+                    size += len(own) // enc.kind.itemsize
                     if size >= shard_tokens:
                         yield image()
-                        ids, parts, size = [], [], 0
+                        ids, parts, size, seq = [], [], 0, seq + 1
         if ids:
             yield image()
 
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "none").parquet(out)
 
 
 def read_shards(spark: SparkSession, out: str) -> DataFrame:
-    """Per document, from the shard files: doc_id, start, n_tokens, ids_crc32, shard (its first document)."""
+    """Per document, from the shard files: doc_id, start, n_tokens, ids_crc32, shard (its place in the order)."""
 
     def digest(batches):
         for batch in batches:
@@ -259,12 +300,13 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
                 )
 
     stored = spark.read.schema(SHARD_SCHEMA).parquet(out)
-    place = F.struct(F.col("first_doc").isNotNull(), "first_doc", "n_docs", F.xxhash64("doc_ids"))
-    named = stored.withColumn("shard", F.xxhash64("first_doc", "doc_ids", "nulls", "image"))
-    # One short row per shard: its place in the order gives the number of ids before it.
-    order = Window.orderBy("place", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    meta = named.select("shard", "n_tokens", place.alias("place")).withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-    meta = meta.groupBy("shard").agg(F.min("before").alias("before"))
+    named = stored.withColumn("shard", F.shiftleft(F.col("part").cast("long"), 32) + F.col("seq"))
+    # The ids before a shard: those of the parts before its own (one short row for each part), and in its part.
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("ahead"))
+    meta = named.select("part", "seq", "shard", "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    meta = meta.join(parts, "part").select("shard", (F.col("ahead") + F.col("inside")).alias("before"))
     rows = named.select("shard", "n_docs", "doc_ids", "nulls", "image").mapInArrow(digest, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(meta, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
