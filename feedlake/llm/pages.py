@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
 from itertools import product
 from math import exp, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, without
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -44,20 +45,22 @@ ATTR = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"
 WORD = re.compile(r"[a-z]+")
 ROOT_TAG = re.compile(r"^<(\w+)")
 
-#: Words of class, id and role, by what they hint at.
+#: Words of class, id and role, by what they hint at. A name hints only if every part of it is one of these or of
+#: PLAIN: social-policy, market-share or ad-hoc are names of what a page is about.
 HINTS = {
-    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs tabs pagination pager toc",
+    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs tabs pagination pager",
     "header": "header masthead topbar banner logo",
     "footer": "footer contentinfo copyright colophon legal",
     "side": "sidebar aside side complementary widget rail related recommended recommendations trending popular",
     "notice": "notice cookie cookies consent gdpr alert popup modal overlay dialog newsletter disclaimer toast paywall",
     "advert": "ad ads adv advert advertisement advertising sponsor sponsored promo promotion promoted adsense",
     "comment": "comment comments commentlist reply replies respond disqus discussion reactions",
-    "share": "share sharing social follow tools meta tags byline",
+    "share": "share sharing sharebar",
     "form": "form search login signup subscribe subscription register contact",
     "content": "article content post entry story body text main page prose",
 }
 HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
+PLAIN = frozenset("site page main top bottom left right box block bar list wrap wrapper container inner outer section item items area links link button buttons the my js ui global primary secondary small large slot unit row col column panel group title form thread user".split())
 KIND_OF = {t: t for t in "html body main article section div p h1 ul ol li table td nav header footer aside form button figure blockquote pre".split()} | dict.fromkeys(("h2", "h3", "h4", "h5", "h6"), "h2") | {"th": "td", "fieldset": "form", "menu": "nav", "dialog": "aside"}
 
 
@@ -67,8 +70,12 @@ class Node:
     def __init__(self, tag: str, parent: int, attrs: str):
         self.tag, self.parent, self.size, self.linked = tag, parent, 0, 0
         self.label, self.off = "data-content" in attrs, "data-boilerplate" in attrs
-        hints = {HINT_OF.get(w) for m in ATTR.finditer(attrs) for w in WORD.findall(m[1].lower())} if "=" in attrs else set()
-        hints.discard(None)
+        hints = set()
+        for m in ATTR.finditer(attrs) if "=" in attrs else ():
+            for name in m[1].strip("\"'").lower().split():
+                parts = WORD.findall(name)
+                if all(w in HINT_OF or w in PLAIN for w in parts):
+                    hints.update(HINT_OF[w] for w in parts if w in HINT_OF)
         self.hint = next((h for h in HINTS if h in hints), "")  # those against content come first
 
 
@@ -76,8 +83,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes, parents first, and in page order the text pieces: (node, text); a block's edge is (-1, "")."""
     nodes, pieces = [Node("html", -1, "")], []
     stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # tag, its node, inside hidden markup
+    where: dict[str, list[int]] = {}  # places of open elements in the stack, by tag
+    blocks: list[int] = []  # and of those that are blocks
     links, at, n = 0, 0, len(page)
 
+    def close(k: int) -> bool:
+        """Ends the open elements from place k up; tells whether a block was among them."""
+        nonlocal links
+        block = bool(blocks) and blocks[-1] >= k
+        while len(stack) > k:
+            tag = stack.pop()[0]
+            where[tag].pop()
+            links -= tag == "a"
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
+        return block
+
     def text(a: int, b: int) -> None:
         if b > a and not stack[-1][2]:
             k, t = stack[-1][1], page[a:b]
@@ -102,9 +123,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         text(at, lt)
         at = m.end()
-        if m[1]:  # a comment
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+        if m[1]:  # a comment; "<!-->" and "<!--->" are whole ones
+            end = -1 if page.startswith((">", "->"), lt + 4) else page.find("-->", lt + 4)
+            at = page.find(">", lt + 4) + 1 if page.startswith((">", "->"), lt + 4) else n if end < 0 else end + 3
             continue
         if m[2]:
             end = page.find(">", lt)
@@ -113,26 +134,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         tag = m[4].lower()
         block = tag not in INLINE
         if m[3]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if k and not (not block and any(t not in INLINE for t, _, _ in stack[k + 1 :])):
-                links -= sum(t == "a" for t, _, _ in stack[k:])
-                if any(t not in INLINE for t, _, _ in stack[k:]):
-                    pieces.append((-1, ""))
-                del stack[k:]
+            k = where[tag][-1] if where.get(tag) else 0
+            if k and (block or not blocks or blocks[-1] < k) and close(k):
+                pieces.append((-1, ""))
             continue
         if tag in CLOSES:
             ends, stop = CLOSES[tag]
-            i = len(stack) - 1
-            while i > 0 and stack[i][0] not in stop:
-                if stack[i][0] in ends:
-                    links -= sum(t == "a" for t, _, _ in stack[i:])
-                    del stack[i:]
-                i -= 1
+            wall = max((where[t][-1] for t in stop if where.get(t)), default=0)
+            low = [own[i] for t in ends if (own := where.get(t)) and (i := bisect_right(own, wall)) < len(own)]
+            if low:
+                close(min(low))
         if block or tag == "br":
             pieces.append((-1, ""))
         if tag in VOID:
             continue
-        if tag in ("html", "body") and any(t == tag for t, _, _ in stack[1:]):
+        if tag in ("html", "body") and where.get(tag):
             continue
         hidden, k, attrs = stack[-1][2] or tag in HIDDEN, stack[-1][1], m[5] or ""
         if not hidden and tag != "html" and (block or "=" in attrs):
@@ -141,11 +157,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 k = len(nodes)
                 nodes.append(node)
         if tag in RAW:
-            close = re.compile(f"</{tag}", re.I).search(page, at)
-            end = page.find(">", close.end()) if close else -1
+            ended = re.compile(f"</{tag}", re.I).search(page, at)
+            end = page.find(">", ended.end()) if ended else -1
             at = n if end < 0 else end + 1
             continue
         if not attrs.endswith("/") or block and tag not in FOREIGN:
+            where.setdefault(tag, []).append(len(stack))
+            if block:
+                blocks.append(len(stack))
             stack.append((tag, k, hidden))
             links += tag == "a"
     return nodes, pieces
@@ -245,13 +264,13 @@ def default_model() -> TreeModel:
 
 
 def extract(pages: DataFrame, labelled: list[str] | None = None) -> DataFrame:
-    """pages with main_text and n_chars (its code points) of the html, in place of columns so named.
+    """pages with main_text and n_chars (its code points) of the html, in place of columns so named, in whatever case.
 
     Null, empty or text-free html: an empty text. labelled: pages whose content elements bear the
     attribute data-content, to train on in place of the built-in ones. Rows are independent.
     """
     new = ["main_text", "n_chars"]
-    kept = pages.select(*(pages[f"`{c}`"] for c in pages.columns if c not in new))
+    kept = without(pages, new)
     own = TreeModel(labelled) if labelled else None
 
     def run(batches):
