@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table, text_chunks
+from .common import free_names, held_out, staged, table, text_chunks, without
 
 #: Longest context in bytes.
 ORDER = 3
@@ -128,6 +128,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     order = Window.partitionBy("lang", "salt").orderBy("h", "doc_id")
     h = F.xxhash64(F.col("doc_id").cast("string"))
     picked = docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang", h.alias("h"), F.pmod(h, F.lit(SALTS)).alias("salt")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("doc_id", "lang").distinct()
+    picked = staged(picked, "picked")  # so its size is known, and the texts of all others stay where they are
     sample = docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"], "left_semi")
     rows = gram_counts(sample).toPandas()
     langs = sorted(rows["lang"].unique())
@@ -143,14 +144,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     return Model(langs, grams)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score (posterior of the winner under equal priors) and bits_per_byte.
+NAMES = ["lang_pred", "score", "bits_per_byte"]
+
+
+def identify(docs: DataFrame, model: Model, new: list[str] = NAMES) -> DataFrame:
+    """docs with lang_pred, score (posterior of the winner under equal priors) and bits_per_byte, named as in new.
 
     Null text, or text without a letter: und, score 0. Without any learned language: und. Ties go to the
-    first language in order. Columns of docs that bear these names are replaced; repeated rows stay.
+    first language in order. Columns of docs that bear these names, in whatever case, are replaced; repeated
+    rows stay, very long texts are scored whole.
     """
-    new = ["lang_pred", "score", "bits_per_byte"]
-    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))
+    kept = without(docs, new)
 
     def score(batches):
         for rows, data, offs in text_chunks(batches):
@@ -169,7 +173,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(name, pa.string()), pa.array(np.where(known, p, 0.0)), pa.array(rate)], names=[*rows.schema.names, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(score, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return kept.mapInArrow(score, f"{fields}, `{new[0]}` string, `{new[1]}` double, `{new[2]}` double")
 
 
 def learn_from(docs: DataFrame) -> DataFrame:
@@ -185,6 +189,6 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no learned language: no letter at all, or REJECT_BITS a byte and more."""
-    names = docs.columns
-    found = identify(docs, train(learn_from(docs)))
-    return found.filter((F.col("lang_pred") != NO_LANGUAGE) & (F.col("bits_per_byte") < REJECT_BITS)).select(*names)
+    lang, score, rate = new = free_names(docs, *NAMES)
+    found = identify(docs, train(learn_from(docs)), new)
+    return found.filter((F.col(lang) != NO_LANGUAGE) & (F.col(rate) < REJECT_BITS)).drop(*new)
