@@ -37,7 +37,8 @@ def exponent(sources: DataFrame, entropy: float = ENTROPY, passes: float = PASSE
 
     Lower exponents are flatter: entropy rises and so do the passes over the smallest source. The
     entropy asks for a <= some value, the limit for a >= some value; where both can't be met the limit
-    wins. budget: tokens to deal; None: as many as show each source whole once.
+    wins. A limit that even a = 1 exceeds (budget / all tokens) can't be met by any weights: the entropy alone
+    then sets a. budget: tokens to deal; None: as many as show each source whole once.
     """
     n, total = sources.agg(F.count("*"), F.sum("tokens")).first()
     if not n:
@@ -140,7 +141,8 @@ def cutoffs(slim: DataFrame, entropy: float = ENTROPY, passes: float = PASSES, b
     last = rows.select("skey", "turn", "row_turn", "tokens").join(ends, ["skey", "turn"])
     last = last.withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     cut = last.filter(F.col("at") < F.col("rest")).groupBy("skey").agg(F.first("turn").alias("cut_turn"), F.max("row_turn").alias("cut_row"))
-    return p.join(cut, "skey", "left").select("skey", "weight", "whole", "n_blocks", "cut_turn", "cut_row")
+    # Written, so that its size is known: rows meet it where they are, or by key where the sources are too many.
+    return staged(p.join(cut, "skey", "left").select("skey", "weight", "whole", "n_blocks", "cut_turn", "cut_row"), "cuts")
 
 
 def schedule(rows: DataFrame, cuts: DataFrame) -> DataFrame:
