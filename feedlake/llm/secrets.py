@@ -16,7 +16,7 @@ from bisect import bisect_left, bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, without
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -28,7 +28,9 @@ KINDS = ["assign", "access", "hex", "account", "keyed", "blob", "endpoint"]
 ACCOUNT = re.compile(r"""\b(?:access_?key(?:_?id)?|client_?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.I | re.A)
 KEYED = re.compile(r"""\b(?:key|pwd|pass|auth|credentials?|private_?key|signature)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", re.I | re.A)
 BLOB = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", re.A)
-ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|local)(?::[0-9]+)?\b""", re.A)
+#: Addresses, and host names (whole runs of their signs, so that a run is read once) of the domains in TOP.
+ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]++(?:\.([a-z0-9-]++))+(?::[0-9]+)?(?![A-Za-z0-9_])""", re.A)
+TOP = (None, "com", "net", "org", "io", "local")
 
 #: Farthest, in code points, that the parts of one credential lie from each other.
 REACH = 200
@@ -74,7 +76,8 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
     ids = [(m.start(), m.end(), "account") for m in ACCOUNT.finditer(text)]
     if not ids and not any(ROLE[k] == "id" for _, _, k in base):
         return []  # every link needs an id
-    weak = ids + [(m.start(), m.end(), kind) for kind, p in (("keyed", KEYED), ("blob", BLOB), ("endpoint", ENDPOINT)) for m in p.finditer(text)]
+    weak = ids + [(m.start(), m.end(), kind) for kind, p in (("keyed", KEYED), ("blob", BLOB)) for m in p.finditer(text)]
+    weak += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text) if m[1] in TOP]
     taken = _Intervals([(a, b - 1) for a, b, _ in base])
     weak = [(a, b, k) for a, b, k in weak if not taken.near(a, b - 1)]
     parts = {role: _Intervals([(a, b) for a, b, k in base + weak if ROLE[k] == role]) for role in NEEDS}
@@ -93,11 +96,11 @@ SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
 
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """docs with found_spans (kind, start, end in code points, base or linked), in place of such a column.
+    """docs with found_spans (kind, start, end in code points, base or linked), in place of such a column (in whatever case).
 
     Null or empty text: an empty list. Each row stands for itself, so repeated rows and null ids are fine.
     """
-    kept = docs.select(*(c for c in (docs[f"`{n}`"] for n in docs.columns if n != "found_spans")))
+    kept = without(docs, ["found_spans"])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def find(batches):
