@@ -92,7 +92,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, x): each document's features, FEATURES float32 as bytes; all 0 without a word."""
+    """(doc_id, x): each document's features, FEATURES float32 as bytes; all 0 without a word. Null ids stay null;
+    repeated rows give repeated results; very long texts are pooled whole."""
 
     def pool(batches):
         both = np.concatenate((vectors, vectors**2), 1)
@@ -111,7 +112,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
             x[:, -1] = np.log1p(count)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(pool, "doc_id long, x binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pool, "doc_id long, x binary")
 
 
 class Network:
@@ -149,9 +150,10 @@ class Network:
 
 def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Network | float:
     """A network from labelled rows: at most sample of them. With fewer than two classes: the share of label 1, smoothed."""
-    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     picked = rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("h", "doc_id", "y").limit(sample)
-    got = features.join(F.broadcast(picked), "doc_id").select("h", "doc_id", "y", "x").limit(4 * sample).toPandas().sort_values(["h", "doc_id", "y"])  # rows as bounded as picked, but for repeated doc_id
+    # Of documents that share a doc_id one teaches, that of the least features; so rows are as bounded as picked.
+    got = features.join(F.broadcast(picked.distinct()), "doc_id").groupBy("h", "doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values(["h", "doc_id", "y"])
     y = got["y"].to_numpy(float)
     if len(set(y)) < 2:
         return float((y.sum() + 1) / (len(y) + 2))
