@@ -118,16 +118,25 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, query_block: int
     tiles = ask.join(cand, ["g", "dim"]).select("dim", "q_ids", "q_data", "ids", "data")
 
     def search(batches):
+        """A join gives all candidate blocks of a query block in a row, so heaps are kept for one query block only."""
         heaps: dict[int, list] = {}
+        now = None
+
+        def best():
+            for lo in range(0, len(ids := list(heaps)), 4096):
+                rows = [(i, -c, s) for i in ids[lo : lo + 4096] for s, c in heaps[i]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+                if r["q_ids"] != now:
+                    yield from best()
+                    heaps, now = {}, r["q_ids"]
                 shaped = lambda d: np.frombuffer(d, "<f8").reshape(-1, r["dim"])  # noqa: B023, E731
                 _tile(np.frombuffer(r["q_ids"], "<i8"), shaped(r["q_data"]), np.frombuffer(r["ids"], "<i8"), shaped(r["data"]), k, heaps)
-        names = ["query_id", "vec_id", "score"]
-        for lo in range(0, len(ids := list(heaps)), 4096):
-            rows = [(i, -c, s) for i in ids[lo : lo + 4096] for s, c in heaps[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+        yield from best()
 
     found = tiles.mapInArrow(search, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
