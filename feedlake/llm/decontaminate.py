@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import free_names, staged, table
 
 WINDOW = 8
 #: Words in a window that must be no placeholder for a match by template; windows of fewer are matched word for word.
@@ -22,8 +22,8 @@ LITERALS = 5
 COVERAGE = 0.2
 #: Share of an alignment's slot values that must be bound to one value of the text.
 CONSISTENT = 0.8
-#: Benchmark windows up to which they are broadcast (about 60 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes of all benchmark windows, words and templates included, up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
 
 # Words taken for units.
 UNITS = "km kg cm mm ml mg lb lbs oz mph kmh percent dollar dollars euro euros cent cents pound pounds mile miles meter meters metre metres liter liters litre litres gram grams kilogram kilograms kilometer kilometers inch inches foot feet yard yards hour hours minute minutes second seconds day days week weeks month months year years degree degrees ton tons".split()
@@ -66,7 +66,7 @@ def _compared(words_of: str) -> Column:
 
 
 def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[tuple[int, bool]], int]:
-    """Windows of all items that have a word, their kinds (length, exact), and their number.
+    """Windows of all items that have a word, their kinds (length, exact), and their size in memory, about.
 
     An item of fewer words than window has itself as its one window. Windows of fewer than LITERALS words
     that are no placeholder are exact. item_windows counts all of an item's windows, item_templates the others.
@@ -87,7 +87,7 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> tuple[DataFrame
     w = w.withColumn("template", _compared("item_raw"))
     n_windows = w.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.count_if(~F.col("exact")).alias("item_templates"))
     w = staged(w.join(n_windows, "item_id"), "benchmark")
-    return w, sorted((r[0], r[1]) for r in w.select("length", "exact").distinct().collect()), w.count()
+    return w, sorted((r[0], r[1]) for r in w.select("length", "exact").distinct().collect()), w.agg(F.sum(F.lit(200) + sum((F.octet_length(F.array_join(c, "")) + 16 * F.size(c) for c in ("template", "item_raw")), F.lit(0)))).first()[0]
 
 
 FOUND = "doc_id long, text_hash long, item_id long, windows long, item_windows long, coverage double, slots long, consistent_slots long"
@@ -97,7 +97,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, covera
     """One row per document and item found in it: FOUND. text_hash tells documents of one doc_id apart.
 
     Null or empty texts hold nothing; repeated rows of either table count once; other columns are not
-    read. An empty benchmark gives no rows. Coverage is the share of an item's windows that are found, or of its
+    read, so they may bear any name; very long texts are searched whole. An empty benchmark or an empty table gives
+    no rows. Ties: an item found equally well in several places of a text is one row. Coverage is the share of an item's windows that are found, or of its
     windows matched by template alone where that is larger; windows and item_windows are the two numbers of it.
     """
     w, kinds, n = benchmark_windows(bench, window)
@@ -107,7 +108,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, covera
     hits = None
     for length, exact in kinds:  # joined one by one: a union before the join would copy raw for every window
         own = w.filter((F.col("length") == length) & (F.col("exact") == exact))
-        part = _windows(rows, ["doc_id", "text_hash"], length, exact).join(F.broadcast(own) if n <= BROADCAST_ROWS else own, ["h", "length", "exact"])
+        part = _windows(rows, ["doc_id", "text_hash"], length, exact).join(F.broadcast(own) if n <= BROADCAST_BYTES else own, ["h", "length", "exact"])
         # Only slices are taken here: a lambda in what follows the join would leave generated code before it.
         part = part.select("doc_id", "text_hash", "item_id", "item_windows", "item_templates", "exact", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "template", "item_raw", F.slice("raw", F.col("pos") + 1, F.col("length")).alias("doc_raw"))
         hits = part if hits is None else hits.unionByName(part)
@@ -139,5 +140,6 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
-    found = staged(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "found")
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left_anti")
+    i, h = free_names(docs, "id", "hash")
+    found = staged(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct(), "found")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[i]) & (F.xxhash64(docs["text"]) == found[h]), "left_anti")
