@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -27,6 +28,9 @@ def docs_of(spark, texts, parts=3):
 ODD = [(1, None), (2, ""), (3, " \n\t"), (None, "a b c d e f"), (4, "x " * 40_000), (4, "same"), (4, "same"), (5, "é" * 70), (6, "a\x1cb c")]
 
 
+ODD_ROWS = [(d, t, "en", "s", 0) for d, t in ODD if t != "x " * 40_000]
+
+
 def shingle_set(t, k=4):
     w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
@@ -226,13 +230,27 @@ def test_op10_round_trip(spark):
     assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
 
 
-def test_op10_wavelet_matrix():
+def test_op10_ids_are_the_tokenizers():
+    """Random texts of letters that change when lower-cased, marks that combine, special tokens and rare spaces."""
+    r = random.Random(11)
+    parts = ["İ", "I", "ı", "ß", "Σ", "ς", "é", "e\u0301", "\u0307", "ǅ", "ﬁ", "'s", "'LL", "a", "Bc", "<|endoftext|>", "<|", ".", ",", "!", "|", "%*", " ", "  ", "\n", "\u00a0", "\t", "١", "9", "中", "한"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(8000)]
+    enc = wavelet.WordEncoder(wavelet.tokenizer_path())
+    assert enc.pieces
+    for t, got in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(got, enc.kind).tolist() == [*enc.tok.encode(t, add_special_tokens=False).ids, 1], t
+
+
+def test_op10_wavelet_matrix(monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", 1024)
     ids = np.random.RandomState(2).randint(0, 60_000, 3000)
     ids[::5] = 7
     m = wavelet.WaveletMatrix(wavelet.pack(ids, np.array([0, 10, 3000]), 16))
     assert (m.decode() == ids).all() and m.starts.tolist() == [0, 10, 3000]
     assert all(m.access(i) == ids[i] for i in range(0, 3000, 97))
     assert m.count(7) == (ids == 7).sum() and m.rank(7, 1001) == (ids[:1001] == 7).sum() and m.count(59_999) == (ids == 59_999).sum()
+    for t in (7, int(ids[1]), int(ids.max())):
+        assert [m.select(t, k) for k in range(m.count(t))] == np.flatnonzero(ids == t).tolist()
     assert m.select(7, 3) == np.flatnonzero(ids == 7)[3] and m.select(7, 10_000) == -1
     empty = wavelet.WaveletMatrix(wavelet.pack(ids[:0], np.array([0]), 16))
     assert empty.count(3) == 0 and len(empty.decode()) == 0
@@ -337,6 +355,50 @@ def test_op7_stray_quotes_and_closed_foreign_elements():
     assert text(f"<article><p>{words}</p><svg><text>no</text><path/></svg><p>more</p></article>") == words + "more"
 
 
+def test_op7_names_of_what_a_page_is_about():
+    words = "Main words of the page that go on and on. " * 8
+    text = lambda page: pages.default_model().text(page)
+    for name in ("social-policy", "market-share", "meta", "toc", "byline", "ad-hoc"):
+        assert text(f'<article><p>{words}</p><section id="{name}"><p>More {words}</p></section></article>') == words + "More " + words.strip(), name
+    assert text(f"<article><!--><p>{words}</p><!---><p>more</p><!-- x --></article>") == words + "more"
+    assert text(f'<article><p>{words}</p><div class="cookie-notice"><p>{words}</p></div></article>') == words.strip()
+
+
+def test_op7_is_linear_in_open_elements():
+    for page in ("<div>" * 30_000 + "x</b>" * 30_000, "<b>" * 30_000 + "<hr></i>" * 30_000, "<i><div>" + "<b>" * 30_000 + "x</i>" * 30_000):
+        began = time.perf_counter()
+        pages.parse(page)
+        assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("check", ["op3", "op4", "op5", "op7", "op8", "op10"])
+def test_empty_tables(spark, check):
+    none = spark.createDataFrame([], DOCS)
+    if check == "op3":
+        assert secrets.scan(none).count() == 0
+    elif check == "op4":
+        assert langid.stage(spark, none, "").count() == 0
+    elif check == "op5":
+        assert quality.classify(quality.pooled(none, quality.word_vectors(none)), 0.5).count() == 0
+    elif check == "op7":
+        assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    elif check == "op8":
+        assert decontaminate.contaminated(none, spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")).count() == 0
+    else:
+        assert wavelet.write_and_read(none).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(i, f"the words of text {i} are these, and then some more of them", "en", "s", 1) for i in range(20)] + ODD_ROWS
+    docs = frame(spark, rows)
+    for name in ("Score", "LANG_PRED", "_id", "_Hash", "id", "hash", "th", "copies", "row", "block", "weight", "found_spans"):
+        docs = docs.withColumn(name, F.lit(name))
+    spark.createDataFrame([(1, "no such words as these are in any of the texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (langid.stage, similar.stage, decontaminate.stage, mixing.stage):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {tuple(docs.columns[5:])}
+
+
 def test_op7_messages_are_exact():
     model = pages.default_model()
     nodes, _ = pages.parse("<body><div><p>some text here</p></div><nav><ul><li>x</li></ul></nav></body>")
