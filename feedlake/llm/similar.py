@@ -36,6 +36,8 @@ SKETCH = 1 << 21
 HOT_LIST = 1 << 20
 #: Candidates in a block of a search, and members in a block of a list.
 BLOCK, LIST_BLOCK = 256, 2048
+#: Memory of the searches' targets up to which they are broadcast to where the texts are; beyond it sets are shuffled to them.
+BROADCAST_BYTES, TARGET_BYTES = 32 << 20, 100
 #: DivideSkip's weight of a merged element against a search.
 MU = 0.0085
 #: Bins of a class's histogram, and the count that stands for any larger one.
@@ -308,7 +310,7 @@ def search(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
             yield from found()
 
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text").mapInArrow(fetch, "key long, s binary")
-    rows = rows.join(targets, "key").select("p", "block", "c", "s").repartition("p", "block").sortWithinPartitions("p", "block", F.col("c").asc_nulls_first())
+    rows = rows.join(F.broadcast(targets) if targets.count() * TARGET_BYTES <= BROADCAST_BYTES else targets, "key").select("p", "block", "c", "s").repartition("p", "block").sortWithinPartitions("p", "block", F.col("c").asc_nulls_first())
     return rows.mapInArrow(run, "p long, c long")
 
 
@@ -448,14 +450,23 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     h, i, t = free_names(docs, "hash", "id", "th")
     gone = found.join(first, "root").filter(place != F.col("first")).select(F.col("doc_id").alias(i), F.col("th").alias(t)).distinct()
     again = staged(found.groupBy(F.col("doc_id").alias(i), F.col("th").alias(t)).count().filter("count > 1").select(i, t), "again")
-    keyed = docs.withColumn(h, F.xxhash64("text"))
+    gone = staged(gone, "gone")
+    bits = bitmap(gone.union(again).select(F.xxhash64(i, t)))
+
+    @F.arrow_udf("boolean")
+    def named(key: pa.Array) -> pa.Array:
+        return pa.array(bits.has(key.to_numpy()))
+
+    # Only rows that the map names meet the verdicts; all others stay where they are.
+    every = docs.withColumn(h, F.xxhash64("text"))
+    key = F.xxhash64(F.col("doc_id").cast("long"), h)
+    keyed = every.filter(named(key))
 
     def on(x: DataFrame):
         return keyed["doc_id"].cast("long").eqNullSafe(x[i]) & (keyed[h] == x[t])
 
-    gone = staged(gone, "gone")
     kept = keyed.join(gone, on(gone), "left_anti")
     if not again.isEmpty():  # rows that are alike in id and text
         one = keyed.join(gone, on(gone), "left_anti").join(again, on(again), "left_semi").dropDuplicates(["doc_id", h])
         kept = kept.join(again, on(again), "left_anti").unionByName(one)
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return every.filter(~named(key)).unionByName(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
