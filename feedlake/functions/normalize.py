@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 #: Offsets of the zone names of mail dates, which do not follow the season.
 ZONES = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
-_INT = r"[+-]?\d+(_\d+)*"
-_FLOAT = r"[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
+_INT = r"[+-]?[0-9]+(?:_[0-9]+)*"
+_FLOAT = r"[+-]?(?:[0-9]+(?:_[0-9]+)*(?:\.(?:[0-9]+(?:_[0-9]+)*)?)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?"
+#: Hours or minutes, minutes, seconds: each in a group of its own, empty where it is missing.
+_CLOCK = rf"^(?U:\s)*(?:({_INT})(?U:\s)*:(?U:\s)*)?(?:({_INT})(?U:\s)*:(?U:\s)*)?({_FLOAT})(?U:\s)*$"
 
 
 def trim_ws(c: Column) -> Column:
@@ -22,19 +24,13 @@ def first_truthy(*cols: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in cols))
 
 
-def decode_utf8(content: Column) -> Column:
-    """Payload bytes as text."""
-    return content.cast("string")
-
-
-def _number(c: Column, pattern: str) -> Column:
-    """A double where the stripped text is such a number, else null."""
-    t = trim_ws(c)
-    return F.when(t.rlike(f"^{pattern}$"), F.regexp_replace(t, "_", "").try_cast("double"))
-
-
-def _truncated(c: Column) -> Column:
-    return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("double")
+def decode_payload(content: Column) -> Column:
+    """Payload bytes as text: Latin-1 where the XML declaration names it (or its superset windows-1252, or ASCII),
+    else UTF-8. A byte order mark goes."""
+    text = content.cast("string")
+    name = F.lower(F.regexp_extract(F.substring(text, 1, 200), r"""^\s*<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9_-]+)""", 1))
+    latin = name.isin("iso-8859-1", "latin1", "latin-1", "windows-1252", "us-ascii")
+    return F.regexp_replace(F.when(latin, F.decode(content.cast("binary"), "ISO-8859-1")).otherwise(text), "^\ufeff", "")
 
 
 def duration_seconds(c: Column) -> Column:
@@ -42,12 +38,10 @@ def duration_seconds(c: Column) -> Column:
 
     No part is range-checked, so 90:75 is 5475. Infinite and not-a-number texts give null.
     """
-    parts = F.split(trim_ws(c), ":")
-    part = lambda i, p: _number(F.get(parts, F.lit(i)), p)
-    plain = _truncated(_number(c, _FLOAT))
-    two = part(0, _INT) * 60 + _truncated(part(1, _FLOAT))
-    three = part(0, _INT) * 3600 + part(1, _INT) * 60 + _truncated(part(2, _FLOAT))
-    return F.when(F.size(parts) == 1, plain).when(F.size(parts) == 2, two).when(F.size(parts) == 3, three).try_cast("int")
+    part = lambda i: F.replace(F.regexp_extract(c, _CLOCK, i), F.lit("_"), F.lit("")).try_cast("double")
+    ahead = F.coalesce(part(1) * F.when(F.regexp_extract(c, _CLOCK, 2) == "", 60).otherwise(3600), F.lit(0.0)) + F.coalesce(part(2) * 60, F.lit(0.0))
+    last = part(3)
+    return (ahead + F.signum(last) * F.floor(F.abs(last))).try_cast("int")
 
 
 def duration_number(c: Column) -> Column:

@@ -47,5 +47,8 @@ def survivors(tables: dict[str, DataFrame], references: dict[str, list[tuple[str
 def _parents_first(tables, references) -> list[str]:
     order: list[str] = []
     while len(order) < len(tables):
-        order += [t for t in tables if t not in order and all(p in order or p not in tables for _, p in references.get(t, []))]
+        more = [t for t in tables if t not in order and all(p in order or p not in tables for _, p in references.get(t, []))]
+        if not more:
+            raise ValueError(f"references form a cycle among {sorted(set(tables) - set(order))}")
+        order += more
     return order

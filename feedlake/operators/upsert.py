@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import first_truthy, key_of
 
 GROUP = ["author", "description", "image_url", "category"]
+POINTER = "run long, name string"
 STORED = ["feed_id", "guid", "title", "audio_url", "duration", "published_at", "summary"]
 
 
@@ -16,13 +19,17 @@ def upsert_feeds(old: DataFrame, new: DataFrame, now, key: str = "rss_url") -> D
 
     Unknown feed: all metadata, an empty title replaced. Known and modified, with a title: title replaced,
     GROUP new or old; an empty title leaves all of these. Always: validators new or old, fetched now, active.
-    Feeds not in new pass through untouched, so a failed fetch changes nothing.
+    Feeds not in new pass through untouched, so a failed fetch changes nothing. Other stored columns stay;
+    a new feed has no errors and was created now.
     """
     o, n = old.alias("o"), new.alias("n")
     col = lambda side, c: F.col(f"{side}.{c}")
     fetched, fresh = col("n", key).isNotNull(), col("o", key).isNull()
     modified = fetched & ~fresh & ~F.coalesce(col("n", "is_not_modified"), F.lit(False)) & (F.coalesce(col("n", "title"), F.lit("")) != "")
     pick = lambda c: F.when(fresh, col("n", c)).when(modified, first_truthy(col("n", c), col("o", c))).otherwise(col("o", c)).alias(c)
+    made = {"created_at": now, "error_count": F.lit(0)}
+    told = {key, "feed_id", "title", *GROUP, "etag", "last_modified", "last_fetched_at", "sync_status"}
+    stay = lambda c: (F.when(fresh, made[c]).otherwise(col("o", c)) if c in made else col("o", c)).alias(c)
     return o.join(n, col("o", key) == col("n", key), "full_outer").select(
         F.coalesce(col("o", key), col("n", key)).alias(key),
         F.coalesce(col("o", "feed_id"), key_of(col("n", key).cast("string"))).alias("feed_id"),
@@ -31,6 +38,7 @@ def upsert_feeds(old: DataFrame, new: DataFrame, now, key: str = "rss_url") -> D
         *(F.when(fetched, first_truthy(col("n", c), col("o", c))).otherwise(col("o", c)).alias(c) for c in ("etag", "last_modified")),
         F.when(fetched, now).otherwise(col("o", "last_fetched_at")).alias("last_fetched_at"),
         F.when(fetched, "active").otherwise(col("o", "sync_status")).alias("sync_status"),
+        *(stay(c) for c in old.columns if c not in told),
     )
 
 
@@ -39,8 +47,16 @@ def episode_rows(parsed: DataFrame, now) -> DataFrame:
     return parsed.select(key_of(F.col("feed_id").cast("string"), F.col("guid")).alias("episode_id"), *STORED, F.lit(None).cast("string").alias("transcript"), F.lit(False).alias("processed"), now.alias("created_at"))
 
 
-def publish(spark, episodes: DataFrame, feeds: DataFrame, root: str, run: str) -> None:
-    """Episodes, then feeds, then a pointer: what a crash leaves behind is skipped as known next time."""
+def publish(spark: SparkSession, episodes: DataFrame, feeds: DataFrame, root: str, run: int) -> None:
+    """Episodes, then feeds, then one more pointer: what a crash leaves behind is skipped as known next time.
+    No file that a reader may hold is overwritten; runs are numbered upwards."""
     episodes.write.mode("append").parquet(f"{root}/episodes")
-    feeds.write.mode("overwrite").parquet(f"{root}/feeds_{run}")
-    spark.createDataFrame([(f"feeds_{run}",)], "current string").coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer")
+    name = f"feeds_{run}_{uuid.uuid4().hex}"
+    feeds.write.parquet(f"{root}/{name}")
+    spark.createDataFrame([(run, name)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
+
+
+def current_feeds(spark: SparkSession, root: str) -> DataFrame:
+    """The feeds of the last run that was published whole."""
+    name = spark.read.schema(POINTER).parquet(f"{root}/pointers").agg(F.max(F.struct("run", "name"))["name"]).first()[0]
+    return spark.read.parquet(f"{root}/{name}")

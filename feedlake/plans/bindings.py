@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents in one JSON payload: a hot source becomes many payloads, not one.
-PAGE = 50
+#: Documents in one JSON payload, and orders in one XML payload, about: a hot source becomes many payloads, not one.
+PAGE, XML_PAGE = 50, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +49,12 @@ def enclosure_shape(key: Column) -> Column:
 
 
 def xml_payloads(orders: DataFrame, customers: DataFrame | None = None) -> DataFrame:
-    """(feed_id, content): one RSS payload per customer that has orders, items in order of key."""
+    """(feed_id, content): RSS payloads of the customers that have orders, items in order of key; of XML_PAGE orders and
+    more a customer has several payloads."""
     key = F.col("o_orderkey")
     item = tag("item", tag("title", F.lit("Order "), escaped(key)), tag("guid", escaped(key), attrs=' isPermaLink="false"'), tag("pubDate", mail_date(F.col("o_orderdate")), F.lit(" GMT")), tag("itunes:duration", clock_text(total_seconds())), tag("description", escaped(F.col("o_orderpriority"))), enclosure_shape(key))
-    feeds = orders.groupBy(F.col("o_custkey").alias("feed_id")).agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), item.alias("xml")))).alias("items"))
+    pages = orders.groupBy("o_custkey").agg(F.ceil(F.count("*") / F.lit(XML_PAGE)).alias("pages"))
+    feeds = orders.join(pages, "o_custkey").groupBy(F.col("o_custkey").alias("feed_id"), (key % F.col("pages")).alias("page")).agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), item.alias("xml")))).alias("items"))
     head = F.lit("<title>feed</title>")
     if customers is not None:
         feeds = feeds.join(customers.select(F.col("c_custkey").alias("feed_id"), "c_name", "c_mktsegment"), "feed_id")

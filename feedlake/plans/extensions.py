@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import library as L
+from ..storage import staged
 from . import bindings as B
 
 #: Search words, and the tags of the all-of filter.
@@ -96,45 +97,49 @@ EXT_TAGS_ALL_OF = "select l_orderkey, count(distinct p_size) as n_tags, count(di
 
 def ext_insight_timeline(spark, d):
     at = F.col("l_linenumber") * 37
-    rows = B.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.concat(F.lit("["), L.clock(at), F.lit("] "), F.col("l_returnflag")).alias("line")))).alias("rows"))
-    return rows.select("l_orderkey", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("timeline"))
+    rows = B.table(spark, d, "lineitem").select("l_orderkey", at.alias("at"), F.concat(F.lit("["), L.clock(at), F.lit("] "), F.col("l_returnflag")).alias("line"))
+    return L.ranked(rows, ["l_orderkey"], ["at", "line"], name="place").select("l_orderkey", "place", "line")
 
 
-EXT_INSIGHT_TIMELINE = """select l_orderkey, string_agg(body, chr(10) order by sec, body) as timeline from (select l_orderkey, l_linenumber * 37 as sec,
-'[' || lpad(cast(l_linenumber * 37 // 60 as varchar), 2, '0') || ':' || lpad(cast(l_linenumber * 37 % 60 as varchar), 2, '0') || '] ' || l_returnflag as body from lineitem) group by l_orderkey"""
+EXT_INSIGHT_TIMELINE = """select l_orderkey, cast(row_number() over (partition by l_orderkey order by sec, line) as integer) as place, line from (select l_orderkey, l_linenumber * 37 as sec,
+'[' || lpad(cast(l_linenumber * 37 // 60 as varchar), 2, '0') || ':' || lpad(cast(l_linenumber * 37 % 60 as varchar), 2, '0') || '] ' || l_returnflag as line from lineitem)"""
 
 
 def ext_full_text(spark, d):
-    """The five best documents for each benchmark item by tf-idf; words in more than a tenth of the documents don't count."""
-    words = lambda rows, key: rows.select(key, F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("w")).filter("w <> ''")
+    """The five best documents for each benchmark item by tf-idf over all words."""
+    words = lambda rows, key: rows.select(key, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")).filter("w <> ''")
     docs, asked = B.table(spark, d, "documents"), words(B.table(spark, d, "benchmark"), "item_id").distinct()
     n = docs.count()
-    tf = words(docs, "doc_id").groupBy("doc_id", "w").agg(F.count("*").alias("tf")).join(asked.select("w").distinct(), "w", "left_semi")
-    df = tf.groupBy("w").agg(F.count("*").alias("df")).filter(F.col("df") * 10 <= n)
+    tf = words(docs, "doc_id").join(asked.select("w").distinct(), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
+    tf = staged(tf, "tf")
+    df = tf.groupBy("w").agg(F.count("*").alias("df"))
     score = F.round(F.sum(F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))), 4)
     rows = asked.join(df, "w").join(tf, "w").groupBy("item_id", "doc_id").agg(score.alias("score"))
     return L.ranked(rows, ["item_id"], [F.desc("score"), "doc_id"], 5, "place").select("item_id", "place", "doc_id", "score")
 
 
-EXT_FULL_TEXT = r"""with t as (select doc_id, w, count(*) as tf from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as w from documents) where w <> '' group by all),
-a as (select distinct item_id, w from (select item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as w from benchmark) where w <> ''),
-f as (select w, count(*) as df from t group by w having count(*) * 10 <= (select count(*) from documents)),
+EXT_FULL_TEXT = r"""with t as (select doc_id, w, count(*) as tf from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as w from documents) where w <> '' group by all),
+a as (select distinct item_id, w from (select item_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as w from benchmark) where w <> ''),
+f as (select w, count(*) as df from t group by w),
 s as (select item_id, doc_id, round(sum(tf * ln((select count(*) from documents)::double / df)), 4) as score from a join f using (w) join t using (w) group by all)
 select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as place, doc_id, score from s qualify place <= 5"""
 
 
 def ext_vector_top_k(spark, d):
-    """The five most similar vectors under the label of each hundredth vector, by cosine."""
-    v = B.table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    """The five most similar of all other vectors for each hundredth vector, by cosine. The queries are dealt to every
+    group of candidates, so they meet by an equal group and no task holds all vectors."""
+    v = B.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v = v.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    rows = v.join(q, "label").filter("vec_id <> query_id").select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qn")), 5).alias("score"))
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    rows = v.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).join(q, "g").filter("vec_id <> query_id")
+    rows = rows.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qn")), 5).alias("score"))
     return L.ranked(rows, ["query_id"], [F.desc("score"), "vec_id"], 5, "place").select("query_id", "place", "vec_id", "score")
 
 
 EXT_VECTOR_TOP_K = """with s as (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 5) as score
-from embeddings q join embeddings c on q.label = c.label and q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as place, vec_id, score from s qualify place <= 5"""
 
 

@@ -57,12 +57,12 @@ KEYED_LOOKUP = "select o_orderkey from orders where o_custkey in (select c_custk
 
 
 def composite_lookup(spark, d):
-    e = B.table(spark, d, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("episode"))
-    return L.lookup(e, e.filter("event_id % 50 = 0"), ["user_id", "episode"]).select("event_id")
+    e = B.table(spark, d, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("episode"))
+    return L.lookup(e, e.filter("event_type = 'purchase'"), ["user_id", "episode"]).select("event_id")
 
 
-COMPOSITE_LOOKUP = """with e as (select event_id, user_id, cast(props->>'$.k' as bigint) as k from events)
-select event_id from e where exists (select 1 from e x where x.event_id % 50 = 0 and x.user_id = e.user_id and x.k = e.k)"""
+COMPOSITE_LOOKUP = """with e as (select event_id, user_id, event_type, cast(props->>'$.k' as bigint) as k from events)
+select event_id from e where exists (select 1 from e x where x.event_type = 'purchase' and x.user_id = e.user_id and x.k = e.k)"""
 
 
 def _feeds(spark, d):
@@ -141,7 +141,7 @@ from (select l_suppkey, l_orderkey, min(l_linenumber) as position from lineitem
 def feed_upsert(spark, d):
     c, k = B.table(spark, d, "customer"), F.col("c_custkey")
     url = F.concat(F.lit("https://f/"), k).alias("rss_url")
-    old = c.filter(k % 2 == 0).select(url, F.concat(F.lit("id"), k).alias("feed_id"), F.concat(F.lit("old"), k).alias("title"), F.lit("a").alias("author"), F.lit("").alias("description"), F.lit(None).cast("string").alias("image_url"), F.col("c_mktsegment").alias("category"), F.lit("e0").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast(NTZ).alias("last_fetched_at"), F.lit("pending").alias("sync_status"))
+    old = c.filter(k % 2 == 0).select(url, F.concat(F.lit("id"), k).alias("feed_id"), F.concat(F.lit("old"), k).alias("title"), F.lit("a").alias("author"), F.lit("").alias("description"), F.lit(None).cast("string").alias("image_url"), F.col("c_mktsegment").alias("category"), F.lit("e0").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast(NTZ).alias("last_fetched_at"), F.lit("pending").alias("sync_status"), (k % 3).cast("int").alias("error_count"), F.lit(None).cast(NTZ).alias("created_at"))
     new = c.filter(k % 5 != 0).select(url, F.when(k % 3 == 0, F.lit("")).otherwise(F.col("c_name")).alias("title"), F.lit("").alias("author"), F.lit("d").alias("description"), F.when(k % 4 == 0, F.lit("i")).alias("image_url"), F.lit("").alias("category"), F.when(k % 7 == 0, F.lit("e1")).alias("etag"), F.lit("m").alias("last_modified"), (k % 11 == 0).alias("is_not_modified"))
     return U.upsert_feeds(old, new, _now()).drop("feed_id")
 
@@ -149,12 +149,13 @@ def feed_upsert(spark, d):
 FEED_UPSERT = """with o as (select c_custkey as k, 'old' || c_custkey as title, 'a' as author, '' as description, cast(null as varchar) as image_url, c_mktsegment as category, 'e0' as etag from customer where c_custkey % 2 = 0),
 n as (select c_custkey as k, case when c_custkey % 3 = 0 then '' else c_name end as title, case when c_custkey % 4 = 0 then 'i' end as image_url, case when c_custkey % 7 = 0 then 'e1' end as etag, c_custkey % 11 = 0 as nm from customer where c_custkey % 5 <> 0),
 j as (select coalesce(o.k, n.k) as k, o.k is null as fresh, n.k is not null as fetched, o.k is not null and n.k is not null and not nm and n.title <> '' as modified,
-o.title as ot, n.title as nt, o.author as oa, o.image_url as oi, n.image_url as ni, o.category as oc, o.etag as oe, n.etag as ne from o full join n on o.k = n.k)
+o.title as ot, n.title as nt, cast(o.k % 3 as integer) as ec, o.author as oa, o.image_url as oi, n.image_url as ni, o.category as oc, o.etag as oe, n.etag as ne from o full join n on o.k = n.k)
 select 'https://f/' || k as rss_url, case when fresh then coalesce(nullif(nt, ''), 'Untitled Podcast') when modified then nt else ot end as title,
 case when fresh then '' when modified then oa else oa end as author, case when fresh or modified then 'd' else '' end as description,
 case when fresh then ni when modified then coalesce(ni, oi) else oi end as image_url, case when fresh then '' else oc end as category,
 case when fetched then coalesce(ne, oe) else oe end as etag, case when fetched then 'm' end as last_modified,
-case when fetched then timestamp '2026-01-01' end as last_fetched_at, case when fetched then 'active' else 'pending' end as sync_status from j"""
+case when fetched then timestamp '2026-01-01' end as last_fetched_at, case when fetched then 'active' else 'pending' end as sync_status, case when fresh then 0 else ec end as error_count,
+case when fresh then timestamp '2026-01-01' end as created_at from j"""
 
 
 def episode_append(spark, d):
@@ -175,7 +176,7 @@ def ingest_twice(spark, d):
         stored = known if run == 1 else known.unionByName(spark.read.parquet(f"{root}/episodes").select("feed_id", "guid"))
         rows = staged(U.episode_rows(_parsed_orders(spark, d, stored), _now()), "new")
         feeds = rows.select("feed_id").distinct()
-        U.publish(spark, rows, feeds, root, str(run))
+        U.publish(spark, rows, feeds, root, run)
         added = rows.groupBy("feed_id").agg(F.count("*").alias("n")).withColumn("run", F.lit(run))
         out = added if out is None else out.unionByName(added)
     return out
@@ -193,7 +194,7 @@ NEW_PER_FEED = "select o_custkey as feed_id, count(*) as n_new from orders where
 
 def known_keys(spark, d):
     rows = B.table(spark, d, "orders").select(F.col("o_custkey").alias("feed_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey").cast("string")).otherwise(F.lit("")).alias("guid"))
-    return rows.groupBy("feed_id").agg(F.size(F.collect_set(F.nullif("guid", F.lit("")))).alias("n_known"))
+    return rows.groupBy("feed_id").agg(F.countDistinct(F.nullif("guid", F.lit(""))).cast("int").alias("n_known"))
 
 
 KNOWN_KEYS = "select o_custkey as feed_id, cast(count(distinct case when o_orderkey % 3 <> 0 then o_orderkey end) as integer) as n_known from orders group by o_custkey"

@@ -17,9 +17,9 @@ def xml_feed_scan(spark, d):
     return e.select("feed_id", "pos", "guid", "title", "duration", F.col("published_at").cast(NTZ).alias("published_at"), "summary")
 
 
-XML_FEED_SCAN = """select o_custkey as feed_id, cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as integer) as pos,
+XML_FEED_SCAN = """select o_custkey as feed_id, cast(row_number() over (partition by o_custkey, o_orderkey % pages order by o_orderkey) - 1 as integer) as pos,
 cast(o_orderkey as varchar) as guid, 'Order ' || o_orderkey as title, cast(floor(o_totalprice) as integer) as duration,
-o_orderdate as published_at, o_orderpriority as summary from orders"""
+o_orderdate as published_at, o_orderpriority as summary from (select *, (count(*) over (partition by o_custkey) + 999) // 1000 as pages from orders)"""
 
 
 def json_feed_scan(spark, d):
@@ -76,7 +76,7 @@ FEED_METADATA_XML = """select c_custkey as feed_id, c_name as title, case when c
 case when c_custkey % 3 = 0 then 'S' else 'D' end || c_custkey as description, 'https://f.example/' || c_custkey as link,
 case when c_custkey % 2 = 1 then 'https://i.example/' || c_custkey else 'https://j.example/x' end as image_url,
 case when c_custkey % 4 = 0 then 'Arts' else c_mktsegment end as category, cast(count(*) as integer) as total_feed_episodes
-from customer join orders on c_custkey = o_custkey group by c_custkey, c_name, c_mktsegment"""
+from customer join (select *, (count(*) over (partition by o_custkey) + 999) // 1000 as pages from orders) on c_custkey = o_custkey group by c_custkey, c_name, c_mktsegment, o_orderkey % pages"""
 
 
 def feed_metadata_json(spark, d):
@@ -135,7 +135,8 @@ def duration_seconds(spark, d):
         .when(k % 6 == 4, F.concat(s.cast("string"), F.lit("d")))
         .otherwise(F.format_string("01 : %d", s % 100))
     )
-    return B.table(spark, d, "orders").select("o_orderkey", N.duration_seconds(text).alias("seconds"))
+    rows = B.table(spark, d, "orders").select("o_orderkey", N.held(text.alias("text")).alias("h"))
+    return rows.select("o_orderkey", N.duration_seconds(F.col("h.text")).alias("seconds"))
 
 
 DURATION_SECONDS = """select o_orderkey, cast(case o_orderkey % 6 when 3 then -floor(o_totalprice) when 4 then null when 5 then 60 + cast(floor(o_totalprice) as integer) % 100 else floor(o_totalprice) end as integer) as seconds from orders"""
@@ -168,18 +169,32 @@ when 2 then o_orderdate - interval 2 hour when 3 then o_orderdate when 4 then o_
 
 def text_helpers(spark, d):
     text = F.col("text")
-    spaced = F.concat(F.lit("\t\n "), F.substring(text, 1, 20), F.lit(" \r\n"))
+    spaced = F.concat(F.lit("\t\n "), text, F.lit(" \r\n"))
     return B.table(spark, d, "documents").select(
         "doc_id",
         N.trim_ws(spaced).alias("stripped"),
         N.first_truthy(F.when(F.col("doc_id") % 3 == 0, F.lit("")), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("source")).alias("chosen"),
         F.lower(F.col("source")).endswith("9").alias("ends"),
         F.col("source").startswith("src1").alias("starts"),
-        F.length(N.decode_utf8(F.encode(text, "UTF-8"))).alias("n_chars"),
+        F.length(N.decode_payload(F.encode(text, "UTF-8"))).alias("n_chars"),
     )
 
 
-TEXT_HELPERS = """select doc_id, trim(substr(text, 1, 20), ' ' || chr(9) || chr(10) || chr(13)) as stripped, case when doc_id % 2 = 0 then lang else source end as chosen,
+TEXT_HELPERS = """select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)) as stripped, case when doc_id % 2 = 0 then lang else source end as chosen,
 ends_with(lower(source), '9') as ends, starts_with(source, 'src1') as starts, cast(length(text) as integer) as n_chars from documents"""
 
+
+def payload_encodings(spark, d):
+    """Payloads in Latin-1 and UTF-8, with the iTunes namespace bound to a prefix of its own in every third."""
+    k, third = F.col("o_orderkey"), F.col("o_orderkey") % 3 == 0
+    p = F.when(third, F.lit("pod")).otherwise(F.lit("itunes"))
+    name = F.when(k % 2 == 0, "ISO-8859-1").otherwise("UTF-8")
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="'), name, F.lit('"?><rss xmlns:'), p, F.lit('="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel><item><guid>'), k.cast("string"), F.lit("</guid><title>Fünf é "), k.cast("string"), F.lit("</title><"), p, F.lit(":duration>1:05</"), p, F.lit(":duration></item></channel></rss>"))
+    rows = B.table(spark, d, "orders").select(N.held(xml.alias("xml"), (k % 2 == 0).alias("latin")).alias("h"))
+    rows = rows.select(F.when(F.col("h.latin"), F.encode("h.xml", "ISO-8859-1")).otherwise(F.encode("h.xml", "UTF-8")).alias("content"))
+    return xmlfeed.episodes(xmlfeed.identified(xmlfeed.items(xmlfeed.parse(rows)))).select("guid", "title", "duration")
+
+
+PAYLOAD_ENCODINGS = "select cast(o_orderkey as varchar) as guid, 'Fünf é ' || o_orderkey as title, 65 as duration from orders"
+
 QUERIES = {n.lower(): (globals()[n.lower()], sql) for n, sql in list(globals().items()) if n.isupper() and n.lower() in globals() and isinstance(sql, str)}

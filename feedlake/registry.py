@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from .plans import extensions, library_queries, parsing
+from .plans import extensions, ingest_queries, library_queries, parsing
 
 
 def _utc(query):
-    """Dates without an offset are UTC, so the session's zone is."""
+    """Dates without an offset are UTC, so the session's zone is, while the query is made; expressions keep it."""
 
     def run(spark, sf_dir):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return query(spark, sf_dir)
+        name = "spark.sql.session.timeZone"
+        before = spark.conf.get(name)
+        spark.conf.set(name, "UTC")
+        try:
+            return query(spark, sf_dir)
+        finally:
+            spark.conf.set(name, before)
 
     return run
 
 
-REGISTRY = {name: (_utc(f), sql) for module in (parsing, library_queries, extensions) for name, (f, sql) in module.QUERIES.items()}
+REGISTRY = {name: (_utc(f), sql) for module in (parsing, library_queries, ingest_queries, extensions) for name, (f, sql) in module.QUERIES.items()}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import date_text, date_value, duration_seconds, first_truthy, held, trim_ws
+from ..functions.normalize import date_text, date_value, decode_payload, duration_seconds, first_truthy, held, trim_ws
 
 _LINK = "array<struct<_rel:string,_href:string,_url:string,_type:string,_VALUE:string>>"
 _ITEM = f"""struct<guid:array<string>,id:array<string>,title:array<string>,link:array<string>,description:array<string>,
@@ -28,13 +28,27 @@ ENCLOSURE_ENDS = ["mp3", "m4a", "aac", "ogg", "wav", "opus"]
 MEDIA_ENDS = ["mp3", "m4a", "aac", "ogg", "wav"]
 
 
+#: Namespaces whose elements are read, and the prefixes that the schema has for them.
+PREFIXES = {"http://www.itunes.com/dtds/podcast-1.0.dtd": "itunes", "http://search.yahoo.com/mrss/": "media"}
+
+
+def usual_prefixes(xml: Column) -> Column:
+    """xml with PREFIXES where a payload binds their namespaces to prefixes of its own."""
+    for space, usual in PREFIXES.items():
+        bound = F.regexp_extract(xml, rf"""xmlns:([A-Za-z_][A-Za-z0-9_.-]*)\s*=\s*["']{space}["']""", 1)
+        xml = F.when(F.contains(xml, F.lit(space)) & (bound != "") & (bound != usual), F.regexp_replace(xml, F.concat(F.lit("(</?)"), bound, F.lit(":")), F.lit(f"$1{usual}:"))).otherwise(xml)
+    return xml
+
+
 def _first(c: Column) -> Column:
     return F.get(c, F.lit(0))
 
 
 def parse(payloads: DataFrame, content: str = "content") -> DataFrame:
     """payloads with parsed, the parsed struct; null where the payload is no well-formed XML."""
-    return payloads.withColumn("parsed", F.from_xml(F.ltrim(F.col(content).cast("string"), F.lit(" \t\r\n")), SCHEMA, {"attributePrefix": "_", "valueTag": "_VALUE"}))
+    rows = payloads.select("*", held(F.ltrim(decode_payload(F.col(content)), F.lit(" \t\r\n")).alias("xml")).alias("_x"))
+    rows = rows.select(*payloads.columns, held(usual_prefixes(F.col("_x.xml")).alias("xml")).alias("_x"))
+    return rows.select(*payloads.columns, F.from_xml(F.col("_x.xml"), SCHEMA, {"attributePrefix": "_", "valueTag": "_VALUE"}).alias("parsed"))
 
 
 def is_broken() -> Column:
