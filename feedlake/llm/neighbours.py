@@ -85,7 +85,9 @@ def _tile(q_ids, q, c_ids, c, k: int, heaps: dict) -> None:
     at_q, at_c = np.nonzero((about + error >= floor[:, None]) & np.isfinite(about))
     for lo in range(0, len(at_q), PAIRS):
         a, b = at_q[lo : lo + PAIRS], at_c[lo : lo + PAIRS]
-        scores = (q[a] * c[b]).sum(1)
+        scores = np.zeros(len(a))  # added up from the first component to the last, so the sum does not depend on the tile
+        for j in range(q.shape[1]):
+            scores += q[a, j] * c[b, j]
         for query, cand, score in zip(q_ids[a].tolist(), c_ids[b].tolist(), scores.tolist(), strict=True):
             h = heaps.setdefault(query, [])
             item = (score, -cand)

@@ -17,5 +17,26 @@ QUERIES = {
     "op10_token_output": wavelet.op10_token_output,
 }
 
+_OP2 = r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * k >= 85 * (x.n + y.n - k)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a)
+select doc_id, coalesce(n, 0) as n_shingles, c as component_id from (select a as doc_id, min(b) as c from r group by a) left join n using (doc_id)"""
+
+_OP6 = """with v as (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s qualify rank <= 20"""
+
+_OP9 = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, i, substr(x, 2 * i + 1, 100) as s from (select doc_id, x, unnest(range(0, n - 49)) as i from d where n >= 50)),
+r as (select doc_id, i from w join (select s, min(doc_id) as f from w group by s) using (s) where doc_id > f),
+g as (select *, sum(case when i - before <= 50 then 0 else 1 end) over (partition by doc_id order by i) as span from (select *, lag(i) over (partition by doc_id order by i) as before from r)),
+t as (select doc_id, min(i) as lo, max(i) + 50 as hi from g group by doc_id, span),
+b as (select doc_id, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as a, lo as z, hi - lo as gone from (select * from t union all select doc_id, n, n from d)),
+k as (select doc_id, sum(gone) as n_removed, count(*) - 1 as n_spans, string_agg(substr(x, 2 * a + 1, 2 * (z - a)), '' order by z, gone) as kept from b join d using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, cast(n_removed as bigint) as n_removed, n_spans, sha256(unhex(kept)) as kept_sha256 from k join d using (doc_id)"""
+
 #: DuckDB SQL, where it can express the operator.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": _OP2, "op6_nearest_neighbours": _OP6, "op9_remove_repeats": _OP9}
