@@ -323,7 +323,7 @@ def test_op6_equals_brute_force(spark):
     got = neighbours.nearest(df.filter("id % 20 = 0"), df, 20, 3, 16).collect()
     x = np.array(v)
     for q in range(0, 150, 20):
-        s = (x[q] * x).sum(1)
+        s = np.cumsum(x[q] * x, axis=1)[:, -1]  # added up in the order of components, as the operator and SQL do
         want = sorted((-s[i], i) for i in range(150) if i != q)[:20]
         own = sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)
         assert [(-g.score, g.vec_id) for g in own] == want and [g.rank for g in own] == list(range(1, 21))
