@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import LENGTHS, PRIMARY_KEYS, REFERENCES, UNIQUE
+
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with n; a key with a null part is exempt, as in SQL."""
@@ -27,20 +29,39 @@ def null_report(rows: DataFrame, required: list[str], limits: dict[str, int]) ->
     return wide.select(F.inline(pairs))
 
 
+def violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every constraint of the library's schemas over tables: table_name, check, column_name, n of what breaks it.
+    key and unique count keys that repeat (columns joined by a comma), reference counts rows without their parent."""
+    found = []
+    told = lambda rows, *names: rows.select(*(F.lit(v).alias(c) for v, c in zip(names, ("table_name", "check", "column_name"))), "n")
+    for name, rows in tables.items():
+        for check, keys in (("key", PRIMARY_KEYS[name]), ("unique", UNIQUE.get(name))):
+            if keys:
+                found.append(told(duplicates(rows, keys).agg(F.count("*").alias("n")), name, check, ",".join(keys)))
+        for column, parent in REFERENCES.get(name, []):
+            if parent in tables:
+                lost = orphans(rows, column, tables[parent], PRIMARY_KEYS[parent][0])
+                found.append(told(lost.agg(F.count("*").alias("n")), name, "reference", column))
+        report = null_report(rows, PRIMARY_KEYS[name], LENGTHS.get(name, {}))
+        found.append(report.select(F.lit(name).alias("table_name"), "check", "column_name", "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def survivors(tables: dict[str, DataFrame], references: dict[str, list[tuple[str, str]]], keys: dict[str, str], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """tables after a cascading delete. gone: table -> deleted keys. Victims are pushed down level by level."""
+    """tables after a cascading delete. gone: table -> deleted keys. Victims are pushed down level by level;
+    a row goes by its own references, so that a repeated key takes no other row of its table along."""
     left, dead = {}, dict(gone)
+    parents = {p for refs in references.values() for _, p in refs}
     for name in _parents_first(tables, references):
-        rows = tables[name]
+        stored = rows = tables[name]
         for column, parent in references.get(name, []):
             if parent in dead:
                 victims = dead[parent].select(F.col(keys[parent]).alias(column))
-                if name in keys:
-                    lost = rows.join(victims, column, "left_semi").select(keys[name])
-                    dead[name] = dead[name].unionByName(lost).distinct() if name in dead else lost.distinct()
-                else:
-                    rows = rows.join(victims, column, "left_anti")
-        left[name] = rows.join(dead[name].select(keys[name]), keys[name], "left_anti") if name in dead and name in keys else rows
+                rows = rows.join(victims, column, "left_anti")
+                if name in parents:
+                    lost = stored.join(victims, column, "left_semi").select(keys[name])
+                    dead[name] = dead[name].unionByName(lost) if name in dead else lost
+        left[name] = rows.join(gone[name].select(keys[name]), keys[name], "left_anti") if name in gone else rows
     return left
 
 

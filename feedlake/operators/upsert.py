@@ -47,6 +47,23 @@ def episode_rows(parsed: DataFrame, now) -> DataFrame:
     return parsed.select(key_of(F.col("feed_id").cast("string"), F.col("guid")).alias("episode_id"), *STORED, F.lit(None).cast("string").alias("transcript"), F.lit(False).alias("processed"), now.alias("created_at"))
 
 
+def apply_results(episodes: DataFrame, tags: DataFrame, bridge: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(episodes, tags, bridge) after an analysis. results: episode_id, name, category, one row per tag found.
+
+    Episodes with results are processed. A tag is stored once per (name, category): a stored one keeps its id (the
+    smallest, if it is stored more than once), a new one gets a hash of both. Pairs are added where missing; rows of
+    results with a null part, or of an episode that isn't stored, add no tag. A second call changes nothing.
+    """
+    pair = ["name", "category"]
+    real = results.dropna(subset=["episode_id", *pair]).join(episodes.select("episode_id"), "episode_id", "left_semi")
+    ids = tags.groupBy(*pair).agg(F.min("tag_id").alias("tag_id"))
+    new = real.select(*pair).distinct().join(ids, pair, "left_anti").withColumn("tag_id", key_of(*map(F.col, pair)))
+    added = real.join(ids.unionByName(new), pair).select("episode_id", "tag_id").distinct().join(bridge, ["episode_id", "tag_id"], "left_anti")
+    done = results.select("episode_id").distinct().withColumn("_done", F.lit(True))
+    marked = episodes.join(done, "episode_id", "left").withColumn("processed", F.coalesce("_done", "processed", F.lit(False))).select(*episodes.columns)
+    return marked, tags.unionByName(new, allowMissingColumns=True), bridge.unionByName(added, allowMissingColumns=True)
+
+
 def publish(spark: SparkSession, episodes: DataFrame, feeds: DataFrame, root: str, run: int) -> None:
     """Episodes, then feeds, then one more pointer: what a crash leaves behind is skipped as known next time.
     No file that a reader may hold is overwritten; runs are numbered upwards."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import extensions, ingest_queries, library_queries, parsing
+from .plans import extensions, ingest_queries, library_queries, parsing, table_queries
 
 
 def _utc(query):
@@ -20,4 +20,4 @@ def _utc(query):
     return run
 
 
-REGISTRY = {name: (_utc(f), sql) for module in (parsing, library_queries, ingest_queries, extensions) for name, (f, sql) in module.QUERIES.items()}
+REGISTRY = {name: (_utc(f), sql) for module in (parsing, library_queries, ingest_queries, table_queries, extensions) for name, (f, sql) in module.QUERIES.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = {
     "users": "user_id string, email string, created_at timestamp",
@@ -31,3 +32,10 @@ def create(spark: SparkSession, root: str, name: str) -> None:
 
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+
+
+def conform(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the table's columns in its types: a column that rows lack has its default, or null; others go."""
+    given, told = set(rows.columns), DEFAULTS.get(name, {})
+    fields = [c.strip().split(" ") for c in TABLES[name].split(",")]
+    return rows.select(*((F.col(c) if c in given else F.lit(told.get(c))).cast(t).alias(c) for c, t in fields))
