@@ -38,5 +38,28 @@ b as (select doc_id, coalesce(lag(hi) over (partition by doc_id order by lo), 0)
 k as (select doc_id, sum(gone) as n_removed, count(*) - 1 as n_spans, string_agg(substr(x, 2 * a + 1, 2 * (z - a)), '' order by z, gone) as kept from b join d using (doc_id) group by doc_id)
 select doc_id, n as n_bytes, cast(n_removed as bigint) as n_removed, n_spans, sha256(unhex(kept)) as kept_sha256 from k join d using (doc_id)"""
 
+_OP8 = r"""with a as (select distinct 'd' as side, doc_id as id, coalesce(text, '') as text from documents union all select distinct 'b', item_id, coalesce(text, '') from benchmark),
+b as (select side, id, text, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '([0-9])[.,]([0-9])', '\1\2', 'g'), '([0-9])[.,]([0-9])', '\1\2', 'g'), '[^\p{L}\p{N}]+'), lambda x: x <> '') as raw from a),
+t as (select row_number() over () as r, side, id, raw, list_transform(raw, lambda x: lower(x)) as plain, list_transform(raw, lambda x: case when x[1] between '0' and '9' then '#number' when lower(x) in (UNITS) then '#unit' when length(x) > 1 and x[1] <> lower(x)[1] and x[2] = lower(x)[2] then '#name' else lower(x) end) as template from b),
+i as (select *, least(len(raw), WINDOW) as n from t where side = 'b' and len(raw) > 0),
+p as (select *, unnest(range(1, len(raw) - n + 2)) as pos from i),
+e as (select *, len(list_filter(template[pos:pos + n - 1], lambda x: x[1] <> '#')) < LITERALS as exact from p),
+w as (select id as item_id, r as item, n, exact, pos, array_to_string((case when exact then plain else template end)[pos:pos + n - 1], ' ') as h, count(*) over (partition by id) as item_windows, count(*) filter (not exact) over (partition by id) as item_templates from e),
+k as (select distinct n, exact from w),
+l as (select r, n, exact, case when exact then plain else template end as x from t, k where side = 'd' and len(raw) >= n),
+g as (select r, n, exact, unnest(list_transform(range(1, len(x) - n + 2), lambda j: {'at': j, 'h': array_to_string(x[j:j + n - 1], ' ')})) as v from l),
+m as (select g.r, item, item_id, item_windows, item_templates, exact, n, pos, v.at as place, v.at - pos as shift from g join w using (n, exact) where v.h = w.h),
+z as (select m.*, unnest(range(0, n)) as j from m where not exact),
+s as (select z.r, z.item_id, shift, y.template[pos + j] as kind, y.plain[pos + j] as item_value, x.plain[place + j] as doc_value from z join t x on z.r = x.r join t y on z.item = y.r where y.template[pos + j][1] = '#'),
+o as (select r, item_id, shift, count(*) as slots, count(*) filter (same) as fits from (select r, item_id, shift, min(doc_value) = max(doc_value) as same from s group by r, item_id, shift, kind, item_value) group by all),
+c as (select distinct m.r, m.item_id, item_windows, item_templates, exact, pos, coalesce(slots, 0) as slots, coalesce(fits, 0) as fits from m left join o using (r, item_id, shift) where coalesce(fits, 0) >= cast(CONSISTENT as double) * coalesce(slots, 0)),
+f as (select r, item_id, item_windows, item_templates, count(distinct (pos, exact)) as windows, count(distinct pos) filter (not exact) as templates, max(slots) as slots, max(fits) as fits from c group by all),
+u as (select *, item_templates > 0 and templates * item_windows > windows * item_templates as alone from f),
+q as (select r, item_id, case when alone then templates else windows end as windows, case when alone then item_templates else item_windows end as item_windows, slots, fits from u)
+select t.id as doc_id, item_id, windows, item_windows, windows / item_windows as coverage, slots, fits as consistent_slots from q join t using (r) where windows / item_windows >= cast(COVERAGE as double)"""
+for _name in ("WINDOW", "LITERALS", "CONSISTENT", "COVERAGE"):
+    _OP8 = _OP8.replace(_name, str(getattr(decontaminate, _name)))
+_OP8 = _OP8.replace("UNITS", ", ".join(f"'{u}'" for u in decontaminate.UNITS))
+
 #: DuckDB SQL, where it can express the operator.
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": _OP2, "op6_nearest_neighbours": _OP6, "op9_remove_repeats": _OP9}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": _OP2, "op6_nearest_neighbours": _OP6, "op8_decontaminate": _OP8, "op9_remove_repeats": _OP9}

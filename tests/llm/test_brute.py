@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import regex
 
-from feedlake.llm import decontaminate, langid, mixing, secrets
+from feedlake.llm import decontaminate, langid, mixing, queries, secrets
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 VALUE = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
@@ -158,6 +158,12 @@ def test_op8_found_items(spark):
     got = {(x.doc_id, x.item_id): (x.windows, x.item_windows, x.slots, x.consistent_slots) for x in rows}
     want = {(d, i): f for d, t in docs for i, item in enumerate(items) if (f := brute_found(t or "", item))}
     assert got == want and len(rows) == len(got) > 30
+    db = pytest.importorskip("duckdb").connect()
+    for name, key, made in (("documents", "doc_id", docs), ("benchmark", "item_id", list(enumerate(items)))):
+        db.execute(f"create table {name} ({key} bigint, text varchar)")
+        db.executemany(f"insert into {name} values (?, ?)", made)
+    stated = db.execute(queries.ORACLE_SQL["op8_decontaminate"]).fetchall()
+    assert {(d, i): (w, of, s, c) for d, i, w, of, _, s, c in stated} == want and len(stated) == len(want)
 
 
 def test_op4_code_lengths(spark):

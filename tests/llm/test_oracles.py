@@ -12,7 +12,7 @@ duckdb = pytest.importorskip("duckdb")
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query(spark, sf, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         p = f"{sf}/{t}.parquet"
         db.execute(f"create view {t} as select * from '{p}{'/*.parquet' if os.path.isdir(p) else ''}'")
     q = db.execute(ORACLE_SQL[name])
