@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import batch_rows, new_path, table
 
 MAGIC = b"WMX2"
 HEAD = struct.Struct("<4sBxxxIQ")
@@ -37,6 +37,8 @@ SHARD_TOKENS = 1 << 21
 #: Distinct words whose ids a worker remembers; beyond it only words seen again stay. Results are the same.
 CACHE_WORDS = 500_000
 END_ID = 1
+#: Texts in an Arrow batch: a task holds one batch on either side of its Python worker, besides the worker's words.
+BATCH_ROWS = 512
 
 
 def pack(ids: np.ndarray, starts: np.ndarray, bits: int) -> bytes:
@@ -279,7 +281,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, shard_tokens: int =
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "none").parquet(out)
+    with batch_rows(spark, BATCH_ROWS):
+        rows.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "none").parquet(out)
 
 
 def read_shards(spark: SparkSession, out: str) -> DataFrame:
