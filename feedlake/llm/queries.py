@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, neighbours, pages, quality, repeats, secrets, similar, wavelet
+from . import bytebpe, decontaminate, hardneg, langid, mixing, neighbours, pages, phrases, quality, repeats, secrets, similar, wavelet
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_remove_repeats": repeats.op9_remove_repeats,
     "op10_token_output": wavelet.op10_token_output,
+    "op11_byte_bpe": bytebpe.op11_byte_bpe,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_hard_negatives": hardneg.op13_hard_negatives,
 }
 
 _OP2 = r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
@@ -61,5 +64,23 @@ for _name in ("WINDOW", "LITERALS", "CONSISTENT", "COVERAGE"):
     _OP8 = _OP8.replace(_name, str(getattr(decontaminate, _name)))
 _OP8 = _OP8.replace("UNITS", ", ".join(f"'{u}'" for u in decontaminate.UNITS))
 
+_OP12 = r"""with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') as ws from d),
+c as (select lang, sum(len(ws)) as n from p group by lang),
+g as (select lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: {'k': k, 's': array_to_string(ws[i:i + k - 1], ' ')})))) as v from p),
+f as (select lang, v.k as words, v.s as phrase, count(*) as a from g group by all having count(*) >= 100),
+w as (select *, string_split(phrase, ' ') as ws from f),
+gone as (select distinct lang, unnest([array_to_string(ws[1:words - 1], ' '), array_to_string(ws[2:words], ' ')]) as phrase, a from w where words > 2),
+cand as (select * from w where words > 1 and not exists (select 1 from gone where gone.lang = w.lang and gone.phrase = w.phrase and gone.a = w.a)),
+cut as (select lang, phrase, a, ws, words, unnest(range(1, words)) as k from cand),
+s as (select cut.lang, cut.phrase, cut.a, x.a as l, y.a as r, c.n, k, (1000::hugeint * cut.a * c.n) // (x.a::hugeint * y.a) as score from cut join f x on x.lang = cut.lang and x.phrase = array_to_string(ws[1:k], ' ') join f y on y.lang = cut.lang and y.phrase = array_to_string(ws[k + 1:cut.words], ' ') join c on c.lang = cut.lang),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, cast(row_number() over (partition by lang order by score desc, a desc, phrase) as integer) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from b qualify rank <= 2000"""
+
+_OP13 = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id as id, a.label = c.label as same, cast(list_inner_product(a.e, c.e) as bigint) as score from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, id) as integer) as rank, id as negative_id, positive_score, score as negative_score from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score qualify rank <= 10"""
+
 #: DuckDB SQL, where it can express the operator.
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": _OP2, "op6_nearest_neighbours": _OP6, "op8_decontaminate": _OP8, "op9_remove_repeats": _OP9}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": _OP2, "op6_nearest_neighbours": _OP6, "op8_decontaminate": _OP8, "op9_remove_repeats": _OP9, "op12_phrases": _OP12, "op13_hard_negatives": _OP13}
