@@ -11,6 +11,8 @@ share a fingerprint are told apart. Only frequent phrases are ever materialised.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +22,7 @@ from .common import LOWER, U64, Bits, batch_rows, bitmap, inverse_powers, mix64,
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Distinct fingerprints or phrases that a task sums up before it sends them on. Results are the same.
-HELD_PRINTS, HELD_PHRASES = 1 << 20, 1 << 17
+HELD_PRINTS, HELD_PHRASES = 1 << 20, 1 << 19
 #: A chunk's end of a piece of text, among its word numbers.
 STOP = -1
 
@@ -71,6 +73,16 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(cut, _CHUNK)
 
 
+class Frequent:
+    """Fingerprints that were frequent, as two bit maps, of their low and of their high bits: few others seem so too."""
+
+    def __init__(self, keys: DataFrame):
+        self.maps: list[Bits] = [bitmap(keys.select("h")), bitmap(keys.select(F.shiftrightunsigned("h", 32).alias("h")))]
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        return self.maps[0].has(h) & self.maps[1].has((h.astype(U64) >> U64(32)).astype(np.int64))
+
+
 class Chunk:
     """A chunk's word numbers and fingerprints. live[n]: the n-gram at a position lies in one piece."""
 
@@ -95,7 +107,7 @@ class Chunk:
         h = (self.prefix[at + n] - self.prefix[at]) * inverse_powers(len(self.prefix))[at]
         return at, mix64(h + self.salt + U64(n)).astype(np.int64)
 
-    def wanted(self, n: int, frequent: Bits | None):
+    def wanted(self, n: int, frequent: Frequent | None):
         """The n-grams of which both n-grams of one word less may be frequent."""
         at, h = self.prints(n)
         if frequent is None or not len(at):
@@ -151,13 +163,13 @@ def _verified(cut: DataFrame, frequent: list) -> DataFrame:
     kind = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
 
     def read(batches):
-        held: dict[tuple, int] = {}
+        held: dict[tuple, dict[bytes, int]] = {}
 
         def sent():
-            rows = list(held.items())
-            for lo in range(0, len(rows), 1 << 14):
-                part = rows[lo : lo + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([k[2] for k, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], schema=kind)
+            for (lang, n), found in held.items():
+                for part in itertools.batched(found.items(), 1 << 14):
+                    phrases, counts = zip(*part, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([n] * len(part), pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], schema=kind)
 
         for batch in batches:
             for c in opened(batch):
@@ -176,10 +188,11 @@ def _verified(cut: DataFrame, frequent: list) -> DataFrame:
                     same[at] = number
                     if n == 1:
                         text = dict(zip(keys[first].tolist(), c.words.take(pa.array(keys[first])).to_pylist(), strict=True))
+                    own = held.setdefault((c.lang, n), {})
                     for pointer, k in zip(at[first].tolist(), counts.tolist(), strict=True):
-                        key = c.lang, n, b" ".join([text[i] for i in c.ids[pointer : pointer + n].tolist()])
-                        held[key] = held.get(key, 0) + k
-                if len(held) >= HELD_PHRASES:
+                        phrase = b" ".join([text[i] for i in c.ids[pointer : pointer + n].tolist()])
+                        own[phrase] = own.get(phrase, 0) + k
+                if sum(map(len, held.values())) >= HELD_PHRASES:
                     yield from sent()
                     held = {}
         yield from sent()
@@ -198,7 +211,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
         for n in range(1, longest + 1):
             counts = _counted(cut, n, frequent[-1] if frequent else None).groupBy("h").agg(F.sum("n").alias("n"))
             keys = staged(counts.filter(F.col("n") >= least).select("h"), "prints")
-            frequent.append(spark.sparkContext.broadcast(bitmap(keys)))  # 32 MB at most
+            frequent.append(spark.sparkContext.broadcast(Frequent(keys)))  # 64 MB at most
         seen = _verified(cut, frequent).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
         found = staged(seen.filter(F.col("n") >= least).withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     return found, cut.groupBy("lang").agg(F.sum("n_words").alias("n"))
