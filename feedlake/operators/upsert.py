@@ -4,18 +4,43 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import first_truthy, key_of
+from ..schemas import TABLES
 
 GROUP = ["author", "description", "image_url", "category"]
-POINTER = "run long, name string"
+POINTER = "run long, name string, source string, marks string, rejects string"
+MARKS = "feed_id string, mark timestamp"
+REJECTS = "rss_url string, reason string, detail string"
+#: Parts of the stored episodes, by a hash of feed_id. A run reads the parts of its own feeds only.
+BUCKETS = 64
 STORED = ["feed_id", "guid", "title", "audio_url", "duration", "published_at", "summary"]
 
 
+def in_order(fetches: DataFrame, key: str = "rss_url", time: str = "fetched_at") -> DataFrame:
+    """One row per feed with the effect of its fetches one after the other, for upsert_feeds.
+
+    fetches: key, time, title, GROUP, etag, last_modified, is_not_modified. Validators: the last that is not empty. Title
+    and GROUP: the last ones of modified fetches with a title, for GROUP the last that is not empty. created holds GROUP of the
+    very first fetch, which an unknown feed starts with whatever its title. Fetches of one instant: not modified ones
+    come first, the others by title. One aggregation, so a feed of many fetches is summed up before the shuffle.
+    """
+    fresh = ~F.coalesce("is_not_modified", F.lit(False))
+    order = F.struct(time, fresh, "title", *GROUP, "etag", "last_modified")
+    there = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    last = lambda c, when: F.max_by(c, F.when(when, order)).alias(c)
+    titled = fresh & there("title")
+    return fetches.groupBy(key).agg(
+        last("title", titled), *(last(c, titled & there(c)) for c in GROUP), *(last(c, there(c)) for c in ("etag", "last_modified")),
+        F.min_by(F.struct(*GROUP), order).alias("created"), F.every(~fresh).alias("is_not_modified"),
+    )
+
+
 def upsert_feeds(old: DataFrame, new: DataFrame, now, key: str = "rss_url") -> DataFrame:
-    """All feeds after a fetch. new: key, title, GROUP, etag, last_modified, is_not_modified.
+    """All feeds after a fetch. new: key, title, GROUP, etag, last_modified, is_not_modified, and created of in_order, if
+    a feed may have several fetches.
 
     Unknown feed: all metadata, an empty title replaced. Known and modified, with a title: title replaced,
     GROUP new or old; an empty title leaves all of these. Always: validators new or old, fetched now, active.
@@ -26,7 +51,8 @@ def upsert_feeds(old: DataFrame, new: DataFrame, now, key: str = "rss_url") -> D
     col = lambda side, c: F.col(f"{side}.{c}")
     fetched, fresh = col("n", key).isNotNull(), col("o", key).isNull()
     modified = fetched & ~fresh & ~F.coalesce(col("n", "is_not_modified"), F.lit(False)) & (F.coalesce(col("n", "title"), F.lit("")) != "")
-    pick = lambda c: F.when(fresh, col("n", c)).when(modified, first_truthy(col("n", c), col("o", c))).otherwise(col("o", c)).alias(c)
+    start = lambda c: F.coalesce(col("n", c), F.col("n.created")[c]) if "created" in new.columns else col("n", c)
+    pick = lambda c: F.when(fresh, start(c)).when(modified, first_truthy(col("n", c), col("o", c))).otherwise(col("o", c)).alias(c)
     made = {"created_at": now, "error_count": F.lit(0)}
     told = {key, "feed_id", "title", *GROUP, "etag", "last_modified", "last_fetched_at", "sync_status"}
     stay = lambda c: (F.when(fresh, made[c]).otherwise(col("o", c)) if c in made else col("o", c)).alias(c)
@@ -64,16 +90,81 @@ def apply_results(episodes: DataFrame, tags: DataFrame, bridge: DataFrame, resul
     return marked, tags.unionByName(new, allowMissingColumns=True), bridge.unionByName(added, allowMissingColumns=True)
 
 
-def publish(spark: SparkSession, episodes: DataFrame, feeds: DataFrame, root: str, run: int) -> None:
-    """Episodes, then feeds, then one more pointer: what a crash leaves behind is skipped as known next time.
-    No file that a reader may hold is overwritten; runs are numbered upwards."""
-    episodes.write.mode("append").parquet(f"{root}/episodes")
-    name = f"feeds_{run}_{uuid.uuid4().hex}"
-    feeds.write.parquet(f"{root}/{name}")
-    spark.createDataFrame([(run, name)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
+def bucket_of(feed_id: Column) -> Column:
+    return F.pmod(F.xxhash64(feed_id.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def append_episodes(episodes: DataFrame, root: str) -> None:
+    """Adds rows to the stored episodes, which lie in BUCKETS parts; a large part is written by several tasks."""
+    placed = episodes.withColumn("bucket", bucket_of(F.col("feed_id"))).hint("rebalance", F.col("bucket"))
+    placed.write.mode("append").partitionBy("bucket").parquet(f"{root}/episodes")
+
+
+def stored_episodes(spark: SparkSession, root: str, feed_ids: DataFrame | None = None) -> DataFrame:
+    """The stored episodes; with feed_ids, those of the parts in which these feeds lie. Only the parts' numbers,
+    BUCKETS at most, come to the driver, and other parts aren't read."""
+    rows = spark.read.schema(f"{TABLES['episodes']}, bucket int").parquet(f"{root}/episodes")
+    if feed_ids is not None:
+        rows = rows.filter(F.col("bucket").isin([r[0] for r in feed_ids.select(bucket_of(F.col("feed_id"))).distinct().collect()]))
+    return rows.drop("bucket")
+
+
+def publish(spark: SparkSession, episodes: DataFrame, feeds: DataFrame, root: str, run: int | None = None, source: str | None = None, marks: DataFrame | None = None, rejects: DataFrame | None = None) -> None:
+    """Episodes, then feeds, marks and rejects, then one more pointer that names them: what a crash leaves behind is
+    skipped as known next time. No file that a reader may hold is overwritten. A run without a number gets the last
+    one's plus 1, whatever stream or job it comes from; source tells a later attempt that it was published. Runs into
+    one library must come one at a time."""
+    append_episodes(episodes, root)
+    last = pointer(spark, root)
+    number = run if run is not None else (last.run + 1 if last else 0)
+    names = {}
+    for kind, rows in (("feeds", feeds), ("marks", marks), ("rejects", rejects)):
+        if rows is not None:
+            names[kind] = f"{kind}_{number}_{uuid.uuid4().hex}"
+            rows.write.parquet(f"{root}/{names[kind]}")
+    row = (number, names["feeds"], source, names.get("marks"), names.get("rejects"))
+    spark.createDataFrame([row], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    """All pointers: one short row for each run. Made empty where there are none."""
+    spark.createDataFrame([], POINTER).write.mode("ignore").parquet(f"{root}/pointers")
+    return spark.read.schema(POINTER).parquet(f"{root}/pointers")
+
+
+def pointer(spark: SparkSession, root: str) -> Row | None:
+    """The pointer of the last run that was published whole."""
+    return _pointers(spark, root).agg(F.max(F.struct("run", "name", "source", "marks", "rejects"))).first()[0]
+
+
+def was_published(spark: SparkSession, root: str, source: str) -> bool:
+    return not _pointers(spark, root).filter(F.col("source") == source).isEmpty()
 
 
 def current_feeds(spark: SparkSession, root: str) -> DataFrame:
     """The feeds of the last run that was published whole."""
-    name = spark.read.schema(POINTER).parquet(f"{root}/pointers").agg(F.max(F.struct("run", "name"))["name"]).first()[0]
-    return spark.read.parquet(f"{root}/{name}")
+    return spark.read.parquet(f"{root}/{pointer(spark, root).name}")
+
+
+def current_marks(spark: SparkSession, root: str) -> DataFrame:
+    """feed_id, mark: the latest date of each feed's stored episodes. A library without stored marks has them made once."""
+    last = pointer(spark, root)
+    if last and last.marks:
+        return spark.read.schema(MARKS).parquet(f"{root}/{last.marks}")
+    return stored_episodes(spark, root).groupBy("feed_id").agg(F.max("published_at").alias("mark")).dropna()
+
+
+def advanced(marks: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Marks after new episodes: only marks and the new rows are read, never the stored episodes."""
+    new = episodes.groupBy("feed_id").agg(F.max("published_at").alias("mark")).dropna()
+    return marks.unionByName(new).groupBy("feed_id").agg(F.max("mark").alias("mark"))
+
+
+def all_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """run, rss_url, reason, detail of all runs that were published whole."""
+    names = [(r.run, r.rejects) for r in _pointers(spark, root).filter("rejects is not null").select("run", "rejects").collect()]
+    if not names:
+        return spark.createDataFrame([], f"run long, {REJECTS}")
+    rows = spark.read.schema(REJECTS).parquet(*(f"{root}/{n}" for _, n in names))
+    of = F.regexp_extract(F.col("_metadata.file_path"), "/rejects_([0-9]+)_[0-9a-f]+/", 1).cast("long")
+    return rows.select(of.alias("run"), "rss_url", "reason", "detail")

@@ -150,21 +150,24 @@ DURATION_NUMERIC = "select event_id, cast(round_even(value, 0) as integer) as se
 
 
 def published_utc(spark, d):
+    """Dates in sixteen shapes; what is partial, no day or no date gives null."""
     k, t = F.col("o_orderkey"), F.col("o_orderdate")
-    iso = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
-    text = (
-        F.when(k % 6 == 0, F.concat(B.mail_date(t), F.lit(" -0700")))
-        .when(k % 6 == 1, F.concat(F.lit("Foo, "), F.date_format(t, "d MMM yyyy HH:mm"), F.lit(" PDT")))
-        .when(k % 6 == 2, F.concat(F.lit(" "), iso, F.lit("+02:00 ")))
-        .when(k % 6 == 3, iso)
-        .when(k % 6 == 4, F.concat(iso, F.lit("Z")))
-        .otherwise(F.date_format(t, "MMM yyyy"))
-    )
-    return B.table(spark, d, "orders").select("o_orderkey", N.published_utc(text).cast(NTZ).alias("published_at"))
-
-
-PUBLISHED_UTC = """select o_orderkey, case o_orderkey % 6 when 0 then o_orderdate + interval 7 hour when 1 then date_trunc('minute', o_orderdate) + interval 7 hour
-when 2 then o_orderdate - interval 2 hour when 3 then o_orderdate when 4 then o_orderdate else null end as published_at from orders"""
+    shape = lambda pattern, end="", begin="": F.concat(F.lit(begin), F.date_format(t, pattern), F.lit(end))
+    shapes = [
+        F.concat(B.mail_date(t), F.lit(" -0700")), shape("d MMM yyyy HH:mm", " PDT", "Foo, "), shape("yyyy-MM-dd'T'HH:mm:ss", "+02:00 ", " "), shape("yyyy-MM-dd'T'HH:mm:ss"),
+        shape("yyyy-MM-dd'T'HH:mm:ss", "Z"), shape("MMM yyyy"), shape("d MMMM yyyy HH:mm:ss", " +01:00"), shape("MMMM d, yyyy HH:mm"), shape("yyyy/MM/dd HH:mm"), shape("yyyyMMdd'T'HHmmss", "Z"),
+        shape("dd-MMM-yyyy HH:mm:ss"), shape("EEE MMM d HH:mm:ss yyyy"), shape("yyyy-MM-dd'T'HH:mm:ss", " EST"), shape("d MMM yyyy"), shape("MM/dd/yyyy hh:mm a"), shape("yyyy-MM-dd", " or so"),
+    ]
+    text = shapes[-1]
+    for i, s in enumerate(shapes[:-1]):
+        text = F.when(k % len(shapes) == i, s).otherwise(text)
+    rows = B.table(spark, d, "orders").select("o_orderkey", N.held(N.date_text(text).alias("text")).alias("_t"))
+    return rows.select("o_orderkey", N.date_value(F.col("_t.text")).cast(NTZ).alias("published_at"))
+
+
+PUBLISHED_UTC = """select o_orderkey, case o_orderkey % 16 when 0 then o_orderdate + interval 7 hour when 1 then date_trunc('minute', o_orderdate) + interval 7 hour when 2 then o_orderdate - interval 2 hour
+when 5 then null when 6 then o_orderdate - interval 1 hour when 7 then date_trunc('minute', o_orderdate) when 8 then date_trunc('minute', o_orderdate) when 12 then o_orderdate + interval 5 hour
+when 13 then cast(date_trunc('day', o_orderdate) as timestamp) when 14 then date_trunc('minute', o_orderdate) when 15 then null else o_orderdate end as published_at from orders"""
 
 
 def text_helpers(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import date_text, date_value, duration_number, duration_seconds, first_truthy, held, trim_ws
+from ..functions.normalize import date_text, date_value, decode_payload, duration_number, duration_seconds, first_truthy, held, trim_ws
 
 
 def _get(v: Column | str, path: str, kind: str = "string") -> Column:
@@ -24,8 +24,9 @@ def _text(v: Column | str, path: str) -> Column:
 
 
 def parse(payloads: DataFrame, content: str = "content") -> DataFrame:
-    """payloads with parsed, a variant; null where the payload is no JSON."""
-    return payloads.withColumn("parsed", F.try_parse_json(F.col(content).cast("string")))
+    """payloads with parsed, a variant; null where the payload is no JSON. Bytes are decoded, text is not."""
+    text = F.col(content) if payloads.schema[content].dataType.simpleString() == "string" else decode_payload(F.col(content))
+    return payloads.withColumn("parsed", F.try_parse_json(text))
 
 
 def _items() -> Column:

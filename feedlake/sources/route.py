@@ -10,7 +10,7 @@ from . import jsonfeed, xmlfeed
 
 
 def kind_of(content: Column) -> Column:
-    """'json' where the stripped payload starts with a brace, else 'xml' (a bracket too)."""
+    """'json' where the stripped payload starts with a brace, else 'xml' (a bracket too). content: text, or bytes of ASCII's kind."""
     return F.when(trim_ws(content.cast("string")).startswith("{"), "json").otherwise("xml")
 
 

@@ -9,8 +9,8 @@ from feedlake.sources import jsonfeed, route, xmlfeed
 
 RSS = """<?xml version="1.0"?><rss version="2.0" xmlns:itunes="x" xmlns:media="y" xmlns:atom="z"><channel><title> Show &amp; Tell </title><link>https://s</link>
 <description><![CDATA[About]]></description><itunes:author>Ann</itunes:author><itunes:image href="https://i"/><itunes:category text="Tech"/>
-<item><title>One</title><guid isPermaLink="false">g1</guid><pubDate>Mon, 10 Jan 2026 10:00:00 GMT</pubDate><itunes:duration>01:14:22</itunes:duration><enclosure url="a.mp3" type="audio/mpeg" length="1"/></item>
-<item><title>Two</title><pubDate>Mon, 17 Jan 2026 10:00:00 GMT</pubDate><enclosure url="p.pdf" type="application/pdf"/><enclosure url="b.ogg"/></item>
+<item><title>One</title><guid isPermaLink="false">g1</guid><pubDate>Fri, 11 Mar 2027 08:30:00 GMT</pubDate><itunes:duration>02:03:04</itunes:duration><enclosure url="a.mp3" type="audio/mpeg" length="1"/></item>
+<item><title>Two</title><pubDate>Sun, 18 Mar 2027 08:30:00 GMT</pubDate><enclosure url="p.pdf" type="application/pdf"/><enclosure url="b.ogg"/></item>
 <item><link>https://three</link><media:content url="c.aac"/></item><item><title>nothing</title></item></channel></rss>"""
 ATOM = """<feed><title>At</title><author><name>Bo</name></author><entry><id>e1</id><title>E</title><updated>2026-01-02T00:00:00Z</updated><link rel="alternate" href="https://e"/><link rel="enclosure" href="e.mp3" type="audio/mpeg"/></entry></feed>"""
 JSON = """ {"title":"J","authors":[{"name":"Cy"}],"icon":"i","items":[{"id":7,"title":null,"attachments":[{"url":"v.mp4","mime_type":"video/mp4"},{"url":"a.mp3","mime_type":"audio/mpeg","duration_in_seconds":61}],"audio_url":"own.mp3"},
@@ -23,7 +23,7 @@ def test_rss(spark):
     assert (m.title, m.author, m.description, m.link, m.image_url, m.category, m.total_feed_episodes) == ("Show & Tell", "Ann", "About", "https://s", "https://i", "Tech", 4)
     assert {r.k for r in parsed.filter(xmlfeed.is_broken()).collect()} >= {2, 3}
     e = xmlfeed.episodes(xmlfeed.identified(xmlfeed.items(parsed, "k")), "k", "pos").orderBy("pos").collect()
-    assert [(r.guid, r.title, r.audio_url, r.enclosure_type, r.duration) for r in e] == [("g1", "One", "a.mp3", "audio/mpeg", 4462), ("b.ogg", "Two", "b.ogg", "audio/mpeg", None), ("c.aac", "Untitled Episode", "c.aac", "audio/mpeg", None)]
+    assert [(r.guid, r.title, r.audio_url, r.enclosure_type, r.duration) for r in e] == [("g1", "One", "a.mp3", "audio/mpeg", 7384), ("b.ogg", "Two", "b.ogg", "audio/mpeg", None), ("c.aac", "Untitled Episode", "c.aac", "audio/mpeg", None)]
 
 
 def test_atom(spark):
@@ -90,3 +90,23 @@ def test_fetch_gate_and_headers(spark):
     assert [(r.outcome, r.etag, r.last_modified) for r in route.fetch_gate(log).collect()] == [("modified", "n", "l"), ("not_modified", "o", "l"), ("rejected", "o", "l"), ("rejected", "o", "l")]
     h = spark.createDataFrame([("e", ""), (None, None)], "e string, m string").select(route.request_headers(F.col("e"), F.col("m")).alias("h")).collect()
     assert [r.h for r in h] == [{"If-None-Match": "e"}, {}]
+
+
+RDF = """<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:d="http://purl.org/dc/elements/1.1/">
+<channel rdf:about="https://c"><title>Old</title><link>https://c</link><d:creator>Di</d:creator></channel><image><url>https://pic</url></image>
+<item rdf:about="https://c/1"><title>First</title><link>https://c/1</link><d:date>2026-03-04T05:06:07+01:00</d:date></item><item><title>Second</title><link>https://c/2</link></item></rdf:RDF>"""
+PREFIXED_ATOM = """<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>Pre</a:title><a:entry><a:id>p1</a:id><a:title>P</a:title><a:published>2026-03-04T00:00:00Z</a:published><a:link rel="enclosure" href="p.ogg" type="audio/ogg"/></a:entry></a:feed>"""
+PREFIXED_RDF = RDF.replace('xmlns="', 'xmlns:r="').replace("<channel", "<r:channel").replace("</channel", "</r:channel").replace("<item", "<r:item").replace("</item", "</r:item").replace("<title", "<r:title").replace("</title", "</r:title").replace("<link", "<r:link").replace("</link", "</r:link")
+OWN_ATOM_LINK = """<rss xmlns:a10="http://www.w3.org/2005/Atom"><channel><title>L</title><item><guid>l1</guid><a10:link rel="enclosure" href="l.mp3"/></item></channel></rss>"""
+
+
+def test_other_roots(spark):
+    rows = [("rdf", RDF), ("atom", PREFIXED_ATOM), ("rdf2", PREFIXED_RDF), ("link", OWN_ATOM_LINK)]
+    parsed = xmlfeed.parse(spark.createDataFrame([(k, t.encode()) for k, t in rows], "k string, content binary")).cache()
+    m = {r.k: (r.title, r.author, r.image_url, r.total_feed_episodes) for r in xmlfeed.metadata(parsed, "k").collect()}
+    assert m == {"rdf": ("Old", "Di", "https://pic", 2), "atom": ("Pre", None, None, 1), "rdf2": ("Old", "Di", "https://pic", 2), "link": ("L", None, None, 1)}
+    e = xmlfeed.episodes(xmlfeed.identified(xmlfeed.items(parsed, "k")), "k", "pos").collect()
+    got = {(r.k, r.pos): (r.guid, r.title, r.audio_url, r.published_at) for r in e}
+    old = [("https://c/1", "First", "", datetime(2026, 3, 4, 4, 6, 7)), ("https://c/2", "Second", "", None)]
+    assert [got["rdf", i] for i in (0, 1)] == old and [got["rdf2", i] for i in (0, 1)] == old
+    assert got["atom", 0] == ("p1", "P", "p.ogg", datetime(2026, 3, 4)) and got["link", 0][2] == "l.mp3"
