@@ -22,6 +22,9 @@ LITERALS = 5
 COVERAGE = 0.2
 #: Share of an alignment's slot values that must be bound to one value of the text.
 CONSISTENT = 0.8
+#: Words that an item must have for the pipeline's stage to drop documents by it. The report lists shorter items too, which
+#: hold in every text that happens to use their few words.
+STAGE_WORDS = 8
 #: Bytes of all benchmark windows, words and templates included, up to which they are broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
@@ -41,18 +44,20 @@ def template_word(w: Column) -> Column:
     return F.when((w >= "0") & (w < ":"), F.lit("#number")).when(low.isin(*UNITS), F.lit("#unit")).when(name, F.lit("#name")).otherwise(low)
 
 
-def _hash_from(n: int, hashes: str):
-    return lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(n)))
+def _window(n: int, exact: bool):
+    """The window of n words that begins at a position: length, exact, pos, h."""
+    hashes = "plain" if exact else "hashes"  # used twice at least, so the optimizer does not copy it into the lambda
+    return lambda i: F.struct(F.lit(n).alias("length"), F.lit(exact).alias("exact"), i.alias("pos"), F.xxhash64(*(F.get(hashes, i + k) for k in range(n))).alias("h"))
 
 
-def _windows(rows: DataFrame, keys: list[str], n: int, exact: bool) -> DataFrame:
-    """rows (keys, raw, hashes, plain) with one row per window of n words: length, exact, pos, h, and raw."""
-    hashes = "plain" if exact else "hashes"  # used twice at least, so the optimizer does not copy it into the lambda
-    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n))
-    # Hashes in a projection of their own: the generator then runs in generated code and does not copy raw.
+def _windows(rows: DataFrame, keys: list[str], kinds: list[tuple[int, bool]]) -> DataFrame:
+    """rows (keys, hashes, plain) with one row per window of each kind (words, exact): keys, length, exact, pos, h."""
+    starts = lambda n: F.when(F.size("plain") >= n, F.sequence(F.lit(0), F.size("plain") - n)).otherwise(F.array().cast("array<int>"))
+    # Hashes in a projection of their own: the generator then runs in generated code.
     # The outer form keeps the optimizer from filtering on a copy of the expression; the join drops its nulls.
-    part = rows.withColumn("windows", F.transform(starts, _hash_from(n, hashes)))
-    return part.select(*keys, "raw", F.lit(n).alias("length"), F.lit(exact).alias("exact"), F.posexplode_outer("windows").alias("pos", "h"))
+    every = F.concat(*(F.transform(starts(n), _window(n, exact)) for n, exact in kinds))
+    part = rows.withColumn("windows", every).select(*keys, F.explode_outer("windows").alias("w"))
+    return part.select(*keys, "w.*")
 
 
 def _tokens(df: DataFrame, keys: list[Column]) -> DataFrame:
@@ -78,7 +83,7 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> tuple[DataFrame
     w = None
     for n in sorted(lengths):  # window at most different values
         own = items.filter(F.size("raw") >= n if n == window else F.size("raw") == n)
-        part = _windows(own, ["item_id"], n, False).unionByName(_windows(own, ["item_id"], n, True))
+        part = _windows(own, ["item_id", "raw"], [(n, False), (n, True)])
         w = part if w is None else w.unionByName(part)
     slots = lambda c: F.slice(c, F.col("pos") + 1, F.col("length"))
     literals = F.size(F.filter(F.transform(slots("raw"), template_word), lambda x: ~x.startswith("#")))
@@ -104,15 +109,14 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, covera
     w, kinds, n = benchmark_windows(bench, window)
     if not n:
         return docs.sparkSession.createDataFrame([], FOUND)
-    rows = _tokens(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")])
-    hits = None
-    for length, exact in kinds:  # joined one by one: a union before the join would copy raw for every window
-        own = w.filter((F.col("length") == length) & (F.col("exact") == exact))
-        part = _windows(rows, ["doc_id", "text_hash"], length, exact).join(F.broadcast(own) if n <= BROADCAST_BYTES else own, ["h", "length", "exact"])
-        # Only slices are taken here: a lambda in what follows the join would leave generated code before it.
-        part = part.select("doc_id", "text_hash", "item_id", "item_windows", "item_templates", "exact", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "template", "item_raw", F.slice("raw", F.col("pos") + 1, F.col("length")).alias("doc_raw"))
-        hits = part if hits is None else hits.unionByName(part)
-    hits = staged(hits, "hits")
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
+    # Windows are joined as slim rows; only the texts of hits are split into words again, for the words of each hit.
+    found = _windows(_tokens(docs, key), ["doc_id", "text_hash"], kinds).join(F.broadcast(w) if n <= BROADCAST_BYTES else w, ["h", "length", "exact"])
+    found = staged(found.select("doc_id", "text_hash", "item_id", "item_windows", "item_templates", "exact", "length", "item_pos", "pos", "template", "item_raw"), "windows")
+    texts = docs.select(*key, "text").join(found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), words(F.col("text")).alias("raw"))
+    hits = found.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
+    hits = staged(hits.select(*found.columns, (F.col("pos") - F.col("item_pos")).alias("shift"), F.slice("raw", F.col("pos") + 1, F.col("length")).alias("doc_raw")), "hits")
     # The joined templates are compared, so a shared hash alone is no match.
     hits = hits.filter(_compared("doc_raw") == F.col("template"))
     slots = F.filter(F.arrays_zip("template", "item_raw", "doc_raw"), lambda s: s["template"].startswith("#"))
@@ -139,7 +143,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops documents in which an item of STAGE_WORDS words or more is found."""
     i, h = free_names(docs, "id", "hash")
-    found = staged(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct(), "found")
+    bench = table(spark, sf_dir, "benchmark").filter(F.size(words(F.col("text"))) >= STAGE_WORDS)
+    found = staged(contaminated(docs, bench).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct(), "found")
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[i]) & (F.xxhash64(docs["text"]) == found[h]), "left_anti")

@@ -233,3 +233,26 @@ def test_op1_weights_and_ends_of_passes(spark):
     for x in mixing.schedule(slim, cuts).select("source", "doc_id", "text_hash", "copies").collect():
         got[x.source, x.doc_id, x.text_hash].append(x.copies)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_decontamination_without_broadcast_and_its_stage(spark, tmp_path, monkeypatch):
+    """The shuffled join gives the same rows; a long text's windows do not carry the text; short items drop nothing."""
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(40)] + ["Ann", "Bob", "12", "7"]
+    items = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([1, 3, 12, 20]))) for _ in range(12)]
+    texts = [" ".join([*(rnd.choice(vocabulary) for _ in range(20)), items[i % 12], *(rnd.choice(vocabulary) for _ in range(20))]) for i in range(40)]
+    texts += [" ".join(rnd.choice(vocabulary) for _ in range(60_000)), None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3])], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()), key=repr)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()), key=repr) == found
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {r.doc_id for r in decontaminate.stage(spark, docs, str(tmp_path)).collect()}
+    long = {i for i, t in enumerate(items) if len(t.split()) >= decontaminate.STAGE_WORDS}
+    assert kept == {i for i in [*range(len(texts)), None]} - {r[0] for r in found if r[2] in long}
+    assert kept >= {40, 41, 42} or 40 in {r[0] for r in found if r[2] in long}
