@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Bits, batch_rows, bitmap, inverse_powers, mix64, powers, staged, table, text_chunks, word_hash
+from .common import LOWER, MOST_BITS, PARTS, U64, Bits, batch_rows, inverse_powers, mix64, powers, staged, table, text_chunks, word_hash
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Distinct fingerprints or phrases that a task sums up before it sends them on. Results are the same.
@@ -74,10 +74,30 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 class Frequent:
-    """Fingerprints that were frequent, as two bit maps, of their low and of their high bits: few others seem so too."""
+    """Fingerprints that were frequent, as two bit maps, of their low and of their high bits: few others seem so too.
+
+    16 bits of either map for each fingerprint, 2**MOST_BITS (32 MB) at most. They are made in PARTS parts by tasks; those
+    parts, of a known size, are all that the driver gets."""
 
     def __init__(self, keys: DataFrame):
-        self.maps: list[Bits] = [bitmap(keys.select("h")), bitmap(keys.select(F.shiftrightunsigned("h", 32).alias("h")))]
+        power = min(MOST_BITS, max(16, (16 * keys.count()).bit_length()))
+        self.maps, per = [Bits(power), Bits(power)], (1 << power) // PARTS
+        low = lambda h: h.bitwiseAND(F.lit((1 << power) - 1).cast("long"))
+        rows = keys.select(F.posexplode(F.array(low(F.col("h")), low(F.shiftrightunsigned("h", 32)))).alias("map", "at"))
+        rows = rows.select("map", (F.col("at") / per).cast("int").alias("part"), (F.col("at") % per).cast("int").alias("at")).repartition("map", "part")
+
+        def fill(batches):
+            held: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                which, part, at = (batch.column(i).to_numpy() for i in range(3))
+                for m, p in set(zip(which.tolist(), part.tolist(), strict=True)):
+                    own = at[(which == m) & (part == p)]
+                    np.bitwise_or.at(held.setdefault((m, p), np.zeros(per // 8, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
+            for (m, p), bits in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([p], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["map", "part", "bits"])
+
+        for r in rows.mapInArrow(fill, "map int, part int, bits binary").collect():  # 2 * PARTS rows
+            self.maps[r["map"]].bits[r["part"] * (per // 8) : (r["part"] + 1) * (per // 8)] = np.frombuffer(bytes(r["bits"]), np.uint8)
 
     def has(self, h: np.ndarray) -> np.ndarray:
         return self.maps[0].has(h) & self.maps[1].has((h.astype(U64) >> U64(32)).astype(np.int64))
