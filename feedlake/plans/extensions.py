@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import library as L
-from ..storage import staged
+from ..operators import textindex as X
+from ..storage import new_path, staged
 from . import bindings as B
 
 #: Search words, and the tags of the all-of filter.
@@ -112,9 +113,11 @@ def ext_full_text(spark, d):
     n = docs.count()
     tf = words(docs, "doc_id").join(asked.select("w").distinct(), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
     tf = staged(tf, "tf")
-    df = tf.groupBy("w").agg(F.count("*").alias("df"))
+    asked = staged(asked.join(tf.groupBy("w").agg(F.count("*").alias("df")), "w"), "asked")
     score = F.round(F.sum(F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))), 4)
-    rows = asked.join(df, "w").join(tf, "w").groupBy("item_id", "doc_id").agg(score.alias("score"))
+    # A document's words stay together, so where Spark can broadcast the items' words (it checks the size) a document is
+    # scored where it is, and only the best of each task are shuffled.
+    rows = tf.repartition("doc_id").join(asked, "w").groupBy("item_id", "doc_id").agg(score.alias("score"))
     return L.ranked(rows, ["item_id"], [F.desc("score"), "doc_id"], 5, "place").select("item_id", "place", "doc_id", "score")
 
 
@@ -125,6 +128,24 @@ s as (select item_id, doc_id, round(sum(tf * ln((select count(*) from documents)
 select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as place, doc_id, score from s qualify place <= 5"""
 
 
+def ext_full_text_index(spark, d):
+    """The five best documents for each benchmark item by BM25, from an index that took the documents in two segments."""
+    root, docs = new_path(spark, "index"), B.table(spark, d, "documents").select("doc_id", "text")
+    X.init(spark, root)
+    for part in (docs.filter("doc_id % 3 <> 0"), docs):
+        X.add(part, root)
+    return X.search(B.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), root)[0]
+
+
+EXT_FULL_TEXT_INDEX = r"""with t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from documents),
+n as (select count(*)::double as n, sum(len(ws)) / count(*)::double as average from t),
+p as (select doc_id, size, w, count(*) as tf from (select doc_id, len(ws) as size, unnest(ws) as w from t) group by all),
+a as (select distinct item_id, w from (select item_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as w from benchmark) where w <> ''),
+f as (select w, count(*) as df from p group by w),
+s as (select item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / average))) as score from a join f using (w) join p using (w) cross join n group by all)
+select item_id as query_id, cast(row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as integer) as place, doc_id, round(score, 4) as score from s qualify place <= 5"""
+
+
 def ext_vector_top_k(spark, d):
     """The five most similar of all other vectors for each hundredth vector, by cosine. The queries are dealt to every
     group of candidates, so they meet by an equal group and no task holds all vectors."""
