@@ -48,34 +48,39 @@ ROOT_TAG = re.compile(r"^<(\w+)")
 #: Words of class, id and role, by what they hint at. A name hints only if every part of it is one of these or of
 #: PLAIN: social-policy, market-share or ad-hoc are names of what a page is about.
 HINTS = {
-    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs tabs pagination pager",
+    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager",
     "header": "header masthead topbar banner logo",
     "footer": "footer contentinfo copyright colophon legal",
-    "side": "sidebar aside side complementary widget rail related recommended recommendations trending popular",
+    "side": "sidebar aside side complementary widget related recommended recommendations trending popular",
     "notice": "notice cookie cookies consent gdpr alert popup modal overlay dialog newsletter disclaimer toast paywall",
     "advert": "ad ads adv advert advertisement advertising sponsor sponsored promo promotion promoted adsense",
     "comment": "comment comments commentlist reply replies respond disqus discussion reactions",
     "share": "share sharing sharebar",
     "form": "form search login signup subscribe subscription register contact",
+    "either": "tabs rail",
     "content": "article content post entry story body text main page prose",
 }
+ARTICLE = frozenset("article content post entry story".split())
 HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
 PLAIN = frozenset("site page main top bottom left right box block bar list wrap wrapper container inner outer section item items area links link button buttons the my js ui global primary secondary small large slot unit row col column panel group title form thread user".split())
 KIND_OF = {t: t for t in "html body main article section div p h1 ul ol li table td nav header footer aside form button figure blockquote pre".split()} | dict.fromkeys(("h2", "h3", "h4", "h5", "h6"), "h2") | {"th": "td", "fieldset": "form", "menu": "nav", "dialog": "aside"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "hint", "size", "linked", "label", "off")
+    __slots__ = ("tag", "parent", "hint", "size", "linked", "label", "off", "opens", "inside")
 
     def __init__(self, tag: str, parent: int, attrs: str):
         self.tag, self.parent, self.size, self.linked = tag, parent, 0, 0
         self.label, self.off = "data-content" in attrs, "data-boilerplate" in attrs
+        #: Whether the element is named as an article, and whether it lies in one that is.
+        self.opens, self.inside = tag in ("article", "main"), False
         hints = set()
         for m in ATTR.finditer(attrs) if "=" in attrs else ():
             for name in m[1].strip("\"'").lower().split():
                 parts = WORD.findall(name)
                 if all(w in HINT_OF or w in PLAIN for w in parts):
                     hints.update(HINT_OF[w] for w in parts if w in HINT_OF)
+                    self.opens |= not ARTICLE.isdisjoint(parts)
         self.hint = next((h for h in HINTS if h in hints), "")  # those against content come first
 
 
@@ -151,13 +156,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in ("html", "body") and where.get(tag):
             continue
         hidden, k, attrs = stack[-1][2] or tag in HIDDEN, stack[-1][1], m[5] or ""
-        if not hidden and tag != "html" and (block or "=" in attrs):
+        if not hidden and tag != "html" and block:
+            # Words inside a line belong to the line, whatever their element is called.
             node = Node(tag, k, attrs)
-            if block or node.hint not in ("", "content"):
-                k = len(nodes)
-                nodes.append(node)
+            node.inside = nodes[k].inside or nodes[k].opens
+            nodes.append(node)
+            k = len(nodes) - 1
         if tag in RAW:
-            ended = re.compile(f"</{tag}", re.I).search(page, at)
+            ended = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             end = page.find(">", ended.end()) if ended else -1
             at = n if end < 0 else end + 1
             continue
@@ -171,9 +177,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 
 def evidence(node: Node, size: int, linked: int) -> tuple:
-    """The features of a node: tag kind, hint, amount of text below it, share of it in links."""
+    """The features of a node: tag kind, hint and whether it is one against content, amount of text below it, share of it in links (which says less in an article)."""
     share = linked / size if size else 0
-    return ("tag", KIND_OF.get(node.tag, "other")), ("hint", node.hint), ("size", (size > 0) + (size > 40) + (size > 200)), ("links", (share > 0.2) + (share > 0.6))
+    return ("tag", KIND_OF.get(node.tag, "other")), ("hint", node.hint), ("against", node.hint not in ("", "either", "content")), ("size", (size > 0) + (size > 40) + (size > 200)), ("links", (share > 0.2) + (share > 0.6), node.inside)
 
 
 def _below(nodes: list[Node]) -> list[tuple[int, int]]:
@@ -194,7 +200,7 @@ class TreeModel:
             nodes, _ = parse(page)
             mark = [int(x.label) for x in nodes]
             for i in range(1, len(nodes)):
-                mark[i] |= mark[nodes[i].parent] and not nodes[i].hint and not nodes[i].off
+                mark[i] |= mark[nodes[i].parent] and nodes[i].hint in ("", "either") and not nodes[i].off
             holds = list(mark)
             for i in range(len(nodes) - 1, 0, -1):
                 holds[nodes[i].parent] |= holds[i]
@@ -205,7 +211,7 @@ class TreeModel:
                     seen.setdefault(f, [1.0, 1.0])[y] += 1
                 if i:
                     pairs[int(bool(holds[x.parent]))][y] += 1
-        kinds = {name: 1 + sum(f[0] == name for f in seen) for name in ("tag", "hint", "size", "links")}
+        kinds = {name: 1 + sum(f[0] == name for f in seen) for name in ("tag", "hint", "against", "size", "links")}
         self.rest = {name: log((totals[0] + k) / (totals[1] + k)) for name, k in kinds.items()}
         self.odds = {f: log(n[1] / (totals[1] + kinds[f[0]])) - log(n[0] / (totals[0] + kinds[f[0]])) for f, n in seen.items()}
         self.given = [[log(x / sum(row)) for x in row] for row in pairs]
@@ -247,11 +253,21 @@ def labelled_pages() -> list[str]:
     """Labelled training pages: every kind of content wrapper with every kind of surrounding piece."""
     long = "A long run of words that goes on, with clauses, and tells the reader one thing after the other until it ends. " * 3
     body = f'<h1>A title of some words</h1><p>{long}</p><p>Short words.</p><h2>Part</h2><p>{long} <a href="x">a link</a></p><ul><li>One thing to know</li><li>{long}</li></ul><blockquote><p>{long}</p></blockquote><table><tr><td>cell</td></tr></table>'
+    linked = "".join(f'<li><a href="/{i}">A thing to read about {i}</a></li>' for i in range(4))
+    cells = "".join(f'<tr><td><a href="/{i}">Entry {i}</a></td><td><a href="/x{i}">{i}</a></td></tr>' for i in range(4))
+    within = [f"<ul>{linked}</ul>", f"<ol>{linked}</ol>", '<p><a href="x">A line that is one link</a></p>', '<p>See <a href="x">this</a> too.</p>', f"<table><tbody>{cells}</tbody></table>", f'<div class="tabs"><p>{long}</p></div>', f'<div class="rail"><p>{long}</p></div>', f"<section><header><h2>Part of it</h2></header><p>{long}</p></section>", f"<section><h2>Other</h2><div><p>{long}</p></div></section>"]
     wraps = ['<article data-content="">{}</article>', '<main data-content="">{}</main>', '<main><article data-content="">{}</article></main>', '<div class="post-content" data-content="">{}</div>', '<div id="content" data-content="">{}</div>', '<section class="entry" data-content="">{}</section>', '<div data-content="">{}</div>', '<div class="page"><div class="story" data-content="">{}</div></div>']
     items = "".join(f'<li><a href="/{i}">word {i}</a></li>' for i in range(6))
     around = [f"<nav><ul>{items}</ul></nav>", f"<header><a href='/'>Site</a><p>Slogan of it</p></header><div class='menu'><ul>{items}</ul></div>", f"<aside><p>{long}</p><ul>{items}</ul></aside>", f'<div class="sidebar"><div><p>{long}</p></div></div>', '<div class="ad">Words that sell, in a line.</div>', f'<div class="advert"><p>{long}</p></div>', f'<div class="cookie-notice"><p>{long}</p><button>Yes</button></div>', f"<form><p>{long}</p><button>Send</button></form>"]
-    after = [f'<div class="comments"><h2>Comments</h2><div><p>{long}</p></div><div><p>{long}</p><p>Yes.</p></div></div>', f'<section id="comments"><ul><li><p>{long}</p></li><li>Good.</li></ul></section>', "<footer>&copy; site <p>All rights kept.</p></footer>", f'<div id="footer"><ul>{items}</ul><p>{long}</p></div>', f'<div class="related"><h2>More</h2><ul>{items}</ul></div>', '<div class="share"><a href="x">Tell</a></div>']
-    return [f"<html><body>{a}{w.format(body + (ROOT_TAG.sub(r'<\1 data-boilerplate=""', a) if k % 3 == 0 else ''))}{b}{after[2]}</body></html>" for k, (a, w, b) in enumerate(product(around, wraps, after))]
+    after = [f'<div class="comments"><h2>Comments</h2><div><p>{long}</p></div><div><p>{long}</p><p>Yes.</p></div></div>', f'<section id="comments"><ul><li><p>{long}</p></li><li>Good.</li></ul></section>', "<footer>&copy; site <p>All rights kept.</p></footer>", f'<div id="footer"><ul>{items}</ul><p>{long}</p></div>', f'<div class="related"><h2>More</h2><ul>{items}</ul></div>', '<div class="share"><a href="x">Tell</a></div>', f'<section class="comments"><h2>Comments</h2><p>{long}</p><p>{long}</p></section>']
+    more = lambda k, own, n: "".join(own[(k * 3 + j) % len(own)] for j in range(n))
+    inside = lambda *parts: "".join(ROOT_TAG.sub(r'<\1 data-boilerplate=""', x) for x in parts)
+    ends = [after[2], f"<footer>&copy; site, {long}</footer>", "<footer>&copy; site, all rights are kept by those who wrote it.</footer>"]
+    pages = []
+    for k, (a, w, b) in enumerate(product(around, wraps, after)):
+        content = body + (inside(a, b, after[4]) if k % 3 == 0 else "".join(within) + "<p>And then on.</p>" + (inside(after[4], after[(0, 1, 6)[k // 3 % 3]]) if k % 3 == 1 else ""))
+        pages.append(f"<html><body>{a}{more(k, around, 3)}{w.format(content)}{b}{more(k, after, 2)}{ends[k % 3]}</body></html>")
+    return pages
 
 
 _MODEL: dict[int, TreeModel] = {}
