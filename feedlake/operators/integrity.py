@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import LENGTHS, PRIMARY_KEYS, REFERENCES, UNIQUE
@@ -47,6 +47,35 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def admitted(new: DataFrame, name: str, stored: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected) rows of a batch for the table name, judged before they are appended.
+
+    rejected has check and column_name, the first that a row breaks: null (a part of the primary key), length, reference
+    (set, and missing in the stored parent), key, unique (both stored, or repeated in the batch, where the smallest row that
+    breaks nothing else stays; a key with a null part is exempt). Of the stored tables only the columns of keys are read, and
+    only the batch's own keys go on from there.
+    """
+    limits, columns = LENGTHS.get(name, {}), new.columns
+    why = lambda check, column: F.struct(F.lit(check).alias("check"), F.lit(column).alias("column_name"))
+    plain = [F.when(F.col(c).isNull(), why("null", c)) for c in PRIMARY_KEYS[name]] + [F.when(F.length(c) > n, why("length", c)) for c, n in limits.items() if c in columns]
+    rows = new.withColumn("_why", F.coalesce(*plain))
+    for column, parent in REFERENCES.get(name, []):
+        asked = rows.select(column).dropna().distinct()
+        there = asked.join(stored[parent].select(F.col(PRIMARY_KEYS[parent][0]).alias(column)), column, "left_semi").withColumn("_there", F.lit(True))
+        rows = rows.join(there, column, "left").withColumn("_why", F.coalesce("_why", F.when(F.col(column).isNotNull() & F.col("_there").isNull(), why("reference", column)))).drop("_there")
+    for check, keys in (("key", PRIMARY_KEYS[name]), ("unique", UNIQUE.get(name))):
+        if keys:
+            asked = rows.select(*keys).dropna().distinct()
+            held = asked.join(stored[name].select(*keys), keys, "left_semi").withColumn("_held", F.lit(True))
+            whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+            spread = F.when(~whole, F.xxhash64(*columns))  # exempt rows need no order, nor to be together
+            place = F.row_number().over(Window.partitionBy(*keys, spread).orderBy(F.col("_why").isNotNull(), F.struct(*columns)))
+            again = whole & (F.col("_held").isNotNull() | (F.col("_place") > 1))
+            rows = rows.join(held, keys, "left").withColumn("_place", place)
+            rows = rows.withColumn("_why", F.coalesce("_why", F.when(again, why(check, ",".join(keys))))).drop("_held", "_place")
+    return rows.filter("_why is null").select(*columns), rows.filter("_why is not null").select(*columns, "_why.*")
+
+
 def survivors(tables: dict[str, DataFrame], references: dict[str, list[tuple[str, str]]], keys: dict[str, str], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """tables after a cascading delete. gone: table -> deleted keys. Victims are pushed down level by level;
     a row goes by its own references, so that a repeated key takes no other row of its table along."""

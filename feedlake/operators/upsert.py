@@ -90,6 +90,24 @@ def apply_results(episodes: DataFrame, tags: DataFrame, bridge: DataFrame, resul
     return marked, tags.unionByName(new, allowMissingColumns=True), bridge.unionByName(added, allowMissingColumns=True)
 
 
+def apply_insights(episodes: DataFrame, insights: DataFrame, found: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """(episodes, insights) after an analysis. found: episode_id, timestamp_seconds, title, detail, insight_type, many an episode.
+
+    An insight's key is a hash of its episode, time, title and type, so it is stored once: repeated in found (the smallest
+    detail stays), or left behind by a call that ended before the episodes were marked. Episodes that are processed
+    already take no more; those with rows in found are processed after it. Rows without a title, or of an episode that
+    isn't stored, add nothing. A second call changes nothing.
+    """
+    waiting = episodes.filter(~F.coalesce("processed", F.lit(False))).select("episode_id").distinct()
+    real = found.join(waiting, "episode_id", "left_semi").filter(F.coalesce("title", F.lit("")) != "")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("episode_id", "timestamp_seconds", "title", "insight_type")]
+    keyed = real.withColumn("insight_id", key_of(*parts)).groupBy("insight_id", "episode_id", "timestamp_seconds", "title", "insight_type").agg(F.min("detail").alias("detail"))
+    new = keyed.join(insights.select("insight_id"), "insight_id", "left_anti").withColumn("created_at", now)
+    done = found.select("episode_id").distinct().withColumn("_done", F.lit(True))
+    marked = episodes.join(done, "episode_id", "left").withColumn("processed", F.coalesce("_done", "processed", F.lit(False))).select(*episodes.columns)
+    return marked, insights.unionByName(new.select(*insights.columns))
+
+
 def bucket_of(feed_id: Column) -> Column:
     return F.pmod(F.xxhash64(feed_id.cast("string")), F.lit(BUCKETS)).cast("int")
 

@@ -113,4 +113,44 @@ APPLY_RESULTS = """with l as (select distinct doc_id from labels), p as (select
 union select doc_id, sha256(source || chr(1) || 'source'), source, 'source' from documents where source is not null and doc_id in (from l))
 select p.doc_id as episode_id, tag_id, name, category, p.doc_id in (from l) as processed from p join documents d on d.doc_id = p.doc_id"""
 
+def apply_insights(spark, d):
+    """Insights and processed flags after an analysis was applied twice; the second call brings one more that is too late."""
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    episodes = B.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("episode_id"), (F.col("doc_id") % 4 == 0).alias("processed"))
+    k = F.col("doc_id")
+    one = lambda title, at, kind: F.struct(at.cast("int").alias("timestamp_seconds"), title.alias("title"), F.lit("d").alias("detail"), F.lit(kind).alias("insight_type"))
+    two = F.array(one(F.concat(F.lit("q"), "quality"), k % 60, "quality"), one(F.when(F.col("toxic") == 1, "toxic"), F.lit(None), "toxic"), one(F.concat(F.lit("q"), "quality"), k % 60, "quality"))
+    found = B.table(spark, d, "labels").select(k.cast("string").alias("episode_id"), F.inline(two))
+    stored = spark.createDataFrame([], schemas.TABLES["insights"])
+    once = U.apply_insights(episodes, stored, found, now)
+    late = found.unionByName(found.select("episode_id", F.lit(0).alias("timestamp_seconds"), F.lit("late").alias("title"), F.lit("d").alias("detail"), F.lit("late").alias("insight_type")))
+    episodes, insights = U.apply_insights(*once, late, now)
+    return insights.join(episodes, "episode_id").select("insight_id", "episode_id", "timestamp_seconds", "title", "insight_type", "processed")
+
+
+APPLY_INSIGHTS = """with l as (select * from labels where doc_id in (select doc_id from documents) and doc_id % 4 <> 0),
+f as (select distinct doc_id, cast(doc_id % 60 as integer) as t, 'q' || quality as title, 'quality' as kind from l where quality is not null union select distinct doc_id, null, 'toxic', 'toxic' from l where toxic = 1)
+select sha256(f.doc_id || chr(1) || coalesce(cast(t as varchar), '') || chr(1) || title || chr(1) || kind) as insight_id, cast(f.doc_id as varchar) as episode_id, t as timestamp_seconds, title, kind as insight_type, true as processed
+from f join documents d on d.doc_id = f.doc_id"""
+
+
+def batch_constraints(spark, d):
+    """A batch of episodes judged against a stored library: how many rows stay, and what the others break."""
+    o, k = B.table(spark, d, "orders"), F.col("o_orderkey")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    row = [F.when(k % 11 != 4, name("e", k)).alias("episode_id"), name("f", F.col("o_custkey")).alias("feed_id"), F.when(k % 13 != 2, k.cast("string")).alias("guid"), F.when(k % 7 == 3, F.repeat(F.lit("t"), 600)).otherwise("t").alias("title"), F.lit("").alias("audio_url"), F.lit("first").alias("summary")]
+    stored = {"feeds": B.table(spark, d, "customer").filter("c_custkey % 5 <> 0").select(name("f", F.col("c_custkey")).alias("feed_id")), "episodes": o.filter(k % 3 == 0).select(name("e", k).alias("episode_id"), name("f", F.col("o_custkey")).alias("feed_id"), k.cast("string").alias("guid"))}
+    batch = o.filter((k % 3 != 0) | (k % 6 == 0)).select(*row)
+    again = o.filter(k % 10 == 1).select(name("n", k).alias("episode_id"), *row[1:-1], F.lit("second").alias("summary"))
+    kept, left = C.admitted(batch.unionByName(again), "episodes", stored)
+    return left.groupBy("check", "column_name").agg(F.count("*").alias("n")).unionByName(kept.agg(F.count("*").alias("n")).select(F.lit("kept").alias("check"), F.lit("").alias("column_name"), "n"))
+
+
+BATCH_CONSTRAINTS = """with b as (select o_orderkey as k, o_custkey as c, case when o_orderkey % 11 <> 4 then 'e' || o_orderkey end as id, 1 as r from orders where o_orderkey % 3 <> 0 or o_orderkey % 6 = 0
+union all select o_orderkey, o_custkey, 'n' || o_orderkey, 2 from orders where o_orderkey % 10 = 1),
+a as (select *, case when id is null then 'null' when k % 7 = 3 then 'length' when c % 5 = 0 then 'reference' when r = 1 and k % 3 = 0 then 'key' end as why from b),
+n as (select *, row_number() over (partition by k order by why is not null, r) as place from a),
+w as (select coalesce(why, case when k % 13 <> 2 and (k % 3 = 0 or place > 1) then 'unique' end, 'kept') as why from n)
+select why as "check", case why when 'null' then 'episode_id' when 'length' then 'title' when 'reference' then 'feed_id' when 'key' then 'episode_id' when 'unique' then 'feed_id,guid' else '' end as column_name, count(*) as n from w group by why"""
+
 QUERIES = {n.lower(): (globals()[n.lower()], sql) for n, sql in list(globals().items()) if n.isupper() and n.lower() in globals() and isinstance(sql, str)}
