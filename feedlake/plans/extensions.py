@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import library as L
 from ..operators import textindex as X
+from ..operators import vectorindex as V
 from ..storage import new_path, staged
 from . import bindings as B
 
@@ -164,6 +165,14 @@ from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 100
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as place, vec_id, score from s qualify place <= 5"""
 
 
+def ext_vector_index(spark, d):
+    """As ext_vector_top_k, from a stored index of cells: most of the same vectors, of which a test measures the share."""
+    root = new_path(spark, "vectors")
+    rows = B.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    V.build(rows, root)
+    return V.search(rows.filter("vec_id % 100 = 0"), root).select("query_id", "place", "vec_id", F.round("score", 5).alias("score"))
+
+
 def ext_chat_context(spark, d):
     rows = L.ranked(B.table(spark, d, "conversations"), ["conv_id"], [F.desc("turn"), F.desc("role"), F.desc("text")], 4, "back")
     return rows.select("conv_id", "turn", "role", "text", "back")
@@ -191,3 +200,4 @@ EXT_LIBRARY_SEARCH = """select 'episode' as kind, doc_id as id from documents wh
 select 'tag', p_partkey from part where regexp_matches(lower(p_name), 'a.*e$|1$')"""
 
 QUERIES = {n.lower(): (globals()[n.lower()], sql) for n, sql in list(globals().items()) if n.isupper() and n.lower() in globals() and isinstance(sql, str)}
+QUERIES["ext_vector_index"] = (ext_vector_index, None)  # no SQL: an approximate search

@@ -39,3 +39,40 @@ def test_text_index_takes_segments_and_prunes_exactly(spark, monkeypatch):
     assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-4 for g, w in zip(got, want, strict=True))
     read, every = Counter(r.query_id for r in work.collect()), len({(i // 4, 0 if i < 120 else 1 if i < 150 else 2) for i in ids})
     assert read[6] < every / 2, (read, every)  # groups of the rare words, not all of the frequent ones' lists
+
+
+def test_vector_index_recall_against_the_exact_search(spark, sf, monkeypatch):
+    import numpy as np
+
+    from feedlake.operators import vectorindex
+    from feedlake.plans import extensions
+
+    # The given vectors, against the exact query.
+    exact = {(r.query_id, r.vec_id) for r in extensions.ext_vector_top_k(spark, sf).collect()}
+    got = {(r.query_id, r.vec_id) for r in extensions.ext_vector_index(spark, sf).collect()}
+    assert len(got) == len(exact) and len(exact & got) >= 0.9 * len(exact)
+    # Vectors around many centres, a third of them copies of one; blocks of a cell.
+    monkeypatch.setattr(vectorindex, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(40, 16))
+    v = np.concatenate((middle[rng.integers(0, 40, 1500)] + 0.3 * rng.normal(size=(1500, 16)), np.repeat(middle[:1], 700, 0)))
+    odd = [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (None, [1.0] * 16), (9004, [1.0, 2.0]), (9005, [1e300] * 16)]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + odd, "vec_id long, v array<double>")
+    root = new_path(spark, "vectors")
+    vectorindex.build(rows, root)
+    found = vectorindex.search(rows.filter("vec_id % 20 = 0"), root, 5).collect()
+    u = np.concatenate((v, np.ones((1, 16))))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 9)
+    good = total = 0
+    for q in range(0, 2200, 20):
+        own = [r for r in found if r.query_id == q]
+        best = np.sort(np.delete(score[q], q))[::-1][:5]
+        assert [r.place for r in sorted(own, key=lambda r: r.place)] == [1, 2, 3, 4, 5]
+        good += sum(r.score >= best[4] - 1e-6 for r in own)
+        total += 5
+    assert good >= 0.9 * total
+    assert vectorindex.search(rows.filter("false"), root).count() == 0
+    empty = new_path(spark, "vectors")
+    vectorindex.build(rows.filter("vec_id = 9001"), empty)
+    assert vectorindex.search(rows.limit(5), empty).count() == 0

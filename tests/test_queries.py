@@ -32,7 +32,7 @@ def ordered(columns, rows):
     return sorted(columns), sorted((tuple(plain(r[i]) for i in at) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(REGISTRY))
+@pytest.mark.parametrize("name", [n for n, q in REGISTRY.items() if q[1]])
 def test_query(spark, sf, db, name):
     df = REGISTRY[name][0](spark, sf)
     found = ordered(df.columns, [tuple(r) for r in df.collect()])
