@@ -47,4 +47,4 @@ def test_stages(spark, corpus):
 
 def test_run_and_registered_names(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).agg(F.countDistinct("doc_id")).first()[0] == 60
-    assert sorted(QUERIES) == sorted(["op1_mix_sources", "op2_jaccard_join", "op3_secret_scan", "op4_language_id", "op5_quality", "op6_nearest_neighbours", "op7_main_text", "op8_decontaminate", "op9_remove_repeats", "op10_token_output"])
+    assert sorted(QUERIES) == sorted(["op1_mix_sources", "op2_jaccard_join", "op3_secret_scan", "op4_language_id", "op5_quality", "op6_nearest_neighbours", "op7_main_text", "op8_decontaminate", "op9_remove_repeats", "op10_token_output", "op11_byte_bpe", "op12_phrases", "op13_hard_negatives"])
