@@ -113,7 +113,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, covera
     # Windows are joined as slim rows; only the texts of hits are split into words again, for the words of each hit.
     found = _windows(_tokens(docs, key), ["doc_id", "text_hash"], kinds).join(F.broadcast(w) if n <= BROADCAST_BYTES else w, ["h", "length", "exact"])
     found = staged(found.select("doc_id", "text_hash", "item_id", "item_windows", "item_templates", "exact", "length", "item_pos", "pos", "template", "item_raw"), "windows")
-    texts = docs.select(*key, "text").join(found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi")
+    # Written, so that Spark knows their size: where they are few they are broadcast, and other texts stay where they are.
+    asked = staged(found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "asked")
+    texts = docs.select(*key, "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi")
     texts = texts.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), words(F.col("text")).alias("raw"))
     hits = found.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
     hits = staged(hits.select(*found.columns, (F.col("pos") - F.col("item_pos")).alias("shift"), F.slice("raw", F.col("pos") + 1, F.col("length")).alias("doc_raw")), "hits")
