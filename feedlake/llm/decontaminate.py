@@ -44,20 +44,22 @@ def template_word(w: Column) -> Column:
     return F.when((w >= "0") & (w < ":"), F.lit("#number")).when(low.isin(*UNITS), F.lit("#unit")).when(name, F.lit("#name")).otherwise(low)
 
 
-def _window(n: int, exact: bool):
-    """The window of n words that begins at a position: length, exact, pos, h."""
-    hashes = "plain" if exact else "hashes"  # used twice at least, so the optimizer does not copy it into the lambda
-    return lambda i: F.struct(F.lit(n).alias("length"), F.lit(exact).alias("exact"), i.alias("pos"), F.xxhash64(*(F.get(hashes, i + k) for k in range(n))).alias("h"))
+def _hash_from(n: int, hashes: str):
+    return lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(n)))
 
 
 def _windows(rows: DataFrame, keys: list[str], kinds: list[tuple[int, bool]]) -> DataFrame:
-    """rows (keys, hashes, plain) with one row per window of each kind (words, exact): keys, length, exact, pos, h."""
-    starts = lambda n: F.when(F.size("plain") >= n, F.sequence(F.lit(0), F.size("plain") - n)).otherwise(F.array().cast("array<int>"))
-    # Hashes in a projection of their own: the generator then runs in generated code.
+    """rows (keys, hashes, plain) with one row per window of each kind (words, exact): keys, length, exact, pos, h.
+
+    A text's words are used for all kinds at once: first a row for each kind with its windows' hashes as plain numbers, then one
+    for each window. A structure for each window in one array costs twice as much.
+    """
+    starts = lambda n: F.when(F.size("plain") >= n, F.sequence(F.lit(0), F.size("plain") - n))
+    # Hashes are used twice at least, so the optimizer does not copy them into the lambda.
+    every = [F.struct(F.lit(n).alias("length"), F.lit(exact).alias("exact"), F.transform(starts(n), _hash_from(n, "plain" if exact else "hashes")).alias("hs")) for n, exact in kinds]
+    part = rows.select(*keys, F.explode(F.array(*every)).alias("w"))
     # The outer form keeps the optimizer from filtering on a copy of the expression; the join drops its nulls.
-    every = F.concat(*(F.transform(starts(n), _window(n, exact)) for n, exact in kinds))
-    part = rows.withColumn("windows", every).select(*keys, F.explode_outer("windows").alias("w"))
-    return part.select(*keys, "w.*")
+    return part.select(*keys, "w.length", "w.exact", F.posexplode_outer("w.hs").alias("pos", "h"))
 
 
 def _tokens(df: DataFrame, keys: list[Column]) -> DataFrame:
