@@ -63,11 +63,30 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a Python worker holds from one task to the next, one thing only; made anew where another was held."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Frees what kept() holds: Spark gives a worker to any later task, whose memory it would take."""
+    if _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def text_chunks(batches, col: str = "text", max_bytes: int = CHUNK_BYTES):
     """Yields (rows, data, offsets): Arrow rows, their UTF-8 bytes as one uint8 array, and len+1 offsets.
 
     Null texts are empty. A chunk holds whole texts only, so a very long text is a chunk of its own.
     """
+    let_go()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -17,15 +17,17 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, new_path, table
+from .common import batch_rows, kept, new_path, table
 
 MAGIC = b"WMX2"
 HEAD = struct.Struct("<4sBxxxIQ")
@@ -35,7 +37,7 @@ CHUNK = 1 << 16
 #: Tokens after which a task closes a shard and begins another (a longer document fills its own).
 SHARD_TOKENS = 1 << 21
 #: Distinct words whose ids a worker remembers; beyond it only words seen again stay. Results are the same.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 END_ID = 1
 #: Texts in an Arrow batch: a task holds one batch on either side of its Python worker, besides the worker's words.
 BATCH_ROWS = 512
@@ -52,7 +54,7 @@ def pack(ids: np.ndarray, starts: np.ndarray, bits: int) -> bytes:
         chunks = [squeeze.compress(np.packbits(one[lo : lo + CHUNK], bitorder="little").tobytes()) for lo in range(0, len(one), CHUNK)]
         ones = np.cumsum([0, *(int(one[lo : lo + CHUNK].sum()) for lo in range(0, len(one), CHUNK))])[:-1]
         ends = np.cumsum([len(c) for c in chunks], dtype=np.int64)
-        low, high = ids[~one], ids[one]
+        low, high = np.compress(~one, ids), np.compress(one, ids)  # several times faster than ids[one]
         out += [PLANE.pack(len(low), len(chunks), int(ends[-1]) if len(ends) else 0), ones.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *chunks]
         ids = np.concatenate((low, high))
     return b"".join(out)
@@ -100,8 +102,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = np.concatenate([self._chunk(level, c) for c in range(len(self.ends[level]))] or [np.zeros(0, np.uint8)]).view(bool)
             z, up = self.zeros[level], np.empty(self.n, kind)
-            up[~one] = ids[:z]
-            up[one] = ids[z:] | kind(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~one)] = ids[:z]
+            up[np.flatnonzero(one)] = ids[z:] | kind(1 << (self.bits - 1 - level))
             ids = up
         return ids
 
@@ -163,8 +165,29 @@ ASCII_LOWER = bytes(range(10)) + b" " + bytes(range(11, 65)) + bytes(range(97, 1
 #: The one way of splitting and normalising for which pieces may be encoded one by one.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 NORMAL = ["NFC", "Replace", "Lowercase"]
-#: A lone mark between a letter and a blank is a piece of its own.
-COMMA = re.compile(rb"(?<=[a-z])([,.!?])(?= |$)")
+#: A stem of letters that stay single letters in every normal form and case, so that it never joins the marks after it.
+STEM = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(TAIL)}]*)")
+#: Bytes that end such a letter after a byte 0xC3; a-z; and the marks of which a lone one between a letter and a blank is a piece of its own.
+LATIN, SMALL, COMMA = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+SMALL[97:123] = True
+COMMA[[*b",.!?"]] = True
+
+
+def spans(data: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Where the words of data begin, each with the blank after it; data ends with a blank. Where plain is set, a lone mark
+    between a letter and a blank is a word of its own. Cut at blanks and after letters only, so ids stay the same."""
+    blank = data == 32
+    at = np.flatnonzero(COMMA[data] & plain)
+    at = at[at > 0]
+    at = at[blank[at + 1]]
+    before = data[at - 1]
+    at = at[SMALL[before] | (LATIN[before] & (at > 1) & (data[at - 2] == 0xC3))]
+    first = np.zeros(len(data) + 1, bool)
+    first[0] = True
+    first[1:] = blank
+    first[at] = True
+    return np.flatnonzero(first[:-1])
 
 
 class WordEncoder:
@@ -172,8 +195,9 @@ class WordEncoder:
 
     The tokenizer's own pattern never matches across a blank or a line feed, nor across the end of a run
     of letters, and it lower-cases; so the ids of a text are those of its pieces, one after the other.
-    Stems of letters are sent many at a time, with a mark between them that no stem contains. Only stems of
-    ASCII letters are parted from the marks after them: others may change and join a mark when lower-cased.
+    The words of a batch are numbered by Arrow, so that Python sees only distinct ones. Stems of ASCII and Latin-1
+    letters are parted from the marks after them, lower-cased here and given to the tokenizer's model as they are: each
+    is one piece. Other letters may change and join a mark when lower-cased, so words with them go the whole way.
     A tokenizer that splits or normalises in another way gets whole texts.
     """
 
@@ -184,62 +208,82 @@ class WordEncoder:
         self.tok, self.known, self.old = Tokenizer.from_file(path), {}, {}
         self.bits = max(1, (self.tok.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
-        self.mark = self.tok.encode("|", add_special_tokens=False).ids
         how = json.loads(self.tok.to_str())
         normal = [x["type"] for x in (how["normalizer"] or {}).get("normalizers", [])]
-        split = [x.get("pattern", {}).get("Regex") for x in (how["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.pieces = normal == NORMAL and split[:1] == [SPLIT] and how["post_processor"] is None
+        split = (how["pre_tokenizer"] or {}).get("pretokenizers", [])
+        cut = len(split) == 2 and split[0].get("pattern", {}).get("Regex") == SPLIT and [split[1].get(k) for k in ("type", "add_prefix_space", "use_regex")] == ["ByteLevel", False, False]
+        added = any(x["content"].isalpha() for x in how["added_tokens"])
+        self.pieces = normal == NORMAL and cut and how["post_processor"] is None and how["model"]["type"] == "BPE" and not how["model"]["dropout"] and not added
+        self.model, self.code = self.tok.model, self.kind.char
+        # The byte-level alphabet: printable bytes stand for themselves, all others for letters from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
 
     def _each(self, pieces: list[str]) -> None:
         for w, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, self.kind).tobytes()
 
-    def _stems(self, stems: list[str]) -> None:
-        for lo in range(0, len(stems), 2000):
-            part = stems[lo : lo + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" | ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            at = np.flatnonzero(ids == self.mark[0])
-            if len(self.mark) != 1 or len(at) != len(part) - 1:
-                self._each(part)
-                continue
-            for w, a, b in zip(part, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True):
-                self.known[w] = ids[a:b].tobytes()
+    def _stem(self, stem: str) -> bytes:
+        low = stem.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(low)]).tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        whole = {w: w.rstrip(TAIL) for w in new}
-        made = {w: s for w, s in whole.items() if s.isascii() and s.isalpha()}
-        need = {*made.values(), *(w[len(s) :] for w, s in made.items())}.difference(self.known)
-        self._each([w for w in new if w not in made] + [w for w in need if not w.isalpha()])
-        self._stems([w for w in need if w.isalpha()])
-        for w, s in made.items():
-            self.known[w] = self.known[s] + self.known[w[len(s) :]]
+        whole, made = set(), []
+        for w in new:
+            found = STEM.fullmatch(w)
+            if not found:
+                whole.add(w)
+            elif found[2]:
+                made.append((w, *found.groups()))
+            else:
+                self.known[w] = self._stem(w)
+        self._each(list(whole | {t for _, _, t in made if t not in self.known}))
+        for w, stem, tail in made:
+            if stem not in self.known:
+                self.known[stem] = self._stem(stem)
+            self.known[w] = self.known[stem] + self.known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         end = np.array([END_ID], self.kind).tobytes()
         if not self.pieces:
             return [np.array(e.ids, self.kind).tobytes() + end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
         # A special token's text is matched before lower-casing, so such texts keep their case.
-        low = [t if "<|" in t else COMMA.sub(rb" \1", t.encode().translate(ASCII_LOWER)).decode() for t in texts]
-        split = [t.split(" ") for t in low]
-        new = set().union(*split).difference(self.known)
+        special = np.array(["<|" in t for t in texts], bool)
+        low = [t.encode() if own else t.encode().translate(ASCII_LOWER) for t, own in zip(texts, special.tolist(), strict=True)]
+        size = np.array([len(b) + 1 for b in low])
+        low.append(b"")
+        body = b" ".join(low)
+        data = np.frombuffer(body, np.uint8)
+        start = spans(data, np.repeat(~special, size) if special.any() else np.True_)
+        offsets = np.append(start, len(data)).astype("<i8")
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        ids = self._ids(pc.utf8_rtrim(coded.dictionary.cast(pa.large_string()), " ").to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        code = coded.indices.to_numpy()
+        n = count[code]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        made = flat[np.repeat((np.cumsum(count) - count)[code] - ends[:-1], n) + np.arange(ends[-1])]
+        cut = ends[np.searchsorted(start, np.concatenate(([0], np.cumsum(size))))].tolist()
+        return [made[a:b].tobytes() + end for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        ids = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.old, self.known = self.known, {}
-            new = set().union(*split)
-        if self.old:
-            back = {w: self.old[w] for w in new if w in self.old}
-            self.known.update(back)
-            new.difference_update(back)
-        self._learn(new)
-        return [b"".join(map(self.known.__getitem__, s)) + end for s in split]
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+            new, ids = range(len(words)), [b""] * len(words)
+        need = {words[i] for i in new}
+        back = {w: self.old[w] for w in need if w in self.old}
+        self.known.update(back)
+        self._learn(need.difference(back))
+        for i in new:
+            ids[i] = self.known[words[i]]
+        return ids
 
 
 SHARD_SCHEMA = "part int, seq int, n_tokens long, n_docs long, doc_ids binary, nulls binary, image binary"
@@ -253,7 +297,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, shard_tokens: int =
     """
 
     def shards(batches):
-        enc, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, seq = kept(tokenizer, lambda: WordEncoder(tokenizer)), TaskContext.get().partitionId(), 0
         ids, parts, size = [], [], 0
 
         def image():
@@ -265,15 +309,14 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, shard_tokens: int =
 
         kind = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("image", pa.binary())])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256).to_pydict()
-                for doc, own in zip(rows["doc_id"], enc.encode(rows["text"]), strict=True):
-                    ids.append(doc)
-                    parts.append(own)
-                    size += len(own) // enc.kind.itemsize
-                    if size >= shard_tokens:
-                        yield image()
-                        ids, parts, size, seq = [], [], 0, seq + 1
+            rows = batch.to_pydict()
+            for doc, own in zip(rows["doc_id"], enc.encode(rows["text"]), strict=True):
+                ids.append(doc)
+                parts.append(own)
+                size += len(own) // enc.kind.itemsize
+                if size >= shard_tokens:
+                    yield image()
+                    ids, parts, size, seq = [], [], 0, seq + 1
         if ids:
             yield image()
 

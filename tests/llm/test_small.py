@@ -241,6 +241,23 @@ def test_op10_ids_are_the_tokenizers():
         assert np.frombuffer(got, enc.kind).tolist() == [*enc.tok.encode(t, add_special_tokens=False).ids, 1], t
 
 
+def test_op10_stems_with_latin_letters_go_to_the_model(monkeypatch):
+    enc = wavelet.WordEncoder(wavelet.tokenizer_path())
+    whole, each = set(), enc._each
+    monkeypatch.setattr(enc, "_each", lambda words: (whole.update(words), each(words)))
+    texts = ["été, naïve!! Ünïö.", "ÀÖØÞßÿ íà ×a ÷, í.", "<|endoftext|> Été, a,", "", " ", "é"]
+    for t, got in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(got, enc.kind).tolist() == [*enc.tok.encode(t, add_special_tokens=False).ids, 1], t
+    assert not whole & {"été", "été,", "naïve!!", "Ünïö.", "íà", "í."}
+
+
+def test_workers_free_the_encoder_before_other_stages(monkeypatch):
+    monkeypatch.setattr(common, "_KEPT", {})
+    enc = common.kept("encoder", lambda: wavelet.WordEncoder(wavelet.tokenizer_path()))
+    assert common.kept("encoder", list) is enc and list(common._KEPT) == ["encoder"]
+    assert list(common.text_chunks(iter([]))) == [] and not common._KEPT
+
+
 def test_op10_wavelet_matrix(monkeypatch):
     monkeypatch.setattr(wavelet, "CHUNK", 1024)
     ids = np.random.RandomState(2).randint(0, 60_000, 3000)
