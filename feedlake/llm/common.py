@@ -75,10 +75,9 @@ def kept(key, make):
 
 
 def let_go() -> None:
-    """Frees what kept() holds: Spark gives a worker to any later task, whose memory it would take."""
-    if _KEPT:
-        _KEPT.clear()
-        pa.default_memory_pool().release_unused()
+    """Frees what kept() holds, and Arrow's free pages: Spark gives a worker to any later task, whose memory it would take."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def text_chunks(batches, col: str = "text", max_bytes: int = CHUNK_BYTES):
@@ -100,6 +99,7 @@ def text_chunks(batches, col: str = "text", max_bytes: int = CHUNK_BYTES):
             data = np.frombuffer(body, np.uint8, hi - lo, lo) if hi > lo else np.zeros(0, np.uint8)
             yield batch.slice(start, end - start), data, offs[start : end + 1] - lo
             start = end
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, bitmap, cut, free_names, mix64, staged, table, text_chunks, word_hash, words
+from .common import LOWER, U64, batch_rows, bitmap, cut, free_names, mix64, staged, table, text_chunks, word_hash, words
 
 WORDS, PERCENT = 4, 85
 #: Words of a shingle and least similarity where the pipeline looks for near duplicates.
@@ -38,6 +38,8 @@ HOT_LIST = 1 << 20
 BLOCK, LIST_BLOCK = 256, 2048
 #: Memory of the searches' targets up to which they are broadcast to where the texts are; beyond it sets are shuffled to them.
 BROADCAST_BYTES, TARGET_BYTES = 32 << 20, 100
+#: Texts, or sets of shingles, in an Arrow batch: the JVM and its Python worker each hold some at once, outside the heap.
+BATCH_ROWS = 512
 #: DivideSkip's weight of a merged element against a search.
 MU = 0.0085
 #: Bins of a class's histogram, and the count that stands for any larger one.
@@ -314,6 +316,13 @@ def search(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     return rows.mapInArrow(run, "p long, c long")
 
 
+def searched(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The similar pairs as links (a, b), written."""
+    links = search(pairs, docs, classes, k, percent).select(F.col("p").alias("a"), F.col("c").alias("b"))
+    with batch_rows(pairs.sparkSession, BATCH_ROWS):
+        return staged(links, "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, root): the smallest id reachable over links (a, b); one row per id that has a link."""
     edges = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -417,18 +426,19 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot_list: in
     over as a smallest id, and stays null where a class has no other. Repeated rows are rows of one
     class, unless empty. Empty tables give no rows; other columns are not read.
     """
-    rows = staged(measured(docs, rarity(docs, k), k, percent, hot_list), "sets")
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        rows = staged(measured(docs, rarity(docs, k), k, percent, hot_list), "sets")
     classes = rows.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.max("hist").alias("hist"), F.min(F.xxhash64("doc_id", "th")).alias("key"))
     classes = staged(classes, "classes")
     stars = staged(with_pivots(staged(lists_of(rows), "members")), "stars")
     first = stars.filter((F.col("c") != F.col("p")) & _fits(F.col("n"), F.col("np"), percent)).select("p", "c").distinct()
     first = staged(plausible(first, classes, percent), "pairs")
-    links = staged(search(first, docs, classes, k, percent).select(F.col("p").alias("a"), F.col("c").alias("b")), "links")
+    links = searched(first, docs, classes, k, percent)
     roots = components(links)
     more = crossing(stars, roots, classes, percent, list_block)
     more = staged(more.join(first.select(F.least("p", "c").alias("p"), F.greatest("p", "c").alias("c")), ["p", "c"], "left_anti"), "more")
     if not more.isEmpty():
-        again = search(more, docs, classes, k, percent).select(F.col("p").alias("a"), F.col("c").alias("b"))
+        again = searched(more, docs, classes, k, percent)
         roots = components(staged(links.union(again), "links"))
     of = roots.withColumnRenamed("v", "cid").join(classes.select("cid", "least"), "cid")
     of = of.join(of.groupBy("root").agg(F.min("least").alias("first")), "root").select("cid", "root", "first")

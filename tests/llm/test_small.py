@@ -251,6 +251,20 @@ def test_op10_stems_with_latin_letters_go_to_the_model(monkeypatch):
     assert not whole & {"été", "été,", "naïve!!", "Ünïö.", "íà", "í."}
 
 
+def test_op2_batches_of_texts_are_small(spark, monkeypatch):
+    def chunks(batches, own=common.text_chunks, most=similar.BATCH_ROWS):
+        for batch in batches:
+            if batch.num_rows > most:
+                raise ValueError(f"{batch.num_rows} texts at once")
+            yield from own([batch])
+
+    monkeypatch.setattr(similar, "text_chunks", chunks)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = similar.linked(docs_of(spark, [(i, f"a b c d e f {i // 2}") for i in range(1400)], parts=1))
+    assert found.select("component_id").distinct().count() == 700
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_workers_free_the_encoder_before_other_stages(monkeypatch):
     monkeypatch.setattr(common, "_KEPT", {})
     enc = common.kept("encoder", lambda: wavelet.WordEncoder(wavelet.tokenizer_path()))
