@@ -1,12 +1,15 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 Texts are tokenised once: a chunk of texts of one language becomes a row of word numbers and the chunk's distinct words,
-in which a phrase's occurrence is a pointer (chunk, position). Prefix polynomials over the words' hashes then give the
-fingerprint of every n-gram. One length after the other, fingerprints are counted: in a task first, then by a shuffle of
-two numbers a row, and only where both n-grams of one word less were frequent. Counts by fingerprint are never too
-small, so what is rare by them is rare. The rest is verified against the text: each task follows the pointers of the
-frequent fingerprints to the words, and the shuffle that follows counts the phrases themselves, so that phrases that
-share a fingerprint are told apart. Only frequent phrases are ever materialised.
+in which a phrase's occurrence is a pointer (chunk, position). Words are counted by fingerprint: in a task first, then by
+a shuffle of two numbers a row. Counts by fingerprint are never too small, so what is rare by them is rare. The rest is
+verified against the text: each task follows the pointers of the frequent fingerprints to the words, and the shuffle that
+follows counts the words themselves. The frequent words then have numbers, which a task gives to its own by their bytes.
+
+Prefix polynomials over these numbers' hashes give the fingerprint of every n-gram. One length after the other, n-grams are
+counted where both n-grams of one word less were frequent by their fingerprints. A task sums them up by fingerprint and
+compares the word numbers of those that share one, and sends on the numbers, so that the shuffle counts the phrases
+themselves and none has to be read again. Only frequent phrases are ever spelled out.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +27,7 @@ from .common import LOWER, MOST_BITS, PARTS, U64, Bits, batch_rows, inverse_powe
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Distinct fingerprints or phrases that a task sums up before it sends them on. Results are the same.
 HELD_PRINTS, HELD_PHRASES = 1 << 20, 1 << 19
-#: A chunk's end of a piece of text, among its word numbers.
+#: A chunk's end of a piece of text, among its word numbers; also a word that is not frequent.
 STOP = -1
 
 #: What a byte is: 0 of a word, 1 blank, 2 the end of a piece.
@@ -103,19 +107,33 @@ class Frequent:
         return self.maps[0].has(h) & self.maps[1].has((h.astype(U64) >> U64(32)).astype(np.int64))
 
 
+def _hashes(words: pa.BinaryArray) -> np.ndarray:
+    if not len(words):
+        return np.zeros(0, U64)
+    ends = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    body = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return word_hash(body, ends[:-1] - ends[0], ends[1:] - ends[0])
+
+
 class Chunk:
     """A chunk's word numbers and fingerprints. live[n]: the n-gram at a position lies in one piece."""
 
     def __init__(self, lang: str, ids: pa.Scalar, words: pa.BinaryArray):
         self.lang, self.words = lang, words
         self.ids = np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64)
-        hashes = np.zeros(0, U64)
-        if len(words):
-            ends = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1].astype(np.int64)
-            body = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-            hashes = word_hash(body, ends[:-1] - ends[0], ends[1:] - ends[0])
-        self.hash = np.append(hashes, U64(0))[self.ids]
+        self.hash = np.append(_hashes(words), U64(0))[self.ids]
         self.salt = mix64(word_hash(b := np.frombuffer(self.lang.encode(), np.uint8), np.array([0]), np.array([len(b)])))
+        self._roll()
+
+    def numbered(self, numbers: np.ndarray) -> Chunk:
+        """From now on words are what these numbers say, and those without one (STOP) are in no n-gram."""
+        self.ids = np.append(numbers, STOP)[self.ids]
+        self.hash = _number_hash(self.ids)
+        self.salt = np.zeros(1, U64)
+        self._roll()
+        return self
+
+    def _roll(self):
         self.prefix = np.zeros(len(self.ids) + 1, U64)
         np.cumsum(self.hash * powers(len(self.ids)), out=self.prefix[1:])
         self.stops = np.concatenate(([0], np.cumsum(self.ids == STOP)))
@@ -139,6 +157,40 @@ class Chunk:
         return at[keep], h[keep]
 
 
+def _number_hash(ids: np.ndarray) -> np.ndarray:
+    return mix64((ids + 1).astype(U64))
+
+
+class Vocabulary:
+    """The frequent words of all languages, numbered from the most frequent: lang, phrase, n. They go to every task."""
+
+    def __init__(self, words: DataFrame):
+        t = words.select("lang", "phrase", "n").toArrow().combine_chunks().sort_by([("n", "descending"), ("lang", "ascending"), ("phrase", "ascending")])
+        one = lambda c, kind: pa.concat_arrays([pa.array([], kind), *t.column(c).cast(kind).chunks])
+        self.langs, self.words = one("lang", pa.string()).dictionary_encode(), one("phrase", pa.binary())
+        h, lang = _hashes(self.words), self.langs.indices.to_numpy()
+        order = np.lexsort((h, lang))
+        edge = np.searchsorted(lang[order], np.arange(len(self.langs.dictionary) + 1))
+        self.of = {name: (h[order[a:b]], order[a:b]) for name, a, b in zip(self.langs.dictionary.to_pylist(), edge[:-1], edge[1:], strict=True)}
+
+    def numbers(self, lang: str, words: pa.BinaryArray) -> np.ndarray:
+        """The words' numbers, STOP where they have none. Hashes find them and bytes decide."""
+        out = np.full(len(words), STOP, np.int64)
+        if lang not in self.of:
+            return out
+        h, number = self.of[lang]
+        own = _hashes(words)
+        place = np.searchsorted(h, own)
+        left = np.arange(len(words))
+        while len(left := left[place[left] < len(h)]) and len(left := left[h[place[left]] == own[left]]):
+            found = number[place[left]]
+            same = pc.equal(words.take(pa.array(left)), self.words.take(pa.array(found))).to_numpy(zero_copy_only=False)
+            out[left[same]] = found[same]
+            left = left[~same]
+            place[left] += 1
+        return out
+
+
 def opened(batch: pa.RecordBatch):
     """The chunks of a batch of (lang, ids, words)."""
     for i in range(batch.num_rows):
@@ -178,6 +230,97 @@ def _sent(h: np.ndarray, k: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + (1 << 16)]), pa.array(k[lo : lo + (1 << 16)], pa.int64())], names=["h", "n"])
 
 
+def _keys(ids: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """The word numbers of the n-grams at these positions, two in an integer."""
+    low = lambda j: ids[at + j] if j < n else 0
+    return [ids[at + j] << 32 | low(j + 1) for j in range(0, n, 2)]
+
+
+def _key_prints(keys: list[np.ndarray], n: int) -> np.ndarray:
+    """What Chunk.prints gives for n-grams of these numbers."""
+    h = np.zeros(len(keys[0]), U64)
+    for j in range(n):
+        h += _number_hash(keys[j // 2] >> 32 if j % 2 == 0 else keys[j // 2] & 0xFFFFFFFF) * powers(n)[j]
+    return mix64(h + U64(n)).astype(np.int64)
+
+
+def _summed(h: np.ndarray, keys: list[np.ndarray], weight: np.ndarray):
+    """Fingerprints, keys and summed weights of the distinct keys. n-grams that share a fingerprint are told apart."""
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    if any((k != k[first][number]).any() for k in keys):
+        _, first, number = np.unique(np.stack(keys, 1), axis=0, return_index=True, return_inverse=True)
+        number = number.ravel()
+    return h[first], [k[first] for k in keys], np.bincount(number, weight, len(first)).astype(np.int64)
+
+
+def _key_names(n: int) -> list[str]:
+    return [f"k{j}" for j in range((n + 1) // 2)]
+
+
+def _counted_keys(cut: DataFrame, n: int, vocabulary, frequent) -> DataFrame:
+    """n-grams of frequent words as keys, with their counts by task: k0 and so on, n. Exact."""
+    names = _key_names(n)
+    most = HELD_PRINTS // len(names)
+
+    def count(batches):
+        held, size = [], 0
+
+        def summed():
+            parts = list(zip(*((h, *keys, k) for h, keys, k in held), strict=True))
+            h, *keys, k = (np.concatenate(x) for x in parts)
+            return _summed(h, keys, k)
+
+        def sent(keys, k):
+            for lo in range(0, len(k), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (*keys, k)], names=[*names, "n"])
+
+        for batch in batches:
+            for c in opened(batch):
+                at, h = c.numbered(vocabulary.value.numbers(c.lang, c.words)).wanted(n, frequent and frequent.value)
+                keys = _keys(c.ids, at, n)
+                if len(keys) == 1:  # its own fingerprint
+                    h, k = np.unique(keys[0], return_counts=True)
+                    held.append((h, [h], k))
+                else:
+                    held.append(_summed(h, keys, np.ones(len(h))))
+                size += len(held[-1][0])
+                if size >= 2 * most:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size >= most:
+                        yield from sent(*held[0][1:])
+                        held, size = [], 0
+        if size:
+            yield from sent(*summed()[1:])
+
+    return cut.select("lang", "ids", "words").mapInArrow(count, ", ".join(f"{x} long" for x in [*names, "n"]))
+
+
+def _prints_of(keys: DataFrame, n: int) -> DataFrame:
+    """h: the keys' fingerprints."""
+
+    def prints(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_key_prints([x.to_numpy() for x in b.columns], n))], names=["h"])
+
+    return keys.select(*_key_names(n)).mapInArrow(prints, "h long")
+
+
+def _spelled(keys: DataFrame, n: int, vocabulary) -> DataFrame:
+    """keys with their counts as lang, words, phrase, n."""
+
+    def spell(batches):
+        v = vocabulary.value
+        for b in batches:
+            ids = [(k >> 32, k & 0xFFFFFFFF) for k in (x.to_numpy() for x in b.columns[:-1])]
+            ids = [pa.array(x) for pair in ids for x in pair][:n]
+            phrase = pc.binary_join_element_wise(*(v.words.take(x) for x in ids), pa.scalar(b" ", pa.binary()))
+            lang = v.langs.take(ids[0]).dictionary_decode()
+            yield pa.RecordBatch.from_arrays([lang, pa.array([n] * len(lang), pa.int32()), phrase, b.columns[-1]], names=["lang", "words", "phrase", "n"])
+
+    return keys.select(*_key_names(n), "n").mapInArrow(spell, "lang string, words int, phrase binary, n long")
+
+
 def _verified(cut: DataFrame, frequent: list) -> DataFrame:
     """lang, phrase, words, n by task: the phrases whose fingerprints may be frequent, read where their pointers point."""
     kind = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
@@ -226,14 +369,23 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     cut = staged(chunks(rows), "chunks")
-    frequent = []
+    share = spark.sparkContext.broadcast
+    with batch_rows(spark, 4):
+        counts = _counted(cut, 1, None).groupBy("h").agg(F.sum("n").alias("n"))
+        keys = staged(counts.filter(F.col("n") >= least).select("h"), "prints")
+    may = share(Frequent(keys))  # 64 MB at most
     with batch_rows(spark, 4):
-        for n in range(1, longest + 1):
-            counts = _counted(cut, n, frequent[-1] if frequent else None).groupBy("h").agg(F.sum("n").alias("n"))
-            keys = staged(counts.filter(F.col("n") >= least).select("h"), "prints")
-            frequent.append(spark.sparkContext.broadcast(Frequent(keys)))  # 64 MB at most
-        seen = _verified(cut, frequent).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-        found = staged(seen.filter(F.col("n") >= least).withColumn("phrase", F.col("phrase").cast("string")), "phrases")
+        seen = _verified(cut, [may]).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+        words = staged(seen.filter(F.col("n") >= least), "words")
+    vocabulary, frequent, found = share(Vocabulary(words)), None, words
+    for n in range(2, longest + 1):
+        with batch_rows(spark, 4):
+            counts = _counted_keys(cut, n, vocabulary, frequent).groupBy(*_key_names(n)).agg(F.sum("n").alias("n"))
+            keys = staged(counts.filter(F.col("n") >= least), "prints")
+        found = found.unionByName(_spelled(keys, n, vocabulary))
+        if n < longest:
+            frequent = share(Frequent(_prints_of(keys, n)))
+    found = staged(found.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     return found, cut.groupBy("lang").agg(F.sum("n_words").alias("n"))
 
 

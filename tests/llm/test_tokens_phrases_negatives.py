@@ -8,6 +8,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,29 @@ def test_phrases_that_share_a_fingerprint(spark, monkeypatch):
     assert counts["en", "a b"] == 27 and counts["en", "a b c"] == 9 and counts["de", "c a d"] == 8 and counts["en", "c a b"] == 9
 
 
+def test_only_words_are_read_again(spark, monkeypatch):
+    """The verifying pass sends words, no phrases: its rows don't grow with the phrases that pass the bound."""
+    real, sent = phrases._verified, []
+    monkeypatch.setattr(phrases, "_verified", lambda *a: sent.append(real(*a)) or sent[-1])
+    df = spark.createDataFrame([("en", "a b c d e. a b")] * 30, "lang string, text string").repartition(3)
+    found, _ = phrases.phrase_counts(df, 7, 5)
+    assert {(r.phrase, r.n) for r in found.filter("words > 3").collect()} == {("a b c d", 30), ("b c d e", 30), ("a b c d e", 30)}
+    assert [r.words for r in sent[0].select("words").distinct().collect()] == [1] and len(sent) == 1
+
+
+def test_phrases_of_one_print_in_a_task():
+    keys = [np.array([1, 2, 1, 3]), np.array([5, 5, 5, 5])]
+    _, (a, b), n = phrases._summed(np.array([7, 7, 7, 8]), keys, np.ones(4))
+    assert sorted(zip(a.tolist(), b.tolist(), n.tolist(), strict=True)) == [(1, 5, 2), (2, 5, 1), (3, 5, 1)]
+
+
+def test_words_of_one_hash_have_their_own_numbers(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "_hashes", lambda words: np.zeros(len(words), phrases.U64))
+    v = phrases.Vocabulary(spark.createDataFrame([("en", b"b", 9), ("en", b"a", 8), ("de", b"a", 7)], "lang string, phrase binary, n long"))
+    assert v.numbers("en", pa.array([b"a", b"c", b"b"], pa.binary())).tolist() == [1, -1, 0]
+    assert v.numbers("de", pa.array([b"b", b"a"], pa.binary())).tolist() == [-1, 2] and v.numbers("fr", pa.array([b"a"], pa.binary())).tolist() == [-1]
+
+
 def test_scores_beyond_64_bits(spark, monkeypatch):
     big = 3 * 10**12
     schema = "lang string, words int, phrase string, n long"
