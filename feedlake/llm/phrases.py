@@ -1,32 +1,30 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 Texts are tokenised once: a chunk of texts of one language becomes a row of word numbers and the chunk's distinct words,
-in which a phrase's occurrence is a pointer (chunk, position). Words are counted by fingerprint: in a task first, then by
-a shuffle of two numbers a row. Counts by fingerprint are never too small, so what is rare by them is rare. The rest is
-verified against the text: each task follows the pointers of the frequent fingerprints to the words, and the shuffle that
-follows counts the words themselves. The frequent words then have numbers, which a task gives to its own by their bytes.
+in which a phrase's occurrence is a pointer (chunk, position). Words are counted by their bytes: a task sends a row for each
+distinct word that it holds, so that rows grow with the text, whatever is frequent in it. The frequent words then have
+numbers, which a task gives to its own by their bytes.
 
 Prefix polynomials over these numbers' hashes give the fingerprint of every n-gram. One length after the other, n-grams are
-counted where both n-grams of one word less were frequent by their fingerprints. A task sums them up by fingerprint and
-compares the word numbers of those that share one, and sends on the numbers, so that the shuffle counts the phrases
-themselves and none has to be read again. Only frequent phrases are ever spelled out.
+counted where both n-grams of one word less were frequent by their fingerprints: counts by fingerprint are never too small,
+so what is rare by them is rare. A task sums them up by fingerprint and compares the word numbers of those that share one,
+and sends on the numbers, so that the shuffle counts the phrases themselves and none has to be read again. Only frequent
+phrases are ever spelled out.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, MOST_BITS, PARTS, U64, Bits, batch_rows, inverse_powers, mix64, powers, staged, table, text_chunks, word_hash
+from .common import LOWER, MOST_BITS, PARTS, U64, Bits, batch_rows, inverse_powers, let_go, mix64, powers, staged, table, text_chunks, word_hash
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Distinct fingerprints or phrases that a task sums up before it sends them on. Results are the same.
-HELD_PRINTS, HELD_PHRASES = 1 << 20, 1 << 19
+#: Distinct fingerprints or phrases, and bytes of phrases, that a task sums up before it sends them on. Results are the same.
+HELD_PRINTS, HELD_PHRASES, HELD_BYTES = 1 << 20, 1 << 19, 32 << 20
 #: A chunk's end of a piece of text, among its word numbers; also a word that is not frequent.
 STOP = -1
 
@@ -197,39 +195,6 @@ def opened(batch: pa.RecordBatch):
         yield Chunk(batch.column(0)[i].as_py(), batch.column(1)[i], batch.column(2)[i].values)
 
 
-def _counted(cut: DataFrame, n: int, frequent) -> DataFrame:
-    """Fingerprints of n-grams with their counts by task: h, n."""
-
-    def count(batches):
-        held, weight, size = [], [], 0
-
-        def summed():
-            h, back = np.unique(np.concatenate(held), return_inverse=True)
-            return h, np.bincount(back, np.concatenate(weight)).astype(np.int64)
-
-        for batch in batches:
-            for c in opened(batch):
-                h, k = np.unique(c.wanted(n, frequent and frequent.value)[1], return_counts=True)
-                held.append(h)
-                weight.append(k)
-                size += len(h)
-                if size >= 2 * HELD_PRINTS:
-                    h, k = summed()
-                    held, weight, size = [h], [k], len(h)
-                    if size >= HELD_PRINTS:
-                        yield from _sent(h, k)
-                        held, weight, size = [], [], 0
-        if size:
-            yield from _sent(*summed())
-
-    return cut.select("lang", "ids", "words").mapInArrow(count, "h long, n long")
-
-
-def _sent(h: np.ndarray, k: np.ndarray):
-    for lo in range(0, len(h), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + (1 << 16)]), pa.array(k[lo : lo + (1 << 16)], pa.int64())], names=["h", "n"])
-
-
 def _keys(ids: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     """The word numbers of the n-grams at these positions, two in an integer."""
     low = lambda j: ids[at + j] if j < n else 0
@@ -321,44 +286,58 @@ def _spelled(keys: DataFrame, n: int, vocabulary) -> DataFrame:
     return keys.select(*_key_names(n), "n").mapInArrow(spell, "lang string, words int, phrase binary, n long")
 
 
+def _same_phrases(phrases: list[pa.Array], weight: list[np.ndarray]):
+    """The distinct ones of these phrases, compared as bytes, and their summed weights."""
+    coded = pa.concat_arrays(phrases).dictionary_encode()
+    return coded.dictionary, np.bincount(coded.indices.to_numpy(), np.concatenate(weight), len(coded.dictionary)).astype(np.int64)
+
+
 def _verified(cut: DataFrame, frequent: list) -> DataFrame:
-    """lang, phrase, words, n by task: the phrases whose fingerprints may be frequent, read where their pointers point."""
+    """lang, phrase, words, n by task: the phrases whose fingerprints may be frequent (None: all), read where their pointers point."""
     kind = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
 
     def read(batches):
-        held: dict[tuple, dict[bytes, int]] = {}
+        let_go()
+        held: dict[tuple, tuple[list, list]] = {}
+
+        def summed():
+            for key, parts in held.items():
+                phrases, weight = _same_phrases(*parts)
+                held[key] = [phrases], [weight]
+            return large(1)
+
+        def large(times: int):
+            parts = [p for phrases, _ in held.values() for p in phrases]
+            return sum(map(len, parts)) >= times * HELD_PHRASES or sum(p.nbytes for p in parts) >= times * HELD_BYTES
 
         def sent():
-            for (lang, n), found in held.items():
-                for part in itertools.batched(found.items(), 1 << 14):
-                    phrases, counts = zip(*part, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([n] * len(part), pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], schema=kind)
+            for (lang, n), ((phrases,), (weight,)) in held.items():
+                for lo in range(0, len(phrases), 1 << 14):
+                    part = phrases[lo : lo + (1 << 14)].cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([n] * len(part), pa.int32()), part, pa.array(weight[lo : lo + (1 << 14)])], schema=kind)
+            held.clear()
 
         for batch in batches:
             for c in opened(batch):
-                same, text = np.full(len(c.ids) + 1, -1), {}  # numbers of equal n-grams of one word less, exact
+                words = c.words.cast(pa.large_binary())
                 for n, may in enumerate(frequent, 1):
                     at, h = c.prints(n)
-                    at = at[may.value.has(h)]
-                    if n > 1:
-                        at = at[(same[at] >= 0) & (same[at + 1] >= 0)]
-                        # an n-gram is the one of one word less with which it begins, and its last word
-                        keys = same[at] * len(c.words) + c.ids[at + n - 1]
-                    else:
-                        keys = c.ids[at]
-                    _, first, number, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-                    same = np.full(len(c.ids) + 1, -1)
-                    same[at] = number
+                    if may is not None:
+                        at = at[may.value.has(h)]
                     if n == 1:
-                        text = dict(zip(keys[first].tolist(), c.words.take(pa.array(keys[first])).to_pylist(), strict=True))
-                    own = held.setdefault((c.lang, n), {})
-                    for pointer, k in zip(at[first].tolist(), counts.tolist(), strict=True):
-                        phrase = b" ".join([text[i] for i in c.ids[pointer : pointer + n].tolist()])
-                        own[phrase] = own.get(phrase, 0) + k
-                if sum(map(len, held.values())) >= HELD_PHRASES:
+                        k = np.bincount(c.ids[at], minlength=len(words))
+                        phrases, weight = words.filter(pa.array(k > 0)), k[k > 0]
+                    else:
+                        of = [words.take(pa.array(c.ids[at + j])) for j in range(n)]
+                        phrases, weight = _same_phrases([pc.binary_join_element_wise(*of, pa.scalar(b" ", pa.large_binary()))], [np.ones(len(at))])
+                    parts = held.setdefault((c.lang, n), ([], []))
+                    parts[0].append(phrases)
+                    parts[1].append(weight)
+                if large(2) and summed():
                     yield from sent()
-                    held = {}
+        summed()
         yield from sent()
+        let_go()
 
     return cut.select("lang", "ids", "words").mapInArrow(read, "lang string, words int, phrase binary, n long")
 
@@ -371,12 +350,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     cut = staged(chunks(rows), "chunks")
     share = spark.sparkContext.broadcast
     with batch_rows(spark, 4):
-        counts = _counted(cut, 1, None).groupBy("h").agg(F.sum("n").alias("n"))
-        keys = staged(counts.filter(F.col("n") >= least).select("h"), "prints")
-    may = share(Frequent(keys))  # 64 MB at most
-    with batch_rows(spark, 4):
-        seen = _verified(cut, [may]).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-        words = staged(seen.filter(F.col("n") >= least), "words")
+        seen = _verified(cut, [None]).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        words = staged(seen.filter(F.col("n") >= least).select("lang", F.lit(1).alias("words"), "phrase", "n"), "words")
     vocabulary, frequent, found = share(Vocabulary(words)), None, words
     for n in range(2, longest + 1):
         with batch_rows(spark, 4):
@@ -384,7 +359,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
             keys = staged(counts.filter(F.col("n") >= least), "prints")
         found = found.unionByName(_spelled(keys, n, vocabulary))
         if n < longest:
-            frequent = share(Frequent(_prints_of(keys, n)))
+            frequent = share(Frequent(_prints_of(keys, n)))  # 64 MB at most
     found = staged(found.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     return found, cut.groupBy("lang").agg(F.sum("n_words").alias("n"))
 

@@ -170,6 +170,21 @@ def test_only_words_are_read_again(spark, monkeypatch):
     assert [r.words for r in sent[0].select("words").distinct().collect()] == [1] and len(sent) == 1
 
 
+@pytest.mark.parametrize("held", [1 << 25, 20])
+def test_rows_of_words_follow_the_text(spark, monkeypatch, held):
+    """A task sends each of its distinct words, so words that get frequent in a larger text add no rows of their own."""
+    monkeypatch.setattr(phrases, "HELD_BYTES", held)
+    real, sent = phrases._verified, []
+    monkeypatch.setattr(phrases, "_verified", lambda *a: sent.append(real(*a)) or sent[-1])
+    text = ", ".join(f"w{i}" for i in range(60))
+    for times in (1, 5):
+        df = spark.createDataFrame([("en", text)] * times, "lang string, text string").repartition(times)
+        found, _ = phrases.phrase_counts(df, 3, 2)
+        assert sorted((r.phrase, r.n) for r in found.collect()) == sorted((f"w{i}", 5) for i in range(60) if times == 5)
+    few, many = (x.count() for x in sent)
+    assert 0 < many <= 5 * few
+
+
 def test_phrases_of_one_print_in_a_task():
     keys = [np.array([1, 2, 1, 3]), np.array([5, 5, 5, 5])]
     _, (a, b), n = phrases._summed(np.array([7, 7, 7, 8]), keys, np.ones(4))
