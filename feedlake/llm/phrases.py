@@ -7,7 +7,8 @@ numbers, which a task gives to its own by their bytes.
 
 Prefix polynomials over these numbers' hashes give the fingerprint of every n-gram. One length after the other, n-grams are
 counted where both n-grams of one word less were frequent by their fingerprints: counts by fingerprint are never too small,
-so what is rare by them is rare. A task sums them up by fingerprint and compares the word numbers of those that share one,
+so what is rare by them is rare. From three words on, a sketch of fixed size first counts fingerprints in buckets, and n-grams of
+a bucket that holds too few are not sent at all. A task sums the others up by fingerprint and compares the word numbers of those that share one,
 and sends on the numbers, so that the shuffle counts the phrases themselves and none has to be read again. Only frequent
 phrases are ever spelled out.
 """
@@ -20,11 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, MOST_BITS, PARTS, U64, Bits, batch_rows, inverse_powers, let_go, mix64, powers, staged, table, text_chunks, word_hash
+from .common import LOWER, MOST_BITS, PARTS, U64, Bits, batch_rows, binaries, inverse_powers, let_go, mix64, powers, staged, table, text_chunks, word_hash
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Distinct fingerprints or phrases, and bytes of phrases, that a task sums up before it sends them on. Results are the same.
 HELD_PRINTS, HELD_PHRASES, HELD_BYTES = 1 << 20, 1 << 19, 32 << 20
+#: Bits of a bucket's number within its part of the sketch.
+PART_BITS = 16
 #: A chunk's end of a piece of text, among its word numbers; also a word that is not frequent.
 STOP = -1
 
@@ -143,9 +146,12 @@ class Chunk:
         h = (self.prefix[at + n] - self.prefix[at]) * inverse_powers(len(self.prefix))[at]
         return at, mix64(h + self.salt + U64(n)).astype(np.int64)
 
-    def wanted(self, n: int, frequent: Frequent | None):
-        """The n-grams of which both n-grams of one word less may be frequent."""
+    def wanted(self, n: int, frequent: Frequent | None, crowded: Bits | None = None):
+        """The n-grams of which both n-grams of one word less may be frequent, in crowded buckets."""
         at, h = self.prints(n)
+        if crowded is not None:
+            keep = crowded.has(h)
+            at, h = at[keep], h[keep]
         if frequent is None or not len(at):
             return at, h
         less, print_of = self.prints(n - 1)
@@ -195,6 +201,54 @@ def opened(batch: pa.RecordBatch):
         yield Chunk(batch.column(0)[i].as_py(), batch.column(1)[i], batch.column(2)[i].values)
 
 
+def _crowded(cut: DataFrame, n: int, vocabulary, frequent, least: int, power: int) -> Bits:
+    """The buckets, by low bits of fingerprints, whose n-grams together occur at least so often: what is frequent lies in one.
+
+    A task sends its buckets with their counts, up to least, in parts of 2**PART_BITS buckets; the driver gets a bit of each."""
+    kind = np.min_scalar_type(least)
+
+    def sketch(batches):
+        held, size = [], 0
+
+        def summed():
+            b, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return b, np.minimum(np.bincount(back, np.concatenate([k for _, k in held]), len(b)), least).astype(kind)
+
+        def sent(b, k):
+            part = b >> PART_BITS
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(b)]))
+            at = (b & ((1 << PART_BITS) - 1)).astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]], pa.int32()), binaries(at, edge * at.itemsize), binaries(k, edge * k.itemsize)], names=["part", "at", "n"])
+
+        for batch in batches:
+            for c in opened(batch):
+                h = c.numbered(vocabulary.value.numbers(c.lang, c.words)).wanted(n, frequent.value)[1]
+                held.append(np.unique(h & ((1 << power) - 1), return_counts=True))
+                size += len(held[-1][0])
+                if size >= 2 * HELD_PRINTS:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size >= HELD_PRINTS:
+                        yield from sent(*held[0])
+                        held, size = [], 0
+        if size:
+            yield from sent(*summed())
+
+    def fill(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, at, k in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                held.setdefault(part, np.zeros(1 << PART_BITS, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(k, kind)
+        for part, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(counts >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    out, per = Bits(power), (1 << PART_BITS) // 8
+    parts = cut.select("lang", "ids", "words").mapInArrow(sketch, "part int, at binary, n binary").repartition("part")
+    for r in parts.mapInArrow(fill, "part int, bits binary").collect():  # 2 ** (power - PART_BITS) rows, 32 MB at most
+        out.bits[r["part"] * per : (r["part"] + 1) * per] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
 def _keys(ids: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     """The word numbers of the n-grams at these positions, two in an integer."""
     low = lambda j: ids[at + j] if j < n else 0
@@ -222,8 +276,8 @@ def _key_names(n: int) -> list[str]:
     return [f"k{j}" for j in range((n + 1) // 2)]
 
 
-def _counted_keys(cut: DataFrame, n: int, vocabulary, frequent) -> DataFrame:
-    """n-grams of frequent words as keys, with their counts by task: k0 and so on, n. Exact."""
+def _counted_keys(cut: DataFrame, n: int, vocabulary, frequent, crowded=None) -> DataFrame:
+    """n-grams of frequent words, in crowded buckets, as keys with their counts by task: k0 and so on, n. Exact."""
     names = _key_names(n)
     most = HELD_PRINTS // len(names)
 
@@ -241,7 +295,7 @@ def _counted_keys(cut: DataFrame, n: int, vocabulary, frequent) -> DataFrame:
 
         for batch in batches:
             for c in opened(batch):
-                at, h = c.numbered(vocabulary.value.numbers(c.lang, c.words)).wanted(n, frequent and frequent.value)
+                at, h = c.numbered(vocabulary.value.numbers(c.lang, c.words)).wanted(n, frequent and frequent.value, crowded and crowded.value)
                 keys = _keys(c.ids, at, n)
                 if len(keys) == 1:  # its own fingerprint
                     h, k = np.unique(keys[0], return_counts=True)
@@ -352,10 +406,14 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     with batch_rows(spark, 4):
         seen = _verified(cut, [None]).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
         words = staged(seen.filter(F.col("n") >= least).select("lang", F.lit(1).alias("words"), "phrase", "n"), "words")
-    vocabulary, frequent, found = share(Vocabulary(words)), None, words
+    vocabulary, frequent, crowded, found = share(Vocabulary(words)), None, None, words
+    n_words = cut.agg(F.sum("n_words")).first()[0] or 0
+    power = min(MOST_BITS, max(PART_BITS, (8 * n_words // least).bit_length()))  # a bucket holds an eighth of least or fewer on average, below 2**MOST_BITS of them
     for n in range(2, longest + 1):
         with batch_rows(spark, 4):
-            counts = _counted_keys(cut, n, vocabulary, frequent).groupBy(*_key_names(n)).agg(F.sum("n").alias("n"))
+            if frequent:
+                crowded = share(_crowded(cut, n, vocabulary, frequent, least, power))
+            counts = _counted_keys(cut, n, vocabulary, frequent, crowded).groupBy(*_key_names(n)).agg(F.sum("n").alias("n"))
             keys = staged(counts.filter(F.col("n") >= least), "prints")
         found = found.unionByName(_spelled(keys, n, vocabulary))
         if n < longest:

@@ -185,6 +185,31 @@ def test_rows_of_words_follow_the_text(spark, monkeypatch, held):
     assert 0 < many <= 5 * few
 
 
+def test_rare_phrases_of_frequent_parts_are_not_sent(spark, monkeypatch):
+    """Pairs of 12 words are frequent, most of their triples are not: these stay in their tasks."""
+    real, sent = phrases._counted_keys, {}
+    monkeypatch.setattr(phrases, "_counted_keys", lambda cut, n, *a: sent.setdefault(n, real(cut, n, *a)))
+    rnd = random.Random(4)
+    rows = [("en", "one two three. " + " ".join(rnd.choice("abcdefghijkl") for _ in range(900))) for _ in range(10)]
+    found, _ = phrases.phrase_counts(spark.createDataFrame(rows, "lang string, text string").repartition(2), 10, 3)
+    counts = Counter(tuple(ws[i : i + n]) for _, t in rows for piece in t.split(".") for ws in [piece.split()] for n in (1, 2, 3) for i in range(len(ws) - n + 1))
+    assert {r.phrase: r.n for r in found.collect()} == {" ".join(k): a for k, a in counts.items() if a >= 10}
+    kept = sum(len(k) == 3 and a >= 10 for k, a in counts.items())
+    assert sum(len(k) == 3 for k in counts) > 1000 and kept <= sent[3].count() < 2 * kept + 100
+
+
+@pytest.mark.parametrize("held", [1 << 20, 3])
+def test_phrases_of_few_prints(spark, monkeypatch, held):
+    """With eight fingerprints in all, so that buckets hold many phrases each, results are those of brute force."""
+    real = phrases.mix64
+    monkeypatch.setattr(phrases, "mix64", lambda h: real(h) & phrases.U64(7) | phrases.U64(1 << 17))
+    monkeypatch.setattr(phrases, "HELD_PRINTS", held)
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["en", "de"]), " ".join(rnd.choice(["a", "b", "c", "d.", "e"]) for _ in range(40))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert sorted(tuple(r) for r in phrases.collocations(df, 12, 4, 50).collect()) == slow_phrases(rows, 12, 4, 50)
+
+
 def test_phrases_of_one_print_in_a_task():
     keys = [np.array([1, 2, 1, 3]), np.array([5, 5, 5, 5])]
     _, (a, b), n = phrases._summed(np.array([7, 7, 7, 8]), keys, np.ones(4))
