@@ -76,3 +76,36 @@ def test_vector_index_recall_against_the_exact_search(spark, sf, monkeypatch):
     empty = new_path(spark, "vectors")
     vectorindex.build(rows.filter("vec_id = 9001"), empty)
     assert vectorindex.search(rows.limit(5), empty).count() == 0
+
+
+def test_vector_index_reads_its_vectors_once_and_ranks_copies_by_id(spark, monkeypatch):
+    """The given vectors pass through the index's build once, and a search of all cells is the exact one, ties included."""
+    import numpy as np
+
+    from feedlake.operators import vectorindex
+
+    monkeypatch.setattr(vectorindex, "BLOCK", 16)
+    monkeypatch.setattr(vectorindex, "ASKED", 8)
+    rng = np.random.default_rng(5)
+    v = rng.integers(-3, 4, size=(400, 6)).astype(float)
+    v[100:250] = v[7]  # copies, in several blocks of a cell
+    v[300] = 0
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    root = new_path(spark, "vectors")
+    vectorindex.build(rows.mapInArrow(counted, rows.schema), root, cells=4)
+    assert passed.value == 400
+    found = vectorindex.search(rows.filter("vec_id % 10 = 0"), root, 5, probes=4).collect()
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1)
+    score = np.round(u @ u.T, 10)
+    want = []
+    for q in range(0, 400, 10):
+        best = sorted((-score[q, c], c) for c in range(400) if c not in (q, 300))[:5]
+        want += [(q, place, c) for place, (_, c) in enumerate(best, 1) if q != 300]
+    assert sorted((r.query_id, r.place, r.vec_id) for r in found) == want
