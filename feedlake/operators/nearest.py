@@ -2,7 +2,7 @@
 
 A score is the cosine in double precision, rounded to a number of digits; ties go to the smaller id. Tiles multiply
 vectors of length 1; what is so near to a half that a product's own error might round it otherwise is added up again from
-the first component to the last, so a result does not depend on the tiles.
+the first component to the last, so a result does not depend on the tiles. exact() meets all candidates with all queries.
 """
 
 from __future__ import annotations
@@ -10,7 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from . import library
+
+#: Vectors of a block, and bytes of one, at most; queries that a task holds, about.
+BLOCK, BLOCK_BYTES, QUERIES = 4096, 1 << 22, 1 << 14
 #: Queries that meet a block of candidates at once.
 SLICE = 256
 #: Stored scores of pairs without a number: of a zero or non-finite vector (NaN, the largest), of a null one (null).
@@ -131,3 +137,75 @@ class Best:
 
 
 FOUND = "query_id long, vec_id long, score double"
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """vectors (id long, v array<double>) as blocks of one length: dim, ids and components as bytes."""
+
+    def pack(batches):
+        held: dict[int, list] = {}
+
+        def block(dim):
+            ids, data = zip(*held.pop(dim), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(data).tobytes()], pa.binary())], names=["dim", "ids", "data"])
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+            lens, at, flat = flat_rows(batch.column(1))
+            for dim in np.unique(lens).tolist():
+                own, most = np.flatnonzero(lens == dim), max(1, min(BLOCK, BLOCK_BYTES // (8 * max(dim, 1))))
+                while len(own):
+                    room = most - sum(len(i) for i, _ in held.get(dim, []))
+                    part, own = own[:room], own[room:]
+                    held.setdefault(dim, []).append((ids[part], flat[(at[part][:, None] + np.arange(dim)).ravel()]))
+                    if len(part) == room:
+                        yield block(dim)
+        for dim in list(held):
+            yield block(dim)
+
+    return vectors.mapInArrow(pack, "dim int, ids binary, data binary")
+
+
+def exact(queries: DataFrame, candidates: DataFrame, k: int, digits: int) -> DataFrame:
+    """query_id, place, vec_id, score: the k candidates (id, v) of the largest cosine with each query (id, v), all of them if
+    fewer; an id that equals the query's is no candidate.
+
+    Scores are rounded to digits; ties go to the smaller id. The score with a zero or non-finite vector is NaN, which comes first, and
+    with a vector that is null, empty, of another length or with a null inside it is null, which comes last, as in the SQL.
+    Candidates are dealt to groups, to each of which the queries are sent; a task holds QUERIES of them, and candidates
+    pass by block by block.
+    """
+    spark = queries.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups, parts = 2 * tasks, -(-queries.filter("id is not null").count() // QUERIES)
+    if not parts:
+        parts = 1
+    typed = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).filter("id is not null")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    ask = packed(typed(queries)).select(every(groups).alias("g"), dealt(parts).alias("part"), F.lit(0).alias("kind"), "dim", "ids", "data")
+    there = packed(typed(candidates)).select(dealt(groups).alias("g"), every(parts).alias("part"), F.lit(1).alias("kind"), "dim", "ids", "data")
+    rows = ask.unionByName(there).repartition(tasks, "g", "part").sortWithinPartitions("g", "part", "kind")
+
+    def search(batches):
+        """A group's queries come first, by the sort."""
+        now, waiting, best = None, {}, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+                if (r["g"], r["part"]) != now:
+                    yield from (b.rows() for b in best)
+                    now, waiting, best = (r["g"], r["part"]), {}, []
+                ids = np.frombuffer(r["ids"], "<i8")
+                v = np.frombuffer(r["data"], "<f8").reshape(len(ids), r["dim"])
+                if r["kind"] == 0:
+                    waiting.setdefault(r["dim"], []).append((ids, v))
+                    continue
+                if waiting:
+                    best, waiting = [Best(*map(np.concatenate, zip(*x, strict=True)), k, digits) for x in waiting.values()], {}
+                for b in best:
+                    b.add(ids, v)
+        yield from (b.rows() for b in best)
+
+    found = rows.mapInArrow(search, FOUND)
+    return library.ranked(found, ["query_id"], [F.desc("score"), "vec_id"], k, "place").select("query_id", "place", "vec_id", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import library as L
+from ..operators import nearest as N
 from ..operators import textindex as X
 from ..operators import vectorindex as V
 from ..storage import new_path, staged
@@ -148,16 +149,9 @@ select item_id as query_id, cast(row_number() over (partition by item_id order b
 
 
 def ext_vector_top_k(spark, d):
-    """The five most similar of all other vectors for each hundredth vector, by cosine. The queries are dealt to every
-    group of candidates, so they meet by an equal group and no task holds all vectors."""
-    v = B.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    rows = v.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).join(q, "g").filter("vec_id <> query_id")
-    rows = rows.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qn")), 5).alias("score"))
-    return L.ranked(rows, ["query_id"], [F.desc("score"), "vec_id"], 5, "place").select("query_id", "place", "vec_id", "score")
+    """The five most similar of all other vectors for each hundredth vector, by cosine, exactly."""
+    rows = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return N.exact(rows.filter("id % 100 = 0"), rows, 5, 5)
 
 
 EXT_VECTOR_TOP_K = """with s as (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 5) as score

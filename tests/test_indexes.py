@@ -109,3 +109,25 @@ def test_vector_index_reads_its_vectors_once_and_ranks_copies_by_id(spark, monke
         best = sorted((-score[q, c], c) for c in range(400) if c not in (q, 300))[:5]
         want += [(q, place, c) for place, (_, c) in enumerate(best, 1) if q != 300]
     assert sorted((r.query_id, r.place, r.vec_id) for r in found) == want
+
+
+def test_vector_top_k_equals_sql_on_odd_vectors(spark, tmp_path, monkeypatch):
+    """Null, zero and infinite vectors, copies, null and repeated ids, in several blocks and groups of queries."""
+    import duckdb
+
+    from feedlake.operators import nearest
+    from feedlake.plans import extensions
+
+    for name, value in (("BLOCK", 32), ("QUERIES", 4), ("SLICE", 2)):
+        monkeypatch.setattr(nearest, name, value)
+    rnd = random.Random(8)
+    v = {i: [float(rnd.randint(-2, 2)) for _ in range(5)] for i in range(1200)}
+    v |= {i: v[7] for i in range(200, 420)} | {3: None, 100: None, 9: [0.0] * 5, 300: [0.0] * 5, 11: [float("inf"), 1.0, 0.0, 0.0, 0.0], 500: []}
+    rows = [*v.items(), (None, v[1]), (700, v[8]), (8, v[8]), (8, v[13])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = extensions.ext_vector_top_k(spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    # The SQL's function takes lists of one length; an empty list's score is null, as a null one's.
+    c.execute(f"create view embeddings as select vec_id, nullif(embedding, []) as embedding from '{tmp_path}/embeddings.parquet/*.parquet'")
+    plain = lambda rows: sorted(str(tuple(r)) for r in rows)
+    assert plain(found) == plain(c.execute(extensions.EXT_VECTOR_TOP_K).fetchall())
